@@ -8,12 +8,18 @@ functions that see only the payloads of their own protocol.
 from __future__ import annotations
 
 import struct
+import sys
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .. import constants as C
+from ..constants import DNS_TYPES, HTTP_REQUEST_METHODS
+
+# The Arrow functions travel to the workers by value, so that the package need
+# not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _latin1(payload: Column) -> Column:
@@ -63,7 +69,7 @@ def http_summary(payload: Column) -> Column:
     bad_field = F.regexp_like(rest, F.lit(r"(?m)^(?=[^\r\n])([ \t]*[^\s:]*[ \t]+[^\s:][^:\r\n]*(:|\r?$)|[ \t]*:)"))
     usable = head.isNotNull() & body_complete & ~bad_field
 
-    methods = "|".join(C.HTTP_REQUEST_METHODS)
+    methods = "|".join(HTTP_REQUEST_METHODS)
     is_request = text.rlike(rf"^({methods}) ")
     uri = F.regexp_extract(start, r"^\S+[ \t]+(\S+)", 1)
     request_ok = start.rlike(r"^\S+[ \t]+\S+[ \t\r]*$|^\S+[ \t]+\S+[ \t]+HTTP")
@@ -96,7 +102,7 @@ def _dns_question(message: bytes) -> str | None:
     if at >= len(message) or end + 4 > len(message):
         return None
     kind = struct.unpack_from(">H", message, end)[0]
-    return " ".join(filter(None, ["DNS", C.DNS_TYPES.get(kind, str(kind)), ".".join(labels)]))
+    return " ".join(filter(None, ["DNS", DNS_TYPES.get(kind, str(kind)), ".".join(labels)]))
 
 
 def _server_name(record: bytes) -> str:

@@ -11,7 +11,7 @@ from ..functions.timestamps import as_instant, seconds_between, wall_micros
 
 
 def _stage_measures() -> list[Column]:
-    valid = F.size("errors") == 0
+    valid = F.col("errors") == ""
     readable = wall_micros(F.col("timestamp")).isNotNull()
     return [
         F.count(F.lit(1)).alias("captured"),

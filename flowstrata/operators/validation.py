@@ -1,6 +1,6 @@
 """Record validation: typed frames, and raw JSON lines read as VARIANT.
 
-Both give the Bronze columns plus ``errors``, an array of reasons that is empty
+Both give the Bronze columns plus ``errors``, the reasons joined by ``; ``, empty
 for a good record.
 """
 
@@ -21,7 +21,7 @@ _INT_TEXT = r"^\s*([+-]?\d+)(?:\.0*)?\s*$"
 
 
 def _reasons(*checks: tuple[Column, str]) -> Column:
-    return F.array_compact(F.array(*[F.when(cond, F.lit(text)) for cond, text in checks]))
+    return F.concat_ws("; ", *[F.when(cond, F.lit(text)) for cond, text in checks])
 
 
 def validate_records(df: DataFrame, default_agent: str = "") -> DataFrame:
@@ -118,13 +118,18 @@ def validate_json(df: DataFrame, raw: str = "value", default_agent: str = "") ->
         if name == "length":
             checks.append((F.col(name) < 0, "length: must be greater than or equal to 0"))
 
-    misfit_names = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in misfits.items()]))
-    judged = read.withColumns({"errors": _reasons(*checks), "_misfits": misfit_names})
-    kept = F.map_filter("_members", lambda key, _: ~key.isin(names) | F.array_contains("_misfits", key))
-    rescued = F.when(
-        (F.size("_misfits") > 0) | (F.size(F.array_except(F.map_keys("_members"), F.array(*map(F.lit, names)))) > 0),
-        F.to_json(kept),
+    misfit_names = F.concat_ws(",", *[F.when(bad, F.lit(name)) for name, bad in misfits.items()])
+    known_given = sum((F.when(kind.isNotNull(), 1).otherwise(0) for kind in kinds.values()), F.lit(0))
+    judged = read.withColumns({
+        "errors": _reasons(*checks),
+        "_misfits": misfit_names,
+        "_has_unknown": F.size("_members") > known_given,
+    })
+    # Looked into only where there is something to rescue.
+    kept = F.map_filter(
+        "_members", lambda key, _: ~key.isin(names) | F.array_contains(F.split("_misfits", ","), key)
     )
+    rescued = F.when(F.col("_has_unknown") | (F.col("_misfits") != ""), F.nullif(F.to_json(kept), F.lit("{}")))
     out = judged.select(
         *df.columns,
         *[F.coalesce(n, F.lit(_DEFAULTS[n] if n != "agent_id" else default_agent)).alias(n) if n in _DEFAULTS else F.col(n)
@@ -136,11 +141,11 @@ def validate_json(df: DataFrame, raw: str = "value", default_agent: str = "") ->
 
 
 def accepted(checked: DataFrame) -> DataFrame:
-    return checked.where(F.size("errors") == 0).drop("errors")
+    return checked.where(F.col("errors") == "").drop("errors")
 
 
 def rejected(checked: DataFrame) -> DataFrame:
-    return checked.where(F.size("errors") > 0)
+    return checked.where(F.col("errors") != "")
 
 
 def quarantine_rows(checked: DataFrame, raw: Column | None = None, as_of=None) -> DataFrame:
@@ -152,6 +157,6 @@ def quarantine_rows(checked: DataFrame, raw: Column | None = None, as_of=None) -
         raw = F.to_json(F.struct(*[F.col(f.name) for f in schemas.BRONZE.fields]))
     return rejected(checked).select(
         raw.alias("raw"),
-        F.concat_ws("; ", "errors").alias("reason"),
+        F.col("errors").alias("reason"),
         iso_text(as_instant(as_of)).alias("ts"),
     )

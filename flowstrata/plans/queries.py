@@ -59,7 +59,7 @@ def silver_utc_buckets(spark, sf_dir):
 def quarantine_rows(spark, sf_dir):
     checked = validation.validate_records(inputs.packets(spark, sf_dir))
     rows = validation.rejected(checked)
-    return rows.select("seq", F.concat_ws("; ", "errors").alias("reason"))
+    return rows.select("seq", F.col("errors").alias("reason"))
 
 
 @register
@@ -71,7 +71,7 @@ def validated_json(spark, sf_dir):
 @register
 def rejected_json(spark, sf_dir):
     checked = validation.validate_json(inputs.messy_lines(spark, sf_dir))
-    return validation.rejected(checked).select("seq", F.concat_ws("; ", "errors").alias("reason"), "_rescued_data")
+    return validation.rejected(checked).select("seq", F.col("errors").alias("reason"), "_rescued_data")
 
 
 @register
@@ -596,7 +596,7 @@ def _streamed(spark, sf_dir) -> pipeline.Layout:
         lines.select("value", F.lit("2024-01-30").alias("dt"), F.lit(part).alias("hr")).write.mode("append").partitionBy(
             "dt", "hr"
         ).text(landing)
-    layout = pipeline.Layout(root)
+    layout = pipeline.Layout(root, grain="date")
     pipeline.run_available(bronze.stream_lines(spark, landing, max_files=1), layout)
     return layout
 

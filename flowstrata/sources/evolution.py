@@ -6,15 +6,20 @@ read together with exactly that schema, coerced to the target and united.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import files
 
+# The footer reader travels to the workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _FOOTER = "path string, directory string, spark_schema string, row_count long"
 # Above this many listed names the driver refuses to hold the list.
 MAX_NAMES = 200_000

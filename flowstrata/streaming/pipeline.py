@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import files, schemas
@@ -23,16 +24,24 @@ from ..operators.validation import accepted, quarantine_rows, validate_json
 from ..sinks.writers import overwrite_partitions
 from ..sources.tables import read_gold, read_silver
 
-# Hours one batch may touch before Gold is rebuilt by a join instead of by paths.
+# Partitions one batch may touch before Gold is rebuilt by a join instead of by paths.
 _MAX_TOUCHED = 2_000
-_HOUR_KEYS = ["event_date", "event_hr"]
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Where the layers of one pipeline live."""
+    """Where the layers of one pipeline live, and how finely they are partitioned.
+
+    By ``hour`` a batch of current traffic rebuilds one or two hours of Gold; by
+    ``date`` it rebuilds the day. The latter suits thin data spread over many hours.
+    """
 
     root: str
+    grain: str = "hour"
+
+    @property
+    def keys(self) -> list[str]:
+        return {"hour": ["event_date", "event_hr"], "date": ["event_date"]}[self.grain]
 
     @property
     def silver(self) -> str:
@@ -51,33 +60,37 @@ class Layout:
         return f"{self.root}/_checkpoints/medallion"
 
 
-def with_hour_partition(df: DataFrame) -> DataFrame:
-    """Adds ``event_hr``, the UTC hour of ``event_hour``; every Gold key lies in one (date, hr)."""
-    return df.withColumn("event_hr", F.hour("event_hour"))
+def with_partitions(df: DataFrame, layout: Layout) -> DataFrame:
+    """Adds ``event_hr``, the UTC hour of ``event_hour``, where the layout has it.
+
+    It follows from the Gold key, so every key lies in exactly one partition.
+    """
+    return df.withColumn("event_hr", F.hour("event_hour")) if "event_hr" in layout.keys else df
 
 
-def _touched_silver(spark: SparkSession, root: str, batch: DataFrame) -> DataFrame:
-    """All Silver rows of the hours in ``batch``."""
-    touched = batch.select(*_HOUR_KEYS).distinct()
-    hours = touched.limit(_MAX_TOUCHED + 1).collect()
-    if len(hours) <= _MAX_TOUCHED:
-        paths = [f"{root}/event_date={row['event_date']}/event_hr={row['event_hr']}" for row in hours]
+def _touched_silver(spark: SparkSession, layout: Layout, batch: DataFrame) -> DataFrame:
+    """All Silver rows of the partitions touched by ``batch``."""
+    touched = batch.select(*layout.keys).distinct()
+    found = touched.limit(_MAX_TOUCHED + 1).collect()
+    if len(found) <= _MAX_TOUCHED:
+        paths = ["/".join([layout.silver, *(f"{key}={row[key]}" for key in layout.keys)]) for row in found]
         if not paths:
             return spark.createDataFrame([], schemas.SILVER)
-        stored = spark.read.schema(schemas.SILVER).option("basePath", root).parquet(*paths)
+        stored = spark.read.schema(schemas.SILVER).option("basePath", layout.silver).parquet(*paths)
     else:
-        stored = spark.read.schema(schemas.SILVER.add("event_hr", "int")).parquet(root)
-        stored = stored.join(touched, _HOUR_KEYS, "left_semi")
+        hour = [T.StructField("event_hr", T.IntegerType())] if "event_hr" in layout.keys else []
+        schema = T.StructType([*schemas.SILVER.fields, *hour])
+        stored = spark.read.schema(schema).parquet(layout.silver).join(touched, layout.keys, "left_semi")
     return stored.select(*schemas.SILVER.fieldNames())
 
 
 def process_batch(lines: DataFrame, batch_id: int, layout: Layout, raw: str = "value") -> None:
     """One micro-batch through all layers."""
     spark = lines.sparkSession
-    checked = validate_json(lines, raw).persist(StorageLevel.MEMORY_AND_DISK)
+    checked = validate_json(lines, raw).drop("_rescued_data").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        silver = with_hour_partition(to_silver(accepted(checked))).withColumn("ingest_batch", F.lit(batch_id))
-        overwrite_partitions(silver, layout.silver, [*_HOUR_KEYS, "ingest_batch"])
+        silver = with_partitions(to_silver(accepted(checked)), layout).withColumn("ingest_batch", F.lit(batch_id))
+        overwrite_partitions(silver, layout.silver, [*layout.keys, "ingest_batch"])
         # One directory per batch, whatever the date, so that a retry after midnight replaces it.
         bad = quarantine_rows(checked, raw=F.col(raw)).withColumn("ingest_batch", F.lit(batch_id))
         (
@@ -86,8 +99,8 @@ def process_batch(lines: DataFrame, batch_id: int, layout: Layout, raw: str = "v
             .partitionBy("ingest_batch")
             .json(layout.quarantine)
         )
-        stored = _touched_silver(spark, layout.silver, silver)
-        overwrite_partitions(with_hour_partition(gold_ops.hourly(stored)), layout.gold, _HOUR_KEYS)
+        stored = _touched_silver(spark, layout, silver)
+        overwrite_partitions(with_partitions(gold_ops.hourly(stored), layout), layout.gold, layout.keys)
     finally:
         checked.unpersist()
 
