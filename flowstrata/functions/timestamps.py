@@ -30,7 +30,9 @@ def clock_text_of(text: Column) -> Column:
 
 
 def _wall_micros(clock: Column) -> Column:
-    rest = F.when(F.length(clock) == 10, "T00:00Z").when(F.length(clock) == 13, ":00Z").otherwise("Z")
+    # Completed to seconds; an empty clock becomes a date that does not exist.
+    size = F.length(clock)
+    rest = F.when(size < 19, F.substr(F.lit("0000-00-00T00:00:00Z"), size + 1)).otherwise("Z")
     return F.unix_micros(F.concat(clock, rest).try_cast("timestamp_ltz"))
 
 
