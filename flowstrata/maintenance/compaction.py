@@ -99,9 +99,12 @@ def _readable_counts(spark: SparkSession, root: str, groups, target: T.StructTyp
     for schema_json, paths in groups:
         schema = T.StructType.fromJson(json.loads(schema_json))
         scan = spark.read.option("ignoreCorruptFiles", "true").schema(schema).parquet(*paths)
-        decoded = F.xxhash64(*schema.fieldNames()).isNotNull()
-        for row in scan.groupBy(F.col("_metadata.file_path").alias("p")).agg(F.count_if(decoded).alias("n")).collect():
-            counts[row["p"]] = row["n"]
+        # The hash makes the reader decode every column; a bare count reads none.
+        per_file = scan.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.xxhash64(*schema.fieldNames())).alias("decoded")
+        )
+        for row in per_file.collect():
+            counts[files.qualify(spark, row["path"])] = row["n"]
     return counts
 
 
@@ -174,7 +177,7 @@ def _merge_slice(spark, root, schema, chosen, partitions, merged_batch) -> int:
         files.delete(spark, staging)
         if attempt == 0:
             decoded = _readable_counts(spark, root, grouped(paths), schema)
-            paths = usable(p for p in paths if decoded.get(p, 0) == expected[p])
+            paths = usable(p for p in paths if decoded.get(files.qualify(spark, p), 0) == expected[p])
     raise RuntimeError(f"merged row count of {root} does not match; originals were kept")
 
 
