@@ -597,7 +597,9 @@ def _streamed(spark, sf_dir) -> pipeline.Layout:
             "dt", "hr"
         ).text(landing)
     layout = pipeline.Layout(root, grain="date")
-    pipeline.run_available(bronze.stream_lines(spark, landing, max_files=1), layout)
+    # A landing part has at most one file per core, so this makes about three batches.
+    batch_files = spark.sparkContext.defaultParallelism
+    pipeline.run_available(bronze.stream_lines(spark, landing, max_files=batch_files), layout)
     return layout
 
 
