@@ -86,7 +86,8 @@ def human_bytes(size: Column) -> Column:
     value = size.cast("double")
 
     def shown(power: int, unit: str) -> Column:
-        return F.format_string(f"%.1f {unit}", value / float(1024**power))
+        # Halves go to the even digit (95.25 is shown as 95.2); the format alone would round them up.
+        return F.format_string(f"%.1f {unit}", F.bround(value / float(1024**power), 1))
 
     magnitude = F.abs(value)
     out = F.when(magnitude < 1024.0, shown(0, "B"))

@@ -138,7 +138,7 @@ def test_masking(silver):
     ], key=str)
 
 
-@pytest.mark.parametrize("size, text", [(0, "0.0 B"), (1023, "1023.0 B"), (1536, "1.5 KiB"), (1024**2, "1.0 MiB"),
+@pytest.mark.parametrize("size, text", [(0, "0.0 B"), (1023, "1023.0 B"), (1536, "1.5 KiB"), (97536, "95.2 KiB"), (98048, "95.8 KiB"), (1024**2, "1.0 MiB"),
                                         (5 * 1024**3, "5.0 GiB"), (1024**5, "1024.0 TiB")])
 def test_human_bytes(spark, size, text):
     assert spark.range(1).select(net.human_bytes(F.lit(size))).first()[0] == text
