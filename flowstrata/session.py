@@ -50,5 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/flowstrata/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/flowstrata/{label}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target)  # only an existing path can be marked
+    fs.deleteOnExit(target)
+    return path
