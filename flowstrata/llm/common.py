@@ -27,9 +27,15 @@ def bound_batches(spark: SparkSession) -> None:
 
 def save(df: DataFrame, label: str) -> DataFrame:
     """Writes a table below ``spark.checkpoint.dir`` and reads it back: cuts the lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, cleanup = scratch_path(spark, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")  # the table replaces the shuffle files
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, quality, secret_scan, sharding, url_filter
+from . import bpe, license_scan, line_templates, mixing, near_dup, quality, secret_scan, sharding, url_filter
 from .oracles import ORACLES  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -31,6 +31,16 @@ def op2_license_scan(spark, sf_dir):
     return license_scan.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+@register
+def op3_entropy_mix(spark, sf_dir):
+    return mixing.mix_documents(_table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_near_dup(spark, sf_dir):
+    return near_dup.mark_documents(_table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_quality_rules(spark, sf_dir):
     return quality.judge_documents(_table(spark, sf_dir, "documents"))
@@ -46,6 +56,11 @@ def op8_byte_bpe(spark, sf_dir):
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+@register
+def op9_line_templates(spark, sf_dir):
+    return line_templates.clean_documents(_table(spark, sf_dir, "documents"))
+
+
 @register
 def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
