@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ FIRST_WINDOW = 32
 # White space for every reading of the pattern's ``\s``; ``str.isspace`` knows a few characters more.
 _SPACE = frozenset(" \t\n\r\x0b\x0c")
 
-RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
+RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -108,9 +109,9 @@ class Codec:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Adds ``n_tokens``, digests of ids and decoded bytes, and the ids, to every row; columns of these names go.
+    """Adds ``n_tokens``, digests of ids and decoded bytes, and ``ids`` (little-endian 32-bit numbers) to every row.
 
-    Null and empty text: no tokens. Texts of any length are encoded whole. The vocabulary (of a fixed, known size)
+    Columns of these names are replaced. Null and empty text: no tokens. Texts of any length are encoded whole. The vocabulary (of a fixed, known size)
     is read by the driver and broadcast; executors need no file. Nothing is shuffled.
     """
     bound_batches(docs.sparkSession)
@@ -130,10 +131,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(",".join([codec.names[i] for i in ids]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                kept.append(ids if keep_ids else None)
+                kept.append(np.array(ids, "<i4").tobytes() if keep_ids else None)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(counts, pa.int64()), pa.array(digests, pa.string()),
-                 pa.array(decoded, pa.string()), pa.array(kept, pa.list_(pa.int32()))],
+                 pa.array(decoded, pa.string()), pa.array(kept, pa.binary())],
                 names=[*batch.schema.names, *added],
             )
 
@@ -141,6 +142,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     return carried.mapInArrow(run, f"{types}, {RESULT}")
 
 
+def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Replaces ``ids``, as ``encode`` writes them, by ``text``; null ids give null."""
+    bound_batches(encoded.sparkSession)
+    vocabulary = encoded.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern))
+
+    @F.pandas_udf("string")
+    def spell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = Codec(*vocabulary.value)
+        for batch in batches:
+            yield batch.map(
+                lambda raw: None if raw is None else codec.decode(np.frombuffer(raw, "<i4").tolist()).decode("utf-8", "replace")
+            )
+
+    return encoded.withColumn("text", spell("ids")).drop("ids")
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Digest of the encoding of documents, one row each."""
     short = docs.select("doc_id", "text")

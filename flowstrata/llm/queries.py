@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, line_templates, mixing, near_dup, quality, secret_scan, sharding, url_filter
+from . import bpe, license_scan, line_templates, mixing, near_dup, neighbours, quality, secret_scan, sharding, url_filter
 from .oracles import ORACLES  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -36,6 +36,11 @@ def op3_entropy_mix(spark, sf_dir):
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+@register
+def op4_nn_descent(spark, sf_dir):
+    return neighbours.search_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 @register
 def op5_near_dup(spark, sf_dir):
     return near_dup.mark_documents(_table(spark, sf_dir, "documents"))
