@@ -1,4 +1,7 @@
-"""Helpers shared by the training-data operators."""
+"""Helpers shared by the training-data operators.
+
+Column names that begin with ``__llm_`` are the operators' own: a column so named is replaced and dropped.
+"""
 
 from __future__ import annotations
 
@@ -25,6 +28,11 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """The columns that Spark can hash: those without maps."""
+    return [f.name for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"]
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Writes a table below ``spark.checkpoint.dir`` and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

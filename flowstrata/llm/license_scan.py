@@ -92,15 +92,15 @@ def recognise(docs: DataFrame, text: str = "text", sentences: dict[str, str] = S
     found = docs.withColumn("sentence_ids", F.coalesce(ids, F.array().cast("array<string>")))
     left = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))
     left = F.when(F.size("sentence_ids") > 0, left).otherwise(F.lit(""))
-    found = found.withColumn("_left", left).withColumn("licenses", F.array().cast("array<string>"))
+    found = found.withColumn("__llm_left", left).withColumn("licenses", F.array().cast("array<string>"))
     for name, sequence in rules:
         wanted = " " + "  ".join(sequence) + " "
-        fits = F.contains("_left", F.lit(wanted))
+        fits = F.contains("__llm_left", F.lit(wanted))
         found = found.withColumns({
             "licenses": F.when(fits, F.array_union("licenses", F.array(F.lit(name)))).otherwise(F.col("licenses")),
-            "_left": F.replace("_left", F.lit(wanted), F.lit("")),
+            "__llm_left": F.replace("__llm_left", F.lit(wanted), F.lit("")),
         })
-    return found.drop("_left")
+    return found.drop("__llm_left")
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def recurring_lines(docs: DataFrame, doc: list[str], text: str = "text") -> Data
         ((F.col("docs") - 1) * F.col("constant") >= EVIDENCE) & (F.col("before") >= least) & (F.col("after") >= least)
     )
     found = shared.select(*doc, "no", "leaf").join(templates.select("leaf"), "leaf")
-    return found.groupBy(*doc).agg(F.collect_set("no").alias("dropped"))
+    return found.groupBy(*doc).agg(F.collect_set("no").alias("__llm_dropped"))
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,18 +82,18 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     stays empty (1 line). Repeated rows count as one document and are treated alike. Columns of the added names are
     replaced; all others stay.
     """
-    marked = docs.withColumn("_hash", F.xxhash64(text))
-    doc = [key, "_hash"]
+    marked = docs.withColumn("__llm_hash", F.xxhash64(text))
+    doc = [key, "__llm_hash"]
     dropped = recurring_lines(marked.select(*doc, text), doc, text)
     joined = null_safe_join(marked, dropped, doc, "left")
     lines = F.split(F.col(text), "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("dropped", i)), "\n")
-    cut = F.col("dropped").isNotNull() & rest.rlike(WORD)
+    rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__llm_dropped", i)), "\n")
+    cut = F.col("__llm_dropped").isNotNull() & rest.rlike(WORD)
     return joined.withColumns({
         "n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("bigint"),
-        "n_dropped": F.when(cut, F.size("dropped")).otherwise(F.lit(0)).cast("bigint"),
+        "n_dropped": F.when(cut, F.size("__llm_dropped")).otherwise(F.lit(0)).cast("bigint"),
         text: F.when(cut, rest).otherwise(F.col(text)),
-    }).drop("_hash", "dropped")
+    }).drop("__llm_hash", "__llm_dropped")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:

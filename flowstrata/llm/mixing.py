@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, expanded, null_safe_join, numbered, save
+from .common import WORD, expanded, hashable, null_safe_join, numbered, save
 
 # Fixed values of the data contract.
 WEIGHTS = (3, 1, 2)
@@ -184,11 +184,14 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def take_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: documents with all their columns, each as often as it is taken."""
-    marked = docs.withColumns({"_size": word_count(), "_hash": F.xxhash64(*docs.columns)})
-    rows = marked.select("doc_id", F.col("source").cast("string").alias("source"), F.col("_size").alias("size"), "_hash")
-    takes = mix(rows, ["doc_id", "_hash"]).groupBy("doc_id", "_hash").agg(F.sum("takes").alias("_takes"))
-    single = marked.dropDuplicates(["doc_id", "_hash"])
-    taken = null_safe_join(single, takes.where("_takes > 0"), ["doc_id", "_hash"])
-    times = F.sequence(F.lit(1).cast("bigint"), F.col("_takes"))
-    return taken.withColumn("_copy", F.explode(times)).select(*docs.columns)
+    """The mix itself: documents with all their columns, each as often as it is taken.
+
+    Rows that are equal in all columns (maps aside) are taken together, as copies of one of them.
+    """
+    marked = docs.withColumns({"__llm_size": word_count(), "__llm_hash": F.xxhash64(*hashable(docs))})
+    rows = marked.select("doc_id", F.col("source").cast("string").alias("source"), F.col("__llm_size").alias("size"), "__llm_hash")
+    takes = mix(rows, ["doc_id", "__llm_hash"]).groupBy("doc_id", "__llm_hash").agg(F.sum("takes").alias("__llm_takes"))
+    single = marked.dropDuplicates(["doc_id", "__llm_hash"])
+    taken = null_safe_join(single, takes.where("__llm_takes > 0"), ["doc_id", "__llm_hash"])
+    times = F.sequence(F.lit(1).cast("bigint"), F.col("__llm_takes"))
+    return taken.withColumn("__llm_copy", F.explode(times)).select(*docs.columns)

@@ -206,24 +206,24 @@ def link_classes(docs: DataFrame, classes: DataFrame, keys: list[str], width: in
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, size: int = SKETCH,
                     hubs: int = HUBS) -> DataFrame:
-    """``doc_id, _hash`` (of the text), ``n`` (set size), ``component_id`` and ``first`` for every row.
+    """``doc_id, __llm_hash`` (of the text), ``n`` (set size), ``component_id`` and ``first`` for every row.
 
     Texts are lower-cased (A-Z) and cut at ASCII white space; sets hold ``width``-word shingles, and are linked where
     den * shared >= num * union. ``component_id`` is the least doc_id of the component, null last; ``first`` marks the
     rows of its least doc_id and, among several texts of that id, of one of them. Null, empty and blank texts have an
     empty set and stay alone, each ``first``. Repeated rows fall into one class. Only doc_id and text are read.
     """
-    keys = ["doc_id", "_hash"]
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    keys = ["doc_id", "__llm_hash"]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__llm_hash"))
     rows = save(_sketched(keyed, keys, width, size), "sketches")
-    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash")).alias("low")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__llm_hash")).alias("low")
     filled = rows.where(F.col("fp").isNotNull())
     classes = filled.groupBy("fp").agg(low, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = save(classes.select("fp", "n", "sketch", "low", "low.doc_id", "low._hash"), "classes")
+    classes = save(classes.select("fp", "n", "sketch", "low", "low.doc_id", "low.__llm_hash"), "classes")
     labels = link_classes(keyed, classes, keys, width, num, den, size, hubs)
     placed = classes.select("fp", "low").join(labels, "fp", "left").select("fp", "low", F.coalesce("comp", "fp").alias("comp"))
     placed = save(placed, "placed")
-    least = placed.groupBy("comp").agg(F.min(F.struct("low.none", "low.doc_id", "low._hash", "fp")).alias("least"))
+    least = placed.groupBy("comp").agg(F.min(F.struct("low.none", "low.doc_id", "low.__llm_hash", "fp")).alias("least"))
     final = placed.join(least, "comp").select("fp", "least")
     judged = rows.select(*keys, "n", "fp").join(final.toDF("fp", "least"), "fp", "left")
     alone = F.col("fp").isNull()
@@ -249,6 +249,6 @@ def keep_first(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -
     Of repeated rows (equal id and text) one stays, also of those without words.
     """
     found = near_duplicates(docs, width, num, den)
-    dropped = found.where(~F.col("first")).select("doc_id", "_hash").distinct()
-    single = docs.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
-    return null_safe_join(single, dropped, ["doc_id", "_hash"], "left_anti").drop("_hash")
+    dropped = found.where(~F.col("first")).select("doc_id", "__llm_hash").distinct()
+    single = docs.withColumn("__llm_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__llm_hash"])
+    return null_safe_join(single, dropped, ["doc_id", "__llm_hash"], "left_anti").drop("__llm_hash")

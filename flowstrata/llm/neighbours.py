@@ -191,7 +191,7 @@ def build_index(vectors: DataFrame, s: Settings = Settings()) -> Index:
     # A fixed number of pivots: those of least hash.
     chosen = nodes.orderBy(F.xxhash64("node", F.lit(s.seed)), "node").limit(s.pivots).select("node", "vec").collect()
     ids = np.array([row[0] for row in chosen], np.int64)
-    points = np.array([row[1] for row in chosen], np.float64).reshape(len(chosen), -1)
+    points = np.array([row[1] for row in chosen], np.float64).reshape(len(chosen), len(chosen[0][1]) if chosen else 0)
     mean = points.mean(0) if len(points) else np.zeros(0)
     graph = save(_merged(_first_neighbours(nodes, count, points.shape[1], mean, s), s.degree), "graph")
     for _ in range(s.rounds):

@@ -249,9 +249,9 @@ def judge_documents(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    keys = ["doc_id", "lang", "source", "_hash"]
+    marked = docs.withColumn("__llm_hash", F.xxhash64("text"))
+    keys = ["doc_id", "lang", "source", "__llm_hash"]
     stats = save(with_stats(marked.select(*keys, "text")), "stats")
     good = judge(stats, ["lang", "source"])
     rejected = good.where(~F.col("kept")).select(*keys).distinct()
-    return null_safe_join(marked, rejected, keys, "left_anti").drop("_hash")
+    return null_safe_join(marked, rejected, keys, "left_anti").drop("__llm_hash")

@@ -126,9 +126,9 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES, vocabulary: Voc
                 rows, columns=["host", "path", "rule", "verdict", "strict_terms", "soft_terms"]
             )
 
-    judged = pages.withColumn("_judged", judge(F.col(url)))
+    judged = pages.withColumn("__llm_judged", judge(F.col(url)))
     names = ["host", "path", "rule", "verdict", "strict_terms", "soft_terms"]
-    return judged.withColumns({name: F.col(f"_judged.{name}") for name in names}).drop("_judged")
+    return judged.withColumns({name: F.col(f"__llm_judged.{name}") for name in names}).drop("__llm_judged")
 
 
 def judge_pages(pages: DataFrame) -> DataFrame:
