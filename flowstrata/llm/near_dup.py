@@ -10,8 +10,8 @@
    them up. A list is finished when its members are in one component or used up, so no pair that could join two
    components stays untested.
 4. The union of two sketches gives an estimate that filters candidates; the full sets decide.
-5. Links are verified one per class at a time (a class's best candidate first), then merged, so pairs that have
-   become redundant are never read.
+5. A round verifies the best candidate of each class first and merges what that links; of the other candidates, those
+   that still join two components are verified after that. Pairs that have become redundant are never read.
 """
 
 from __future__ import annotations
@@ -194,13 +194,19 @@ def link_classes(docs: DataFrame, classes: DataFrame, keys: list[str], width: in
         pending = save(_estimated(pairs, nodes, size, num, den), "pending")
         if sets is None and not pending.isEmpty():
             sets = save(_full_sets(docs, nodes.select(*keys, "fp"), keys, width), "sets")
-        while not pending.isEmpty():
-            ends = pending.select(F.col("a").alias("x"), "*").union(pending.select(F.col("b").alias("x"), "*"))
-            best = ends.groupBy("x").agg(F.max(F.struct("score", "a", "b")).alias("_p")).select("_p.a", "_p.b").distinct()
-            best = save(best, "best")
-            links = save(_verified(best, sets, num, den), "verified")
-            labels = _relabelled(labels, links)
-            pending = save(_open_pairs(pending.join(best, ["a", "b"], "left_anti"), labels), "pending")
+        for step in ("best", "rest"):
+            if pending.isEmpty():
+                break
+            chosen = pending.select("a", "b")
+            if step == "best":
+                ends = pending.select(F.col("a").alias("x"), "*").union(pending.select(F.col("b").alias("x"), "*"))
+                top = ends.groupBy("x").agg(F.max(F.struct("score", "a", "b")).alias("_p"))
+                chosen = save(top.select("_p.a", "_p.b").distinct(), "best")
+            links = save(_verified(chosen, sets, num, den), "verified")
+            if not links.isEmpty():
+                labels = _relabelled(labels, links)
+            if step == "best":
+                pending = save(_open_pairs(pending.join(chosen, ["a", "b"], "left_anti"), labels), "pending")
         lists = members.select("fp", "n", "value").join(used, ["value", "fp"], "left_anti")
 
 
