@@ -54,8 +54,23 @@ def make_dirs(spark: SparkSession, path: str) -> None:
     _fs(spark, path).mkdirs(_path(spark, path))
 
 
+# Names the current version below a versioned document.
+POINTER = "current.txt"
+
+
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file over another in one step; a reader finds the old or the new one."""
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark._sc._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        _path(spark, qualify(spark, target)).toUri(), spark._jsc.hadoopConfiguration()
+    )
+    context.rename(_path(spark, qualify(spark, source)), _path(spark, qualify(spark, target)), options)
+
+
 def write_note(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small text file under a temporary name, then renames it."""
+    """Writes a small text file under a temporary name, then renames it over the old one."""
     fs = _fs(spark, path)
     partial = path + ".tmp"
     stream = fs.create(_path(spark, partial), True)
@@ -63,8 +78,7 @@ def write_note(spark: SparkSession, path: str, text: str) -> None:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    fs.delete(_path(spark, path), False)
-    fs.rename(_path(spark, partial), _path(spark, path))
+    replace(spark, partial, path)
 
 
 def read_note(spark: SparkSession, path: str) -> str:
@@ -91,3 +105,14 @@ def listing(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFram
         F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("directory"),
         F.col("length").alias("size"),
     )
+
+
+def contents(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
+    """``path, directory, content`` of all data files below a root, read by Spark as wholes."""
+    found = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", glob)
+        .load(root)
+    )
+    return found.select("path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("directory"), "content")

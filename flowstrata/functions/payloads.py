@@ -85,13 +85,14 @@ def _dns_question(message: bytes) -> str | None:
     """Label of the first question of a DNS query."""
     if len(message) < 12 or message[2] & 0x80 or not struct.unpack_from(">H", message, 4)[0]:
         return None
-    labels, at, end, hops = [], 12, None, 0
+    labels, at, end, seen = [], 12, None, set()
     while at < len(message) and message[at]:
         size = message[at]
         if size & 0xC0 == 0xC0:
-            if at + 2 > len(message) or hops > 32:
+            if at + 2 > len(message) or at in seen:
                 return None
-            end, hops = end or at + 2, hops + 1
+            seen.add(at)
+            end = end or at + 2
             at = struct.unpack_from(">H", message, at)[0] & 0x3FFF
         elif size & 0xC0 or at + 1 + size > len(message):
             return None

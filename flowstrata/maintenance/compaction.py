@@ -25,7 +25,7 @@ from ..sinks.writers import append_manifest
 from ..sources.evolution import footers, read_groups
 from ..sources.tables import read_manifest
 
-# Files merged by one Spark job; more candidates mean more jobs.
+# Files merged by one Spark job, give or take a partition; more candidates mean more jobs.
 _SLICE = 10_000
 _STAGING = "_compaction"
 
@@ -35,8 +35,10 @@ def small_files(
 ) -> DataFrame:
     """``path, directory, partition`` of small files in partitions that hold at least two."""
     listed = files.listing(spark, root, glob).where(F.col("size") < small_bytes)
+    # Only the part after the root: the root itself may have levels like ``env=prod``.
+    inside = F.expr(f"substring(directory, {len(files.qualify(spark, root)) + 2})")
     below_root = F.concat_ws("/", F.slice(
-        F.filter(F.split("directory", "/"), lambda part: part.contains("=")), 1, levels
+        F.filter(F.split(inside, "/"), lambda part: part.contains("=")), 1, levels
     ))
     grouped = listed.withColumn("partition", below_root).where(F.col("partition") != "")
     several = grouped.groupBy("partition").count().where(F.col("count") >= 2).select("partition")
@@ -44,13 +46,13 @@ def small_files(
 
 
 def _slices(candidates: DataFrame, size: int) -> Iterator[list]:
-    """Names in partition order, in bounded lists."""
+    """Names in partition order, in lists of whole partitions that end once they reach ``size``."""
     pending: list = []
     for row in candidates.orderBy("partition", "path").toLocalIterator():
-        pending.append(row)
-        if len(pending) == size:
+        if len(pending) >= size and row["partition"] != pending[-1]["partition"]:
             yield pending
             pending = []
+        pending.append(row)
     if pending:
         yield pending
 
@@ -164,7 +166,8 @@ def _merge_slice(spark, root, schema, chosen, partitions, merged_batch) -> int:
         run = uuid.uuid4().hex
         staging = f"{root}/{_STAGING}/{run}"
         target = T.StructType([*schema.fields, *[
-            T.StructField(p, T.IntegerType()) for p in partitions if p not in schema.fieldNames()
+            T.StructField(p, T.StringType() if p == "ingest_query" else T.IntegerType())
+            for p in partitions if p not in schema.fieldNames()
         ]])
         rows = read_groups(spark, root, grouped(paths), target, strict=True)
         levels = list(partitions)

@@ -2,9 +2,9 @@
 
 ``hourly`` is exact. Its three distinct counts make Spark expand each row, but
 every branch is combined on the map side and shuffled by (key, value), so one
-hot key is spread over as many tasks as it has values. ``hourly_sketch`` /
-``merge_sketches`` keep mergeable partial rows for inputs where the exact
-distinct counts are not needed.
+hot key is spread over as many tasks as it has values. ``partials`` /
+``merge_partials`` keep exact mergeable rows for tables that grow by batches,
+``hourly_sketch`` / ``merge_sketches`` small ones with estimated distincts.
 """
 
 from __future__ import annotations
@@ -37,7 +37,54 @@ def hourly(silver: DataFrame, as_of=None) -> DataFrame:
     )
 
 
-_SKETCHED = {"src_ip": "src_ips", "dst_ip": "dst_ips", "dst_port": "dst_ports"}
+_DISTINCT = {"src_ip": "src_ips", "dst_ip": "dst_ips", "dst_port": "dst_ports"}
+PARTIAL = (
+    "event_hour timestamp, event_date date, protocol string, src_network string, agent_id string, field string, "
+    "value string, packet_count long, total_bytes long, first_seen timestamp, last_seen timestamp"
+)
+
+
+def partials(silver: DataFrame) -> DataFrame:
+    """Exact rows that merge by plain aggregation: per Gold key one row of sums and bounds (``field`` null), and one row
+    per distinct value of each counted column. Packets are combined before they are expanded."""
+    combined = silver.groupBy(*schemas.GOLD_KEYS, *_DISTINCT).agg(
+        F.count(F.lit(1)).alias("packet_count"), F.sum("length").alias("total_bytes"),
+        F.min("event_ts").alias("first_seen"), F.max("event_ts").alias("last_seen"),
+    )
+    fields = [F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"))]
+    fields += [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in _DISTINCT]
+    expanded = combined.select("*", F.inline(F.array(*fields))).where("field IS NULL OR value IS NOT NULL")
+    return _folded(expanded)
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    measured = F.col("field").isNull()
+    return rows.groupBy(*schemas.GOLD_KEYS, "field", "value").agg(
+        F.sum(F.when(measured, F.col("packet_count"))).alias("packet_count"),
+        F.sum(F.when(measured, F.col("total_bytes"))).alias("total_bytes"),
+        F.min(F.when(measured, F.col("first_seen"))).alias("first_seen"),
+        F.max(F.when(measured, F.col("last_seen"))).alias("last_seen"),
+    )
+
+
+def merge_partials(state: DataFrame, as_of=None) -> DataFrame:
+    """Gold rows from the partial rows of any number of batches; exact."""
+    packets, total = F.sum("packet_count"), F.sum("total_bytes")
+    return (
+        _folded(state).groupBy(*schemas.GOLD_KEYS)
+        .agg(
+            packets.alias("packet_count"),
+            total.alias("total_bytes"),
+            (total.cast("double") / packets).alias("avg_packet_size"),
+            F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"),
+            *[F.count_if(F.col("field") == column).alias(f"unique_{name}") for column, name in _DISTINCT.items()],
+        )
+        .withColumn("computed_at", as_instant(as_of))
+        .select(*schemas.GOLD.fieldNames())
+    )
+
+
 
 
 def hourly_sketch(silver: DataFrame) -> DataFrame:
@@ -47,7 +94,7 @@ def hourly_sketch(silver: DataFrame) -> DataFrame:
         F.sum("length").alias("total_bytes"),
         F.min("event_ts").alias("first_seen"),
         F.max("event_ts").alias("last_seen"),
-        *[F.hll_sketch_agg(column).alias(f"{name}_sketch") for column, name in _SKETCHED.items()],
+        *[F.hll_sketch_agg(column).alias(f"{name}_sketch") for column, name in _DISTINCT.items()],
     )
 
 
@@ -64,7 +111,7 @@ def merge_sketches(partials: DataFrame, as_of=None) -> DataFrame:
             F.max("last_seen").alias("last_seen"),
             *[
                 F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(f"{name}_sketch")), F.lit(0)).alias(f"unique_{name}")
-                for name in _SKETCHED.values()
+                for name in _DISTINCT.values()
             ],
         )
         .withColumn("computed_at", as_instant(as_of))

@@ -9,6 +9,7 @@ from .. import constants as C
 from ..functions.timestamps import as_instant, floor_to
 from . import traffic
 from .measures import packets, volume
+from .windows import prune_to
 
 
 
@@ -27,18 +28,33 @@ def window_volumes(silver: DataFrame, minutes: int = 60) -> DataFrame:
 def volume_vs_previous_day(silver: DataFrame, minutes: int = 60) -> DataFrame:
     """Each window next to the same window a day earlier, with the change in percent."""
     now = window_volumes(silver, minutes)
-    before = now.select(
-        (F.col("window_start") + F.expr("INTERVAL 24 HOURS")).alias("window_start"),
-        F.col("packets").alias("packets_before"),
-        F.col("bytes").alias("bytes_before"),
+    # Each window stands for itself and for the day after; the two meet in one aggregate over window totals.
+    roles = F.array(
+        F.struct(F.col("window_start").alias("at"), F.lit(False).alias("earlier")),
+        F.struct((F.col("window_start") + F.expr("INTERVAL 24 HOURS")).alias("at"), F.lit(True).alias("earlier")),
     )
+    met = now.select("packets", "bytes", F.inline(roles)).groupBy(F.col("at").alias("window_start")).agg(*[
+        F.max(F.when(F.col("earlier") == role, F.col(name))).alias(name + suffix)
+        for role, suffix in ((False, ""), (True, "_before")) for name in ("packets", "bytes")
+    ])
     change = F.when(F.col("bytes_before") > 0, (F.col("bytes") - F.col("bytes_before")) * 100.0 / F.col("bytes_before"))
-    return now.join(before, "window_start", "left").withColumn("change_pct", change)
+    return met.where(F.col("packets").isNotNull()).withColumn("change_pct", change)
 
 
 def new_top_talkers(silver: DataFrame, known: DataFrame, limit: int = C.TOP_N) -> DataFrame:
     """Busiest source addresses that are not in ``known(src_ip)``."""
-    return traffic.source_ips(silver, limit).join(known.select("src_ip").distinct(), "src_ip", "left_anti")
+    return _new_talkers(silver, known, "src_ip", limit)
+
+
+def new_top_destinations(silver: DataFrame, known: DataFrame, limit: int = C.TOP_N) -> DataFrame:
+    """Busiest destination addresses that are not in ``known(dst_ip)``."""
+    return _new_talkers(silver, known, "dst_ip", limit)
+
+
+def _new_talkers(silver: DataFrame, known: DataFrame, key: str, limit: int) -> DataFrame:
+    """Addresses are counted first and cut last, so known ones take no place in the list."""
+    counted = traffic.top(silver, [key], None).join(known.select(key).distinct(), key, "left_anti")
+    return counted.orderBy(F.desc("packets"), key).limit(limit)
 
 
 def _top_names(grouped: DataFrame, by: list[str], key: str, limit: int) -> DataFrame:
@@ -46,12 +62,27 @@ def _top_names(grouped: DataFrame, by: list[str], key: str, limit: int) -> DataF
     return grouped.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+_HOUR_US = 3_600_000_000
+
+
+def _utc_hour() -> dict[str, Column]:
+    """Hour of the event in UTC, as its start, weekday (1 = Sunday) and hour of day; all three from one clock."""
+    hours = F.call_function("div", floor_to(F.unix_micros("event_ts"), _HOUR_US), F.lit(_HOUR_US))
+    days = F.floor(hours / 24).cast("bigint")
+    return {
+        "hour_start": F.timestamp_micros(hours * _HOUR_US),
+        "weekday": (F.pmod(days + 4, F.lit(7)) + 1).cast("int"),  # 1970-01-01 was a Thursday
+        "hour": F.pmod(hours, F.lit(24)).cast("int"),
+    }
+
+
+def _per_hour(silver: DataFrame) -> DataFrame:
+    return silver.withColumns(_utc_hour()).groupBy("hour_start", "weekday", "hour").agg(packets(), volume())
+
+
 def hour_weekday_profile(silver: DataFrame) -> DataFrame:
-    """Mean packets and bytes per hour for each weekday (1 = Sunday) and hour of day."""
-    per_hour = silver.groupBy("event_date", "event_hour").agg(packets(), volume())
-    return per_hour.groupBy(
-        F.dayofweek("event_date").alias("weekday"), F.hour("event_hour").alias("hour")
-    ).agg(
+    """Mean packets and bytes per UTC hour for each weekday (1 = Sunday) and hour of day."""
+    return _per_hour(silver).groupBy("weekday", "hour").agg(
         F.count(F.lit(1)).alias("hours_seen"),
         F.avg("packets").alias("mean_packets"),
         F.avg("bytes").alias("mean_bytes"),
@@ -59,24 +90,24 @@ def hour_weekday_profile(silver: DataFrame) -> DataFrame:
 
 
 def profile_top(silver: DataFrame, key: str, limit: int = C.TOP_N) -> DataFrame:
-    """Top values of one column for each weekday and hour of day."""
-    grouped = (
-        silver.where(F.col(key).isNotNull())
-        .groupBy(F.dayofweek("event_date").alias("weekday"), F.hour("event_hour").alias("hour"), key)
-        .agg(packets())
-    )
-    return _top_names(grouped, ["weekday", "hour"], key, limit)
+    """Top values of one column for each weekday and hour of day, in UTC."""
+    known = silver.where(F.col(key).isNotNull()).withColumns(_utc_hour())
+    return _top_names(known.groupBy("weekday", "hour", key).agg(packets()), ["weekday", "hour"], key, limit)
+
+
+def profile_protocol_mix(silver: DataFrame) -> DataFrame:
+    """Share of each protocol in the packets of each weekday and hour of day."""
+    counted = silver.withColumns(_utc_hour()).groupBy("weekday", "hour", "protocol").agg(packets())
+    whole = F.sum("packets").over(Window.partitionBy("weekday", "hour"))
+    return counted.withColumn("pct", F.col("packets") * 100.0 / whole)
 
 
 def profile_deviation(silver: DataFrame) -> DataFrame:
-    """Each hour's bytes relative to the mean of its weekday and hour."""
-    per_hour = silver.groupBy("event_date", "event_hour").agg(packets(), volume()).withColumns({
-        "weekday": F.dayofweek("event_date"), "hour": F.hour("event_hour"),
-    })
+    """Each hour's bytes relative to the mean of its weekday and hour; one aggregate, then a window over hours."""
+    slot = Window.partitionBy("weekday", "hour")
     ratio = F.when(F.col("mean_bytes") > 0, F.col("bytes") / F.col("mean_bytes"))
-    return per_hour.join(hour_weekday_profile(silver), ["weekday", "hour"]).select(
-        "event_date", "event_hour", "packets", "bytes", "mean_bytes", ratio.alias("ratio")
-    )
+    scored = _per_hour(silver).withColumn("mean_bytes", F.avg("bytes").over(slot))
+    return scored.select("hour_start", "weekday", "hour", "packets", "bytes", "mean_bytes", ratio.alias("ratio"))
 
 
 _FLOW = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
@@ -141,7 +172,7 @@ def last_hours(silver: DataFrame, hours: int, as_of=None) -> DataFrame:
     """Volume by address, port and service over the last hours (for export)."""
     moment = as_instant(as_of)
     since = F.timestamp_micros(F.unix_micros(moment) - F.lit(hours * 3_600_000_000))
-    rows = silver.where((F.col("event_ts") >= since) & (F.col("event_ts") <= moment))
+    rows = prune_to(silver, as_of, hours * 60).where((F.col("event_ts") >= since) & (F.col("event_ts") <= moment))
     return rows.groupBy("src_ip", "dst_port", "service_info").agg(packets(), volume())
 
 
@@ -153,8 +184,12 @@ def periodic(silver: DataFrame, unit: str = "week") -> DataFrame:
 
 
 def between(silver: DataFrame, start, end) -> DataFrame:
-    """Rows of an arbitrary window; feed it to any breakdown."""
-    return silver.where((F.col("event_ts") >= as_instant(start)) & (F.col("event_ts") < as_instant(end)))
+    """Rows of an arbitrary window; feed it to any breakdown. Dates are bounded too, a day wider for other offsets."""
+    first, last = as_instant(start), as_instant(end)
+    return silver.where(
+        (F.col("event_ts") >= first) & (F.col("event_ts") < last)
+        & F.col("event_date").between(F.date_sub(first.cast("date"), 1), F.date_add(last.cast("date"), 1))
+    )
 
 
 def volume_spikes(silver: DataFrame, minutes: int = 60, history: int = 24, sigmas: float = 3.0) -> DataFrame:

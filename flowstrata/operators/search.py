@@ -9,6 +9,12 @@ from .. import constants as C
 from ..functions import network as net
 
 
+# Stored columns that settle ties, so that orders are total up to equal rows.
+_TIES = [
+    "event_ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "ttl", "flags", "service_info", "agent_id",
+]
+
+
 def _port_argument(value: int | str | None) -> int | None:
     """A port bound, or None where the argument is absent, no number or out of range."""
     if value is None or value == "":
@@ -59,13 +65,15 @@ def search_packets(
         rows = rows.where(F.contains(F.lower(text), F.lit(q.strip().lower())))
     if sort is not None:
         lead = "length" if sort.strip() == "len_desc" else "event_ts"
-        rows = rows.orderBy(F.desc(lead), F.asc(tie_break))
+        ties = [tie_break, *(c for c in _TIES if c not in (lead, tie_break) and c in rows.columns)]
+        rows = rows.orderBy(F.desc(lead), *map(F.asc, ties))
     return rows if limit is None else rows.limit(limit)
 
 
 def recent_packets(silver: DataFrame, arrival: str = "ingested_at", limit: int = C.RECENT_PACKETS) -> DataFrame:
-    """The last packets to arrive, oldest first."""
-    return silver.orderBy(F.desc(arrival)).limit(limit).orderBy(arrival)
+    """The last packets to arrive, oldest first. Ties follow the stored columns, so the result is determined."""
+    order = [arrival, *(c for c in _TIES if c != arrival and c in silver.columns)]
+    return silver.orderBy(*map(F.desc, order)).limit(limit).orderBy(*map(F.asc_nulls_last, order))
 
 
 def anonymize_packets(packets: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,21 +48,14 @@ def latest(silver: DataFrame) -> Column:
 def prune_to(silver: DataFrame, as_of, minutes: int) -> DataFrame:
     """Rows that can lie in a trailing window.
 
-    A fixed ``as_of`` also bounds ``event_date`` (own-offset dates differ from
-    UTC by less than a day) so that partitions are pruned.
+    ``event_date`` is bounded as well (own-offset dates differ from UTC by less than a day), so that partitions are
+    pruned: by a literal for a fixed ``as_of``, by the subquery's result at run time for a column.
     """
     moment = as_instant(as_of)
-    oldest = F.timestamp_micros(F.unix_micros(moment) - F.lit(minutes * 60_000_000))
+    micros = F.unix_micros(moment) - F.lit(minutes * 60_000_000)
     # The bucket start counts, so the whole first minute may be outside.
-    rows = silver.where(F.col("event_ts") >= oldest)
-    if isinstance(as_of, str):
-        as_of = dt.datetime.fromisoformat(as_of)
-    if isinstance(as_of, dt.datetime):
-        if as_of.tzinfo is not None:
-            as_of = as_of.astimezone(dt.timezone.utc)
-        first = (as_of - dt.timedelta(minutes=minutes)).date() - dt.timedelta(days=1)
-        rows = rows.where(F.col("event_date") >= F.lit(first))
-    return rows
+    first = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(micros / 86_400_000_000).cast("int") - 1)
+    return silver.where((F.col("event_ts") >= F.timestamp_micros(micros)) & (F.col("event_date") >= first))
 
 
 def trailing_windows(

@@ -69,13 +69,8 @@ def in_utc(query):
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given events, spread over the cores if they come as a few unsplittable files.
-
-    A table of many files is used as it is, without a shuffle.
-    """
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    """The given events, split by row groups as the reader does."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
 def packets(spark: SparkSession, sf_dir: str, dense: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -260,9 +260,24 @@ decoded AS (SELECT seq AS frame_id, strftime(captured, '%Y-%m-%dT%H:%M:%S.%f') |
       || {_HOST} || '.example.com'
     WHEN kind = 'TCP' AND dst_port = 22 THEN 'SSH-2.0-Demo_1.0' END AS service_info FROM known)"""
 
-_PER_HOUR = f"per_hour AS (SELECT event_date, event_hour, {_SUMS} FROM silver GROUP BY ALL)"
-_PROFILE = """profile AS (SELECT dayofweek(event_date) + 1 AS weekday, hour(event_hour) AS hour, count(*) AS hours_seen,
+_SLOT = "CAST(dayofweek(event_ts) + 1 AS INT) AS weekday, CAST(hour(event_ts) AS INT) AS hour"
+_PER_HOUR = f"""per_hour AS (SELECT date_trunc('hour', event_ts) AS hour_start, {_SLOT}, {_SUMS} FROM silver GROUP BY ALL)"""
+_PROFILE = """profile AS (SELECT weekday, hour, count(*) AS hours_seen,
   avg(packets) AS mean_packets, avg(bytes) AS mean_bytes FROM per_hour GROUP BY ALL)"""
+
+
+def _profile_top(key: str, limit: int) -> str:
+    return f"""{SILVER}, grouped AS (SELECT {_SLOT}, {key}, count(*) AS packets FROM silver WHERE {key} IS NOT NULL GROUP BY ALL)
+        SELECT *, row_number() OVER (PARTITION BY weekday, hour ORDER BY packets DESC, {key}) AS rank FROM grouped
+        QUALIFY rank <= {limit}"""
+
+
+def _new_top(key: str) -> str:
+    return f"""{SILVER} SELECT {key}, count(*) AS packets FROM silver
+        WHERE {key} NOT IN (SELECT {key} FROM silver WHERE event_date < DATE '2024-01-02')
+        GROUP BY {key} ORDER BY packets DESC, {key} LIMIT 50"""
+
+
 _HOURLY_VOLUME = f"volume AS (SELECT date_trunc('hour', event_ts) AS window_start, {_SUMS} FROM silver GROUP BY ALL)"
 
 ORACLES: dict[str, str] = {
@@ -396,6 +411,7 @@ ORACLES: dict[str, str] = {
     "retained_bronze": f"""WITH {_packets()} SELECT 'ARCHIVED' AS state, count(*) AS records, CAST(0 AS BIGINT) AS lines_left
         FROM packets WHERE length >= 0""",
     "stream_gold": f"{_MESSY}, {_silver_from('valid')} {_GOLD}",
+    "stream_gold_late": f"{_MESSY}, {_silver_from('valid')} {_GOLD}",
     "stream_silver": f"{_MESSY}, {_silver_from('valid')} SELECT {_SILVER_COLUMNS} FROM silver",
     "stream_quarantine": f"""{_MESSY} SELECT array_to_string(errors, '; ') AS reason, count(*) AS records
         FROM judged WHERE len(errors) > 0 GROUP BY 1""",
@@ -407,17 +423,16 @@ ORACLES: dict[str, str] = {
     "volume_vs_previous_day": f"""{SILVER}, {_HOURLY_VOLUME} SELECT n.*, b.packets AS packets_before, b.bytes AS bytes_before,
         CASE WHEN b.bytes > 0 THEN (n.bytes - b.bytes) * CAST(100 AS DOUBLE) / b.bytes END AS change_pct
         FROM volume n LEFT JOIN volume b ON b.window_start + INTERVAL 24 HOUR = n.window_start""",
-    "new_top_talkers": f"""{SILVER} SELECT src_ip, packets FROM ({_top('src_ip', 50)})
-        WHERE src_ip NOT IN (SELECT src_ip FROM silver WHERE event_date < DATE '2024-01-02')""",
-    "hour_weekday_profile": f"""{SILVER}, {_PER_HOUR}, {_PROFILE} SELECT CAST(weekday AS INT) AS weekday,
-        CAST(hour AS INT) AS hour, hours_seen, mean_packets, mean_bytes FROM profile""",
-    "profile_top_ports": f"""{SILVER}, grouped AS (SELECT CAST(dayofweek(event_date) + 1 AS INT) AS weekday,
-        CAST(hour(event_hour) AS INT) AS hour, dst_port, count(*) AS packets FROM silver WHERE dst_port IS NOT NULL GROUP BY ALL)
-        SELECT *, row_number() OVER (PARTITION BY weekday, hour ORDER BY packets DESC, dst_port) AS rank FROM grouped
-        QUALIFY rank <= 3""",
-    "profile_deviation": f"""{SILVER}, {_PER_HOUR}, {_PROFILE} SELECT event_date, event_hour, packets, bytes, mean_bytes,
-        CASE WHEN mean_bytes > 0 THEN bytes / mean_bytes END AS ratio FROM per_hour JOIN profile
-        ON weekday = dayofweek(event_date) + 1 AND profile.hour = hour(event_hour)""",
+    "new_top_talkers": _new_top("src_ip"),
+    "new_top_destinations": _new_top("dst_ip"),
+    "hour_weekday_profile": f"""{SILVER}, {_PER_HOUR}, {_PROFILE} SELECT weekday, hour, hours_seen, mean_packets, mean_bytes
+        FROM profile""",
+    "profile_top_ports": _profile_top("dst_port", 3),
+    "profile_top_src_ips": _profile_top("src_ip", 3),
+    "profile_protocol_mix": f"""{SILVER}, grouped AS (SELECT {_SLOT}, protocol, count(*) AS packets FROM silver GROUP BY ALL)
+        SELECT *, packets * CAST(100 AS DOUBLE) / sum(packets) OVER (PARTITION BY weekday, hour) AS pct FROM grouped""",
+    "profile_deviation": f"""{SILVER}, {_PER_HOUR}, {_PROFILE} SELECT hour_start, weekday, hour, packets, bytes, mean_bytes,
+        CASE WHEN mean_bytes > 0 THEN bytes / mean_bytes END AS ratio FROM per_hour JOIN profile USING (weekday, hour)""",
     "flows": f"""{SILVER} SELECT src_ip, dst_ip, src_port, dst_port, protocol, {_SUMS}, min(event_ts) AS first_seen,
         max(event_ts) AS last_seen, (epoch_us(max(event_ts)) - epoch_us(min(event_ts))) / CAST(1000000 AS DOUBLE)
         AS duration_sec FROM silver GROUP BY ALL""",

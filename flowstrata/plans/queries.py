@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -587,22 +588,42 @@ def retained_bronze(spark, sf_dir):
 # ---- streaming ----------------------------------------------------------
 
 
-def _streamed(spark, sf_dir) -> pipeline.Layout:
-    """Messy lines landed as several files and run through the streaming pipeline."""
-    root = scratch_path(spark, "stream")
-    landing = f"{root}/landing"
-    for part in range(3):
+def _land(spark, sf_dir, landing: str, parts) -> None:
+    for part in parts:
         lines = inputs.messy_lines(spark, sf_dir).where(F.col("seq") % 3 == part)
         lines.select("value", F.lit("2024-01-30").alias("dt"), F.lit(part).alias("hr")).write.mode("append").partitionBy(
             "dt", "hr"
         ).text(landing)
-    layout = pipeline.Layout(root, grain="date")
-    # A landing part has at most one file per core, so this makes about three batches.
+
+
+def _run(spark, landing: str, layout: pipeline.Layout) -> None:
+    # A landing part has at most one file per core, so this makes about a batch for each.
     batch_files = spark.sparkContext.defaultParallelism
     pipeline.run_available(bronze.stream_lines(spark, landing, max_files=batch_files), layout)
+
+
+def _streamed(spark, sf_dir) -> pipeline.Layout:
+    """Messy lines landed as several files and run through the streaming pipeline."""
+    root = scratch_path(spark, "stream")
+    _land(spark, sf_dir, f"{root}/landing", range(3))
+    layout = pipeline.Layout(root, grain="date")
+    _run(spark, f"{root}/landing", layout)
     return layout
 
 
+@register
+def stream_gold_late(spark, sf_dir):
+    """A third of the lines arrives after Silver retention has removed all that was stored."""
+    root = scratch_path(spark, "stream-late")
+    layout = pipeline.Layout(root, grain="date")
+    _land(spark, sf_dir, f"{root}/landing", range(2))
+    _run(spark, f"{root}/landing", layout)
+    enforce_retention(spark, layout.silver, as_of=dt.date(2030, 1, 1))
+    _land(spark, sf_dir, f"{root}/landing", [2])
+    _run(spark, f"{root}/landing", layout)
+    return pipeline.gold_table(spark, layout).select(*GOLD_COLUMNS)
+
+
 @register
 def stream_gold(spark, sf_dir):
     return pipeline.gold_table(spark, _streamed(spark, sf_dir)).select(*GOLD_COLUMNS)
@@ -672,6 +693,24 @@ def new_top_talkers(spark, sf_dir):
     return reports.new_top_talkers(rows, known, limit=50)
 
 
+@register
+def new_top_destinations(spark, sf_dir):
+    rows = inputs.silver(spark, sf_dir)
+    known = rows.where(F.col("event_date") < F.lit("2024-01-02").cast("date"))
+    return reports.new_top_destinations(rows, known, limit=50)
+
+
+@register
+def profile_top_src_ips(spark, sf_dir):
+    rows = reports.profile_top(inputs.silver(spark, sf_dir), "src_ip", 3)
+    return rows.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register
+def profile_protocol_mix(spark, sf_dir):
+    return reports.profile_protocol_mix(inputs.silver(spark, sf_dir))
+
+
 @register
 def hour_weekday_profile(spark, sf_dir):
     return reports.hour_weekday_profile(inputs.silver(spark, sf_dir))

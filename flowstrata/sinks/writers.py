@@ -6,12 +6,14 @@ partitions, so a date that holds most rows is still written by many tasks.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import files, schemas
-from ..functions.timestamps import as_instant
+from ..functions.timestamps import as_instant, iso_text
 
 _MAX_RECORDS = 1_000_000
 
@@ -61,20 +63,68 @@ def write_bronze(records: DataFrame, root: str, as_of=None, max_records: int = _
     )
 
 
-def stream_bronze(records: DataFrame, root: str, checkpoint: str, max_records: int = _MAX_RECORDS, **trigger):
-    """The same as a streaming append; the trigger sets the cadence."""
+def stream_bronze(
+    records: DataFrame,
+    root: str,
+    checkpoint: str,
+    max_records: int = _MAX_RECORDS,
+    manifest_path: str | None = None,
+    agent_id: str = "",
+    **trigger,
+):
+    """The same as a streaming append; the trigger sets the cadence.
+
+    The files of a batch carry the query's id and the batch's number in their names, so a batch that is tried again
+    replaces them, and the table is an ordinary folder that compaction and retention may change. With
+    ``manifest_path`` the files enter the manifest as sealed in the same batch.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        name = f"stream-{query}-{batch_id}-"
+        staging = f"{root}/_streaming/{query}-{batch_id}"
+        write_mode = bronze_lines(batch).write.mode("overwrite").option("maxRecordsPerFile", max_records)
+        write_mode.partitionBy("dt", "hr").text(staging)
+        for row in files.listing(spark, root, f"{name}*").select("path").collect():  # of an earlier try
+            files.delete(spark, row["path"])
+        for row in files.listing(spark, staging, "*.txt").select("path").collect():  # a batch's files only
+            folder, file = row["path"].rsplit("/", 1)
+            place = "/".join(folder.rsplit("/", 2)[-2:])
+            files.move(spark, row["path"], f"{root}/{place}/{name}{file}")
+        files.delete(spark, staging)
+        if manifest_path:
+            _register(spark, root, name, manifest_path, agent_id)
+
     return (
-        bronze_lines(records)
-        .writeStream.format("text")
-        .partitionBy("dt", "hr")
-        .option("path", root)
+        records.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .option("maxRecordsPerFile", max_records)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def _register(spark: SparkSession, root: str, name: str, manifest_path: str, agent_id: str) -> None:
+    """Appends the files of this name to the manifest, as sealed."""
+    if files.listing(spark, root, f"{name}*").isEmpty():
+        return
+    lines = spark.read.option("pathGlobFilter", f"{name}*").text(root)
+    held = lines.groupBy(F.col("_metadata.file_path").alias("file_path"), "dt", "hr").agg(
+        F.count(F.lit(1)).alias("record_count"), F.max("_metadata.file_size").alias("size_bytes")
+    )
+    last = F.lit(0)
+    if files.exists(spark, manifest_path):
+        log = spark.read.schema(schemas.MANIFEST).json(manifest_path)
+        last = F.coalesce(log.agg(F.max("seq")).scalar(), F.lit(0))
+    moment = iso_text(as_instant(None))
+    append_manifest(held.select(
+        (last + 1).cast("bigint").alias("seq"), "file_path", F.lit("SEALED").alias("state"),
+        F.date_format(F.col("dt").cast("date"), "yyyy-MM-dd").alias("partition_dt"),
+        F.col("hr").cast("int").alias("partition_hr"), moment.alias("created_at"), moment.alias("sealed_at"),
+        F.lit(None).cast("string").alias("transferred_at"), "size_bytes", "record_count", F.lit(agent_id).alias("agent_id"),
+    ), manifest_path)
+
+
 def write_quarantine(rows: DataFrame, root: str) -> None:
     """Appends ``raw, reason, ts`` rows below ``dt=``."""
     rows.withColumn("dt", F.left("ts", F.lit(10))).write.mode("append").partitionBy("dt").json(root)
@@ -115,16 +165,20 @@ def append_to_table(stream: DataFrame, name: str, checkpoint: str, table_format:
 def write_document(document: DataFrame, path: str) -> None:
     """Replaces a one-row JSON document.
 
-    The new document is written beside the old one and moved over it, so a
-    reader never meets half a document.
+    Each version has a folder of its own, and a pointer file names the current one; it is replaced by an overwriting
+    rename, so at any moment a reader finds a whole document. The version before stays for readers that have begun.
     """
     spark = document.sparkSession
-    fresh = f"{path}.next"
-    document.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(fresh)
-    files.delete(spark, path)
-    files.move(spark, fresh, path)
+    pointer = f"{path}/{files.POINTER}"
+    before = files.read_note(spark, pointer) if files.exists(spark, pointer) else None
+    fresh = f"v-{uuid.uuid4().hex}"
+    document.coalesce(1).write.option("ignoreNullFields", "false").json(f"{path}/{fresh}")
+    files.write_note(spark, pointer, fresh)
+    for name, is_directory in list(files.children(spark, path)):
+        if is_directory and name.startswith("v-") and name not in (fresh, before):
+            files.delete(spark, f"{path}/{name}")
 
 
 def append_manifest(rows: DataFrame, path: str) -> None:
     """Appends log rows; the rows may be derived from the same log."""
-    rows.coalesce(1).write.mode("append").option("ignoreNullFields", "false").json(path)
+    rows.hint("rebalance").write.mode("append").option("ignoreNullFields", "false").json(path)

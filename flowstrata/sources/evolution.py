@@ -21,8 +21,8 @@ from .. import files
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _FOOTER = "path string, directory string, spark_schema string, row_count long"
-# Above this many listed names the driver refuses to hold the list.
-MAX_NAMES = 200_000
+# Stores whose footers are read by range; files of any other one are read whole, by Spark.
+_RANGED = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
 
 
 def _spark_type(arrow_type) -> T.DataType | None:
@@ -37,27 +37,58 @@ def _spark_type(arrow_type) -> T.DataType | None:
         return None
 
 
+def _parsed(tail: bytes) -> tuple[str | None, int | None]:
+    """Spark schema as JSON and row count from bytes that end like a Parquet file; nulls if they don't."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    try:
+        meta = pq.read_metadata(pa.BufferReader(tail))
+        fields = [(f.name, _spark_type(f.type)) for f in meta.schema.to_arrow_schema()]
+    except Exception:  # no Parquet, or a footer that is broken
+        return None, None
+    schema = T.StructType([T.StructField(n, t) for n, t in fields if t is not None])
+    return schema.json(), meta.num_rows
+
+
 def footers(listed: DataFrame) -> DataFrame:
-    """``path, directory, spark_schema, row_count`` per file; null schema if unreadable."""
+    """``path, directory, spark_schema, row_count`` per file; null schema if its footer is broken.
+
+    Only what the file holds can make it unreadable: a store that cannot be opened, or a read that fails, fails the
+    job. Stores that only Spark knows are read through Spark.
+    """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.parquet as pq
+    def by_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as arrow_fs
 
         for batch in batches:
             rows = []
             for path, directory in zip(batch["path"], batch["directory"]):
-                try:
-                    system, name = arrow_fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-                    meta = pq.read_metadata(name, filesystem=system)
-                    fields = [(f.name, _spark_type(f.type)) for f in meta.schema.to_arrow_schema()]
-                    schema = T.StructType([T.StructField(n, t) for n, t in fields if t is not None])
-                    rows.append((path, directory, schema.json(), meta.num_rows))
-                except Exception:
-                    rows.append((path, directory, None, None))
+                system, name = arrow_fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+                with system.open_input_file(name) as handle:
+                    size = handle.size()
+                    end = handle.read_at(min(8, size), max(0, size - 8))
+                    length = int.from_bytes(end[:4], "little") + 8 if end[4:] == b"PAR1" else 0
+                    tail = handle.read_at(length, size - length) if 8 < length <= size else b""
+                rows.append((path, directory, *_parsed(b"PAR1" + tail if tail else end)))
+            yield pd.DataFrame(rows, columns=["path", "directory", "spark_schema", "row_count"])
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, d, *_parsed(c)) for p, d, c in zip(batch["path"], batch["directory"], batch["content"])]
             yield pd.DataFrame(rows, columns=["path", "directory", "spark_schema", "row_count"])
 
-    return listed.select("path", "directory").mapInPandas(read, _FOOTER)
+    names = listed.select("path", "directory")
+    if "content" in listed.columns:
+        return listed.select("path", "directory", "content").mapInPandas(whole, _FOOTER)
+    return names.mapInPandas(by_range, _FOOTER)
+
+
+def _listed(spark: SparkSession, where: str) -> DataFrame:
+    """The table's files; with their content where only Spark can open the store."""
+    if files.qualify(spark, where).split(":", 1)[0] in _RANGED:
+        return files.listing(spark, where).repartition(F.col("path"))
+    return files.contents(spark, where)
 
 
 def safe_cast(value: Column, source: T.DataType, target: T.DataType) -> Column:
@@ -97,19 +128,14 @@ def coerce(df: DataFrame, target: T.StructType, strict: bool = False) -> DataFra
     failed = keyed.groupBy("_file").agg(*[
         F.bool_or(F.col(f.name).isNotNull() & columns[f.name].isNull()).alias(f"_bad_{f.name}") for f in differing
     ])
-    joined = keyed.join(failed, "_file")
+    # Only files with such a value are kept on this side: few, so that the rows need not be dealt out by file.
+    wrong = failed.where(F.greatest(*[F.col(f"_bad_{f.name}") for f in differing], F.lit(False)))
+    joined = keyed.join(wrong, "_file", "left")
     for field in differing:
-        columns[field.name] = F.when(~F.col(f"_bad_{field.name}"), columns[field.name])
+        columns[field.name] = F.when(~F.coalesce(F.col(f"_bad_{field.name}"), F.lit(False)), columns[field.name])
     return joined.select(*[c.alias(n) for n, c in columns.items()])
 
 
-def _names(df: DataFrame) -> list:
-    rows = df.limit(MAX_NAMES + 1).collect()
-    if len(rows) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} file groups; read fewer partitions at a time")
-    return rows
-
-
 def read_groups(
     spark: SparkSession, root: str, groups: Sequence[tuple[str, list[str]]], target: T.StructType, strict: bool
 ) -> DataFrame:
@@ -135,16 +161,16 @@ def read_with_evolution(
     """A Hive-partitioned Parquet table under the given schema.
 
     ``partition_filter`` names one partition directory (``event_date=...``).
-    Unreadable files are skipped; a missing or empty root gives an empty frame.
+    Files with a broken footer are skipped, see ``unreadable_files``; a missing or empty root gives an empty frame.
     A directory whose files share one schema is passed to the reader as a
     whole; only mixed directories are listed file by file.
     """
     where = f"{root}/{partition_filter}" if partition_filter else root
     if not files.exists(spark, where):
         return spark.createDataFrame([], schema)
-    listed = files.listing(spark, where).where(F.col("directory").rlike(r"/event_date=[^/]+(/|$)"))
+    listed = _listed(spark, where).where(F.col("directory").rlike(r"/event_date=[^/]+(/|$)"))
     # One row per file, used twice below; names and schemas only.
-    info = footers(listed.repartition(F.col("path"))).persist()
+    info = footers(listed).persist()
     try:
         per_dir = info.groupBy("directory").agg(
             F.count_distinct("spark_schema").alias("schemas"),
@@ -156,10 +182,16 @@ def read_with_evolution(
         names = uniform.select("spark_schema", F.col("directory").alias("name")).unionByName(
             mixed.select("spark_schema", F.col("path").alias("name"))
         )
-        rows = _names(names.orderBy("spark_schema", "name"))
+        groups: dict[str, list[str]] = {}
+        for row in names.orderBy("spark_schema", "name").toLocalIterator():
+            groups.setdefault(row["spark_schema"], []).append(row["name"])
     finally:
         info.unpersist()
-    groups: dict[str, list[str]] = {}
-    for row in rows:
-        groups.setdefault(row["spark_schema"], []).append(row["name"])
     return read_groups(spark, root, list(groups.items()), schema, strict)
+
+
+def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, directory`` of the files that ``read_with_evolution`` skips."""
+    if not files.exists(spark, root):
+        return spark.createDataFrame([], "path string, directory string")
+    return footers(_listed(spark, root)).where(F.col("spark_schema").isNull()).select("path", "directory")

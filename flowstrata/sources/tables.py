@@ -50,10 +50,16 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, schema: str | T.StructType = schemas.SNAPSHOT) -> DataFrame:
-    """A JSON document as one typed row; no row if missing or corrupt."""
+    """A JSON document as one typed row; no row if missing or corrupt.
+
+    Follows the pointer that ``write_document`` leaves; a path without one is read as it is.
+    """
     typed = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     if not files.exists(spark, path):
         return spark.createDataFrame([], typed)
+    pointer = f"{path}/{files.POINTER}"
+    if files.exists(spark, pointer):
+        path = f"{path}/{files.read_note(spark, pointer)}"
     return spark.read.schema(typed).option("mode", "DROPMALFORMED").json(path)
 
 

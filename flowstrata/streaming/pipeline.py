@@ -1,9 +1,11 @@
 """Bronze lines to Silver, quarantine and exact Gold as one streaming query.
 
-Each micro-batch first writes Silver under its own ``ingest_batch`` partition,
-then rebuilds Gold for the hours it touched from all of Silver. Both writes
+Each micro-batch writes Silver, quarantined lines and partial Gold rows, all
+below partitions named by the query's id and the batch's number. The writes
 replace whole partitions, so a batch that is tried again changes nothing, and
-late rows simply rebuild an older hour. Nothing is dropped by a watermark.
+another query on the same tables never overwrites them. Gold is the aggregate
+of all partial rows: late rows add to an old hour however long Silver is kept,
+and no batch reads what earlier ones have stored.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import files, schemas
@@ -22,22 +23,22 @@ from ..operators import metrics
 from ..operators.silver import to_silver
 from ..operators.validation import accepted, quarantine_rows, validate_json
 from ..sinks.writers import overwrite_partitions
-from ..sources.tables import read_gold, read_silver
+from ..sources.tables import read_silver
 
-# Partitions one batch may touch before Gold is rebuilt by a join instead of by paths.
-_MAX_TOUCHED = 2_000
+_BATCH = ["ingest_query", "ingest_batch"]
 
 
 @dataclass(frozen=True)
 class Layout:
     """Where the layers of one pipeline live, and how finely they are partitioned.
 
-    By ``hour`` a batch of current traffic rebuilds one or two hours of Gold; by
-    ``date`` it rebuilds the day. The latter suits thin data spread over many hours.
+    By ``date`` there are fewer partitions, which suits thin data spread over many
+    hours. ``stream`` names the checkpoint; several streams may fill one layout.
     """
 
     root: str
     grain: str = "hour"
+    stream: str = "medallion"
 
     @property
     def keys(self) -> list[str]:
@@ -51,13 +52,17 @@ class Layout:
     def gold(self) -> str:
         return f"{self.root}/gold"
 
+    @property
+    def gold_state(self) -> str:
+        return f"{self.root}/gold_state"
+
     @property
     def quarantine(self) -> str:
         return f"{self.root}/quarantine"
 
     @property
     def checkpoint(self) -> str:
-        return f"{self.root}/_checkpoints/medallion"
+        return f"{self.root}/_checkpoints/{self.stream}"
 
 
 def with_partitions(df: DataFrame, layout: Layout) -> DataFrame:
@@ -68,39 +73,31 @@ def with_partitions(df: DataFrame, layout: Layout) -> DataFrame:
     return df.withColumn("event_hr", F.hour("event_hour")) if "event_hr" in layout.keys else df
 
 
-def _touched_silver(spark: SparkSession, layout: Layout, batch: DataFrame) -> DataFrame:
-    """All Silver rows of the partitions touched by ``batch``."""
-    touched = batch.select(*layout.keys).distinct()
-    found = touched.limit(_MAX_TOUCHED + 1).collect()
-    if len(found) <= _MAX_TOUCHED:
-        paths = ["/".join([layout.silver, *(f"{key}={row[key]}" for key in layout.keys)]) for row in found]
-        if not paths:
-            return spark.createDataFrame([], schemas.SILVER)
-        stored = spark.read.schema(schemas.SILVER).option("basePath", layout.silver).parquet(*paths)
-    else:
-        hour = [T.StructField("event_hr", T.IntegerType())] if "event_hr" in layout.keys else []
-        schema = T.StructType([*schemas.SILVER.fields, *hour])
-        stored = spark.read.schema(schema).parquet(layout.silver).join(touched, layout.keys, "left_semi")
-    return stored.select(*schemas.SILVER.fieldNames())
+def _query_id(spark: SparkSession) -> str:
+    """The id of the running streaming query, which its checkpoint keeps; ``direct`` outside of one."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
 
 
-def process_batch(lines: DataFrame, batch_id: int, layout: Layout, raw: str = "value") -> None:
+def process_batch(
+    lines: DataFrame, batch_id: int, layout: Layout, raw: str = "value", query_id: str | None = None
+) -> None:
     """One micro-batch through all layers."""
-    spark = lines.sparkSession
+    named = {"ingest_query": F.lit(query_id or _query_id(lines.sparkSession)), "ingest_batch": F.lit(batch_id)}
     checked = validate_json(lines, raw).drop("_rescued_data").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        silver = with_partitions(to_silver(accepted(checked)), layout).withColumn("ingest_batch", F.lit(batch_id))
-        overwrite_partitions(silver, layout.silver, [*layout.keys, "ingest_batch"])
+        silver = to_silver(accepted(checked))
+        stored = with_partitions(silver, layout).withColumns(named)
+        overwrite_partitions(stored, layout.silver, [*layout.keys, *_BATCH])
         # One directory per batch, whatever the date, so that a retry after midnight replaces it.
-        bad = quarantine_rows(checked, raw=F.col(raw)).withColumn("ingest_batch", F.lit(batch_id))
+        bad = quarantine_rows(checked, raw=F.col(raw)).withColumns(named)
         (
             bad.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("ingest_batch")
+            .partitionBy(*_BATCH)
             .json(layout.quarantine)
         )
-        stored = _touched_silver(spark, layout, silver)
-        overwrite_partitions(with_partitions(gold_ops.hourly(stored), layout), layout.gold, layout.keys)
+        state = gold_ops.partials(silver).withColumns(named)
+        overwrite_partitions(state, layout.gold_state, ["event_date", *_BATCH])
     finally:
         checked.unpersist()
 
@@ -139,7 +136,17 @@ def silver_table(spark: SparkSession, layout: Layout) -> DataFrame:
 
 
 def gold_table(spark: SparkSession, layout: Layout) -> DataFrame:
-    return read_gold(spark, layout.gold)
+    """Gold as of all batches so far."""
+    if not files.exists(spark, layout.gold_state):
+        return spark.createDataFrame([], schemas.GOLD)
+    return gold_ops.merge_partials(spark.read.schema(gold_ops.PARTIAL).parquet(layout.gold_state))
+
+
+def publish_gold(spark: SparkSession, layout: Layout, since=None) -> None:
+    """Stores Gold as a plain table, replacing its dates (from ``since`` on); for readers of many queries."""
+    gold = gold_table(spark, layout)
+    gold = gold if since is None else gold.where(F.col("event_date") >= F.lit(since).cast("date"))
+    overwrite_partitions(with_partitions(gold, layout), layout.gold, layout.keys)
 
 
 def quarantine_table(spark: SparkSession, layout: Layout) -> DataFrame:

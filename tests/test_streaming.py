@@ -1,17 +1,21 @@
 from __future__ import annotations
 
+import datetime as dt
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from flowstrata import schemas
-from flowstrata.maintenance.compaction import compact_parquet
-from flowstrata.operators import gold
+from flowstrata.maintenance.compaction import compact_bronze, compact_parquet
+from flowstrata.maintenance.retention import enforce_bronze_retention, enforce_retention
+from flowstrata.operators import gold, manifest
 from flowstrata.operators.silver import to_silver
 from flowstrata.operators.validation import accepted, validate_json
 from flowstrata.sinks import writers
 from flowstrata.sources import bronze as bronze_source
+from flowstrata.sources.tables import read_gold, read_manifest
 from flowstrata.streaming import live, pipeline
 
 GOLD = [n for n in schemas.GOLD.fieldNames() if n != "computed_at"]
@@ -67,12 +71,59 @@ def test_a_retried_batch_changes_nothing(spark, tmp_path):
     assert same(pipeline.gold_table(spark, layout), batch_gold(spark, landing))
 
 
-def test_many_touched_partitions_use_the_join(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(pipeline, "_MAX_TOUCHED", 0)
+def test_late_rows_after_silver_retention(spark, tmp_path):
     landing, layout = tmp_path / "landing", pipeline.Layout(str(tmp_path / "tables"))
-    land(landing, "a", [line(i) for i in range(30)])
-    pipeline.process_batch(bronze_source.read_lines(spark, str(landing)), 0, layout)
+    land(landing, "a", [line(i) for i in range(50)])
+    pipeline.run_available(bronze_source.stream_lines(spark, str(landing)), layout)
+    assert enforce_retention(spark, layout.silver, days=1, as_of=dt.date(2030, 1, 1)) == 1
+    land(landing, "b", [line(1, src_ip="10.0.9.9")])
+    pipeline.run_available(bronze_source.stream_lines(spark, str(landing)), layout)
+    assert pipeline.silver_table(spark, layout).count() == 1
     assert same(pipeline.gold_table(spark, layout), batch_gold(spark, landing))
+    pipeline.publish_gold(spark, layout)
+    assert same(read_gold(spark, layout.gold), batch_gold(spark, landing))
+
+
+@pytest.mark.parametrize("stream", ["medallion", "second"])
+def test_another_query_on_the_same_tables(spark, tmp_path, stream):
+    """A new checkpoint of the same stream, and a second stream, add rows and overwrite none."""
+    landing, more = tmp_path / "landing", tmp_path / "more"
+    land(landing, "a", [line(i) for i in range(50)] + ["x"])
+    land(more, "b", [line(i, src_ip="10.0.9.9") for i in range(7)] + ["y"])
+    layout = pipeline.Layout(str(tmp_path / "tables"))
+    pipeline.run_available(bronze_source.stream_lines(spark, str(landing)), layout)
+    shutil.rmtree(layout.checkpoint)
+    other = pipeline.Layout(layout.root, stream=stream)
+    pipeline.run_available(bronze_source.stream_lines(spark, str(more)), other)
+    assert pipeline.silver_table(spark, layout).count() == 57
+    assert pipeline.quarantine_table(spark, layout).count() == 2
+    both = to_silver(accepted(validate_json(
+        bronze_source.read_lines(spark, str(landing)).unionByName(bronze_source.read_lines(spark, str(more)))
+    )))
+    assert same(pipeline.gold_table(spark, layout), gold.hourly(both))
+
+
+def test_bronze_lifecycle(spark, tmp_path):
+    """Stream, seal, compact, stream on, retain: the lines stay readable."""
+    landing, data, log = tmp_path / "landing", str(tmp_path / "bronze"), str(tmp_path / "manifest")
+
+    def stream():
+        valid = accepted(validate_json(bronze_source.stream_lines(spark, str(landing), max_files=1)))
+        writers.stream_bronze(valid, data, str(tmp_path / "c"), manifest_path=log).awaitTermination()
+
+    for part in range(3):
+        land(landing, f"f{part}", [line(i) for i in range(10)])
+    stream()
+    assert bronze_source.read_lines(spark, data).count() == 30
+    assert manifest.pending_transfer(read_manifest(spark, log)).agg(F.sum("record_count")).first()[0] == 30
+    assert compact_bronze(spark, data, log) == 3
+    land(landing, "late", [line(i) for i in range(5)])
+    stream()
+    assert bronze_source.read_lines(spark, data).count() == 35
+    sealed = manifest.pending_transfer(read_manifest(spark, log))
+    assert sealed.agg(F.sum("record_count")).first()[0] == 35
+    writers.append_manifest(manifest.mark_transferred(read_manifest(spark, log), sealed, "2026-01-16T00:00:00"), log)
+    assert enforce_bronze_retention(spark, log, as_of="2036-01-01T00:00:00") == 2
 
 
 def test_stream_table_compaction(spark, tmp_path):
@@ -81,7 +132,7 @@ def test_stream_table_compaction(spark, tmp_path):
     rows = bronze_source.read_lines(spark, str(landing))
     for batch in range(3):
         pipeline.process_batch(rows, batch, layout)
-    merged = compact_parquet(spark, layout.silver, schemas.SILVER, partitions=("event_date", "event_hr"),
+    merged = compact_parquet(spark, layout.silver, schemas.SILVER, partitions=("event_date", "event_hr", "ingest_query"),
                              merged_batch=-1, before_batch=2)
     assert merged == 6 and pipeline.silver_table(spark, layout).count() == 90
     pipeline.process_batch(rows, 2, layout)
