@@ -6,12 +6,12 @@
    hold one of the other's among its rarest ``len - floor + 1``. Only those go into inverted lists, so values that
    many texts share stay out of the lists of all texts but those that consist of them.
 3. Lists yield candidate pairs, without all pairs of a list: in each round, a list that still joins two components
-   offers a few of its members (from its smallest components) as hubs to all others of other components, and then gives
+   offers some of its members (from its smallest components) as hubs to all others of other components, and then gives
    them up. A list is finished when its members are in one component or used up, so no pair that could join two
-   components stays untested.
-4. The union of two sketches gives an estimate that filters candidates; the full sets decide.
-5. A round verifies the best candidate of each class first and merges what that links; of the other candidates, those
-   that still join two components are verified after that. Pairs that have become redundant are never read.
+   components stays untested. Each round offers eight times as many hubs as the last, so lists whose members are not
+   similar end after a few rounds.
+4. Candidates are verified in blocks: pairs are dealt out by the hash blocks of both classes, and each set goes once to
+   a block that needs it. There the union of two sketches gives an estimate that filters, and the full sets decide.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from .components import components
 
 SKETCH = 64
 HUBS = 8
+BLOCK = 4000
 MISS = 1e-9
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -102,21 +104,33 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, keys: list[str], width: int)
     return texts.select("_raw", "fp").mapInArrow(run, "fp binary, full binary").dropDuplicates(["fp"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough."""
-    both = pairs.join(sets.toDF("a", "_a"), "a").join(sets.toDF("b", "_b"), "b")
+def _similar(x: np.ndarray, y: np.ndarray, size: int, floor: int, num: int, den: int) -> bool:
+    """Whether two sets are similar enough; the union of their sketches is looked at first."""
+    union = np.union1d(x[:size], y[:size])[:size]
+    if len(union) == size:
+        shared = np.isin(union, x[:size], assume_unique=True) & np.isin(union, y[:size], assume_unique=True)
+        if shared.sum() < floor:
+            return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return den * common >= num * (len(x) + len(y) - common)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * shared >= num * (len(x) + len(y) - shared))
-            chosen = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(chosen) for i in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "_a", "_b").mapInArrow(run, "a binary, b binary")
+def _verified(pairs: DataFrame, sets: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` (a stored table) that are similar, by blocks of about ``BLOCK`` pairs."""
+    blocks = max(1, round(math.sqrt(2 * pairs.count() / BLOCK)))
+    floor = overlap_floor(size, num, den)
+    block = lambda name: F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+    dealt = pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
+    ends = dealt.select("i", "j", F.col("a").alias("fp")).union(dealt.select("i", "j", F.col("b").alias("fp"))).distinct()
+    needed = ends.toDF("p", "q", "fp").join(sets, "fp")
+
+    def decide(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        full = {name: np.frombuffer(raw, np.int64) for name, raw in zip(held["fp"], held["full"])}
+        chosen = [_similar(full[a], full[b], size, floor, num, den) for a, b in zip(asked["a"], asked["b"])]
+        return asked.loc[chosen, ["a", "b"]]
+
+    both = dealt.groupBy("i", "j").cogroup(needed.groupBy("p", "q"))
+    return both.applyInPandas(decide, "a binary, b binary")
 
 
 def _lists(classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -147,20 +161,6 @@ def _candidates(members: DataFrame, parts: DataFrame, hubs: int, num: int, den:
     return chosen.select("value", F.col("hub").alias("fp")), pairs
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Pairs that the union of their sketches lets pass, with ``score``."""
-    sketches = nodes.select("fp", "sketch")
-    both = pairs.join(sketches.toDF("a", "_a"), "a").join(sketches.toDF("b", "_b"), "b")
-    union = F.slice(F.sort_array(F.array_union("_a", "_b")), 1, size)
-    both = both.withColumn("_union", union)
-    shared = F.size(F.array_intersect("_union", F.array_intersect("_a", "_b")))
-    both = both.withColumns({"_shared": shared, "_size": F.size("_union")})
-    passes = F.when(F.col("_size") < size, F.col("_shared") * den >= F.col("_size") * num).otherwise(
-        F.col("_shared") >= overlap_floor(size, num, den)
-    )
-    return both.where(passes).select("a", "b", (F.col("_shared") / F.col("_size")).alias("score"))
-
-
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after joining the components that the verified links ``a, b`` connect."""
     between = links.join(labels.toDF("a", "_ca"), "a").join(labels.toDF("b", "_cb"), "b")
@@ -169,19 +169,13 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return save(moved.select("fp", F.coalesce("_root", "comp").alias("comp")), "labels")
 
 
-def _open_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    marked = pairs.join(labels.toDF("a", "_ca"), "a").join(labels.toDF("b", "_cb"), "b")
-    return marked.where("_ca <> _cb").select(*pairs.columns)
-
-
 def link_classes(docs: DataFrame, classes: DataFrame, keys: list[str], width: int, num: int, den: int,
                  size: int = SKETCH, hubs: int = HUBS) -> DataFrame:
     """``fp, comp`` for every class that shares an inverted list; other classes are linked with nothing."""
     lists = save(_lists(classes, size, num, den), "lists")
     names = save(lists.select("fp").distinct(), "names")
-    nodes = save(classes.join(names, "fp"), "nodes")
-    labels = save(names.select("fp", F.col("fp").alias("comp")), "labels")
-    sets = None
+    labels = names.select("fp", F.col("fp").alias("comp"))
+    sets = tested = None
     while True:
         members = lists.join(labels, "fp")
         parts = save(members.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")), "parts")
@@ -190,24 +184,18 @@ def link_classes(docs: DataFrame, classes: DataFrame, keys: list[str], width: in
         if members.isEmpty():
             return labels
         used, pairs = _candidates(members, parts, hubs, num, den)
-        used = save(used, "hubs")
-        pending = save(_estimated(pairs, nodes, size, num, den), "pending")
-        if sets is None and not pending.isEmpty():
-            sets = save(_full_sets(docs, nodes.select(*keys, "fp"), keys, width), "sets")
-        for step in ("best", "rest"):
-            if pending.isEmpty():
-                break
-            chosen = pending.select("a", "b")
-            if step == "best":
-                ends = pending.select(F.col("a").alias("x"), "*").union(pending.select(F.col("b").alias("x"), "*"))
-                top = ends.groupBy("x").agg(F.max(F.struct("score", "a", "b")).alias("_p"))
-                chosen = save(top.select("_p.a", "_p.b").distinct(), "best")
-            links = save(_verified(chosen, sets, num, den), "verified")
-            if not links.isEmpty():
-                labels = _relabelled(labels, links)
-            if step == "best":
-                pending = save(_open_pairs(pending.join(chosen, ["a", "b"], "left_anti"), labels), "pending")
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = save(pairs, "pairs")
+        if sets is None:
+            wanted = classes.select(*keys, "fp").join(names, "fp")
+            sets = save(_full_sets(docs, wanted, keys, width), "sets")
+        links = save(_verified(pairs, sets, size, num, den), "verified")
+        if not links.isEmpty():
+            labels = _relabelled(labels, links)
+        tested = pairs if tested is None else tested.union(pairs)
         lists = members.select("fp", "n", "value").join(used, ["value", "fp"], "left_anti")
+        hubs *= 8
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, size: int = SKETCH,
