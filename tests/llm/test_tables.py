@@ -228,8 +228,8 @@ def near_rows(prose):
     return rows + [(500, "Two Words"), (501, "two words"), (502, "two"), (502, "two words")]
 
 
-@pytest.mark.parametrize("width,num,den,hubs", [(3, 85, 100, 8), (5, 80, 100, 2)])
-def test_near_duplicates_by_brute_force(documents, prose, odd_rows, width, num, den, hubs):
+def test_near_duplicates_by_brute_force(documents, prose, odd_rows):
+    width, num, den, hubs = 3, 85, 100, 2
     rows = near_rows(prose) + [(1000 + i if i is not None else None, t) for i, t, *_ in odd_rows]
     found = near_dup.near_duplicates(documents(rows), width, num, den, hubs=hubs).collect()
     assert Counter((r.doc_id, r.n, r.component_id) for r in found) == plain_components(rows, width, num, den)
