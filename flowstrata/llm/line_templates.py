@@ -3,7 +3,8 @@
 The tree has a fixed depth: token count, then the leading tokens, then the constant part. Tokens with digits are
 variable fields (``<*>``). At a leaf of eight tokens or more, one half of the remaining tokens may vary as a whole, so
 each line reaches two leaves: one that fixes the first half and one that fixes the second. A template is dropped where
-it recurs in different surroundings; lines that recur only together, as in copies of one document, stay.
+it recurs in documents that have mostly text of their own; documents that consist mostly of lines met elsewhere are
+copies, and don't make a line boilerplate.
 
 Leaves are aggregates: what a common line brings together is counted before the shuffle, and no leaf is gathered.
 """
@@ -18,7 +19,7 @@ from .common import WORD, null_safe_join, save
 LEADING = 2  # tokens that are levels of the tree
 GENERAL_FROM = 8  # tokens of a line whose leaf has a variable half
 EVIDENCE = 20  # constant tokens seen again beyond the first document
-SURROUNDINGS = 0.5  # least share of documents with a previous line, and with a next line, of their own
+OWN = 0.5  # least share of a document's words in lines of its own, for it to count
 _SPACE = r"[\x20\x09-\x0D]+"
 _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
@@ -28,20 +29,14 @@ def _masked(line: Column) -> Column:
 
 
 def template_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
-    """One row per line with a word and leaf: the ``doc`` columns, ``no`` (0-based line), ``leaf``, ``constant``
-    (fixed tokens of the leaf), ``_doc``, ``_prev``, ``_next`` (hashes of document and neighbouring lines; at a
-    document's edge, of the document)."""
+    """One row per line with a word and leaf: the ``doc`` columns, ``_doc`` (their hash), ``no`` (0-based line), ``leaf``,
+    ``constant`` (fixed tokens of the leaf), ``_n`` and ``_total`` (tokens of line and document)."""
     numbered = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("no"), _masked(x).alias("line")))
-    filled = docs.select(*doc, F.filter(numbered, lambda s: s["line"].rlike(WORD)).alias("_lines"))
-    hashed = filled.withColumn("_hashes", F.transform("_lines", lambda s: F.xxhash64(s["line"])))
-    before = F.concat(F.array(F.lit(None).cast("bigint")), F.col("_hashes"))
-    after = F.slice("_hashes", F.lit(2), F.greatest(F.size("_hashes"), F.lit(0)))
-    zipped = F.arrays_zip(F.col("_lines").alias("l"), before.alias("before"), after.alias("after"))
-    lines = hashed.select(*doc, F.xxhash64(*doc).alias("_doc"), F.explode(zipped).alias("_z")).where("_z.l is not null")
-    lines = lines.select(
-        *doc, "_doc", F.col("_z.l.no").alias("no"), F.split(F.regexp_replace("_z.l.line", f"^{_SPACE}|{_SPACE}$", ""), _SPACE).alias("_t"),
-        F.coalesce("_z.before", "_doc").alias("_prev"), F.coalesce("_z.after", "_doc").alias("_next"),
-    ).withColumn("_n", F.size("_t"))
+    filled = F.filter(numbered, lambda s: s["line"].rlike(WORD))
+    tokens = F.size(F.split(F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", ""), _SPACE))
+    lines = docs.select(*doc, F.xxhash64(*doc).alias("_doc"), tokens.alias("_total"), F.inline(filled))
+    bare = F.regexp_replace("line", f"^{_SPACE}|{_SPACE}$", "")
+    lines = lines.select(*doc, "_doc", "_total", "no", F.split(bare, _SPACE).alias("_t")).withColumn("_n", F.size("_t"))
     first = LEADING + F.expr(f"(_n - {LEADING} + 1) div 2").cast("int")
     leaf = "struct<leaf:bigint,constant:int>"
     whole = F.array(F.struct(F.xxhash64(F.lit(0), "_n", "_t").alias("leaf"), F.col("_n").alias("constant")).cast(leaf))
@@ -53,23 +48,22 @@ def template_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataF
         ).cast(leaf),
     )
     leaves = F.when(F.col("_n") < GENERAL_FROM, whole).otherwise(halves)
-    return lines.select(*doc, "_doc", "no", "_prev", "_next", F.inline(leaves))
+    return lines.select(*doc, "_doc", "_total", "no", "_n", F.inline(leaves))
 
 
 def recurring_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
-    """The ``doc`` columns and ``dropped``, the array of line numbers whose template recurs."""
+    """The ``doc`` columns and ``__llm_dropped``, the array of line numbers whose template recurs."""
     lines = template_lines(docs, doc, text)
     # A cheap pass first: most leaves are met in one document only.
     met = lines.groupBy("leaf").agg(F.min("_doc").alias("_low"), F.max("_doc").alias("_high"))
     shared = save(lines.join(met.where("_low <> _high").select("leaf"), "leaf"), "lines")
-    counts = shared.groupBy("leaf").agg(
-        F.countDistinct("_doc").alias("docs"), F.countDistinct("_prev").alias("before"),
-        F.countDistinct("_next").alias("after"), F.max("constant").alias("constant"),
-    )
-    least = F.greatest(F.lit(2.0), F.col("docs") * SURROUNDINGS)
-    templates = counts.where(
-        ((F.col("docs") - 1) * F.col("constant") >= EVIDENCE) & (F.col("before") >= least) & (F.col("after") >= least)
+    once = shared.groupBy("_doc", "no").agg(F.max("_n").alias("_n"), F.max("_total").alias("_total"))
+    held = once.groupBy("_doc").agg(F.sum("_n").alias("_met"), F.max("_total").alias("_total"))
+    original = held.where(F.col("_met") <= F.col("_total") * (1 - OWN)).select("_doc")
+    counts = shared.join(original, "_doc").groupBy("leaf").agg(
+        F.countDistinct("_doc").alias("docs"), F.max("constant").alias("constant")
     )
+    templates = counts.where((F.col("docs") - 1) * F.col("constant") >= EVIDENCE)
     found = shared.select(*doc, "no", "leaf").join(templates.select("leaf"), "leaf")
     return found.groupBy(*doc).agg(F.collect_set("no").alias("__llm_dropped"))
 

@@ -73,7 +73,6 @@ def _license_scan() -> str:
 def _line_templates() -> str:
     space, word = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
     lead, general = line_templates.LEADING, line_templates.GENERAL_FROM
-    least = f"greatest(2, docs * {line_templates.SURROUNDINGS})"
     return f"""
       WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS k, doc_id, text
                     FROM (SELECT DISTINCT doc_id, text FROM documents)),
@@ -81,20 +80,19 @@ def _line_templates() -> str:
                      generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM docs WHERE text IS NOT NULL),
       filled AS (SELECT k, no, regexp_replace(x, '{word}*[0-9]{word}*', '<*>', 'g') AS line FROM raw
                  WHERE regexp_matches(x, '{word}')),
-      cut AS (SELECT k, no, coalesce('L' || lag(line) OVER w, 'D' || k) AS before, coalesce('L' || lead(line) OVER w, 'D' || k) AS after,
-                     regexp_split_to_array(regexp_replace(line, '^{space}|{space}$', '', 'g'), '{space}') AS t
-              FROM filled WINDOW w AS (PARTITION BY k ORDER BY no)),
+      cut AS (SELECT k, no, regexp_split_to_array(regexp_replace(line, '^{space}|{space}$', '', 'g'), '{space}') AS t FROM filled),
       sized AS (SELECT *, len(t) AS n, {lead} + (len(t) - {lead} + 1) // 2 AS first FROM cut),
       leaves AS (
-        SELECT k, no, before, after, '0 ' || n || ' ' || array_to_string(t, ' ') AS leaf, n AS constant FROM sized WHERE n < {general}
-        UNION ALL SELECT k, no, before, after, '1 ' || n || ' ' || array_to_string(t[1:first], ' '), first
-        FROM sized WHERE n >= {general}
-        UNION ALL SELECT k, no, before, after, '2 ' || n || ' ' || array_to_string(t[1:{lead}], ' ') || chr(10)
+        SELECT k, no, n, '0 ' || n || ' ' || array_to_string(t, ' ') AS leaf, n AS constant FROM sized WHERE n < {general}
+        UNION ALL SELECT k, no, n, '1 ' || n || ' ' || array_to_string(t[1:first], ' '), first FROM sized WHERE n >= {general}
+        UNION ALL SELECT k, no, n, '2 ' || n || ' ' || array_to_string(t[1:{lead}], ' ') || chr(10)
           || array_to_string(t[first + 1:n], ' '), {lead} + n - first FROM sized WHERE n >= {general}),
-      templates AS (
-        SELECT leaf, count(DISTINCT k) AS docs, count(DISTINCT before) AS befores, count(DISTINCT after) AS afters,
-               max(constant) AS constant FROM leaves GROUP BY leaf
-        HAVING docs > 1 AND (docs - 1) * constant >= {line_templates.EVIDENCE} AND befores >= {least} AND afters >= {least}),
+      shared AS (SELECT * FROM leaves SEMI JOIN (SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT k) > 1) USING (leaf)),
+      totals AS (SELECT k, sum(n) AS total FROM sized GROUP BY k),
+      original AS (SELECT k FROM (SELECT k, sum(n) AS met FROM (SELECT DISTINCT k, no, n FROM shared) GROUP BY k)
+                   JOIN totals USING (k) WHERE met <= total * (1 - {line_templates.OWN})),
+      templates AS (SELECT leaf, count(DISTINCT k) AS docs, max(constant) AS constant FROM shared SEMI JOIN original USING (k)
+                    GROUP BY leaf HAVING (docs - 1) * constant >= {line_templates.EVIDENCE}),
       dropped AS (SELECT DISTINCT k, no FROM leaves SEMI JOIN templates USING (leaf)),
       rest AS (SELECT raw.k, count(*) AS n_lines, count(dropped.no) AS gone,
                       coalesce(string_agg(x, chr(10) ORDER BY raw.no) FILTER (dropped.no IS NULL), '') AS kept
