@@ -50,10 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/flowstrata/{label}-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(target)  # only an existing path can be marked
-    fs.deleteOnExit(target)
-    return path
+    """A fresh path below the shared folder, in the application's own folder, which goes when the driver ends."""
+    own = f"{shared_dir(spark)}/flowstrata/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
