@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..files import make_dirs
 from ..session import scratch_path
 from .common import bound_batches
 
@@ -148,6 +149,7 @@ def scan(versions: DataFrame, paths: list[str], ledger_path: str, text: str = "t
 def scan_documents(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     """Digest of the findings in documents, one row each; without a ledger, a new one."""
     path = ledger_path or scratch_path(docs.sparkSession, "ledger")
+    make_dirs(docs.sparkSession, path)
     return scan(docs, ["doc_id"], path).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"
     )
