@@ -235,10 +235,6 @@ def _measured(state: DataFrame, index: Index) -> DataFrame:
     wanted = state.select("query", "vec", F.explode("next").alias("node"))
     wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(index.buckets)).cast("int"))
     wanted = wanted.groupBy("bucket", "query").agg(F.first("vec").alias("vec"), F.collect_list("node").alias("want"))
-    # Queries of a bucket are split, so that many of them make several tasks; the bucket's vectors go to each.
-    slots = 4
-    wanted = wanted.withColumn("slot", F.pmod(F.xxhash64("query"), F.lit(slots)).cast("int"))
-    held = index.nodes.withColumn("slot", F.explode(F.array(*(F.lit(i) for i in range(slots)))))
 
     def measure(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or held.empty:
@@ -254,7 +250,7 @@ def _measured(state: DataFrame, index: Index) -> DataFrame:
             distances.append(np.sqrt(((points[at] - np.asarray(vec)) ** 2).sum(1)))
         return pd.DataFrame({"query": asked["query"].to_numpy(), "ids": ids, "dist": distances})
 
-    both = wanted.groupBy("bucket", "slot").cogroup(held.groupBy("bucket", "slot"))
+    both = wanted.groupBy("bucket").cogroup(index.nodes.groupBy("bucket"))
     return both.applyInPandas(measure, "query long, ids array<long>, dist array<double>")
 
 
