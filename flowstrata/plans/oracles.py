@@ -415,6 +415,13 @@ ORACLES: dict[str, str] = {
     "stream_silver": f"{_MESSY}, {_silver_from('valid')} SELECT {_SILVER_COLUMNS} FROM silver",
     "stream_quarantine": f"""{_MESSY} SELECT array_to_string(errors, '; ') AS reason, count(*) AS records
         FROM judged WHERE len(errors) > 0 GROUP BY 1""",
+    "stream_minutes": f"""{SILVER} SELECT date_trunc('minute', event_ts) AS minute, protocol, {_SUMS} FROM silver
+        GROUP BY ALL""",
+    "table_append": f"{_MESSY}, {_silver_from('valid')} SELECT {_SILVER_COLUMNS} FROM silver",
+    "stored_summary": f"""{SILVER}, gold AS ({_GOLD}) SELECT 'silver' AS layer, count(*) AS rows FROM silver
+        UNION ALL SELECT 'gold', count(*) FROM gold""",
+    "stored_gold_preview": f"""{SILVER} {_GOLD}
+        ORDER BY event_hour, event_date, protocol NULLS FIRST, src_network NULLS FIRST, agent_id NULLS FIRST LIMIT 20""",
     "stream_protocol_totals": f"{SILVER} SELECT protocol, {_SUMS} FROM silver GROUP BY protocol",
     "frame_decode": f"{_FRAMES} SELECT * EXCLUDE (captured) FROM decoded",
     "frame_to_gold": f"""{_FRAMES}, silver AS (SELECT *, captured AS event_ts, date_trunc('hour', captured) AS event_hour,

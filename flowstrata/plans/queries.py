@@ -494,6 +494,38 @@ def silver_table_scan(spark, sf_dir):
     )
 
 
+@register
+def stored_summary(spark, sf_dir):
+    """Row counts of stored Silver and Gold."""
+    root = scratch_path(spark, "summary")
+    rows = inputs.silver(spark, sf_dir).drop("seq")
+    writers.write_partitioned(rows, f"{root}/silver")
+    writers.write_partitioned(gold.hourly(rows), f"{root}/gold")
+    return tables.table_summary(spark, f"{root}/silver", f"{root}/gold")
+
+
+@register
+def stored_gold_preview(spark, sf_dir):
+    """The first rows of stored Gold, in the order of its key."""
+    root = scratch_path(spark, "preview")
+    writers.write_partitioned(gold.hourly(inputs.silver(spark, sf_dir)), root)
+    stored = tables.read_gold(spark, root).select(*GOLD_COLUMNS)
+    return tables.preview(stored.orderBy(*schemas.GOLD_KEYS), 20)
+
+
+@register
+def table_append(spark, sf_dir):
+    """A stream appended to a table that the DDL has made."""
+    root = scratch_path(spark, "append")
+    _land(spark, sf_dir, f"{root}/landing", range(3))
+    checked = validation.accepted(validation.validate_json(bronze.stream_lines(spark, f"{root}/landing")))
+    rows = to_silver(checked)
+    name = f"append_{root.rsplit('-', 1)[1]}"
+    writers.create_table(spark, name, location=f"{root}/table")
+    writers.append_to_table(rows.select(*schemas.SILVER.fieldNames()), name, f"{root}/_checkpoint").awaitTermination()
+    return spark.read.schema(schemas.SILVER).parquet(f"{root}/table").select(*[c for c in SILVER_COLUMNS if c != "seq"])
+
+
 @register
 def schema_evolution_read(spark, sf_dir):
     """Three generations of files: current, without a column and with an extra one, and with text lengths."""
@@ -641,6 +673,26 @@ def stream_quarantine(spark, sf_dir):
     return table.groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
 
 
+@register
+def stream_minutes(spark, sf_dir):
+    """Minute volumes per protocol of a stream with a watermark, in update mode."""
+    root = scratch_path(spark, "minutes")
+    stream = spark.readStream.schema(inputs.events(spark, sf_dir).schema).option(
+        "pathGlobFilter", "events.parquet"
+    ).parquet(sf_dir)
+    from_events = stream.selectExpr("event_id AS seq", *inputs._expressions("ts"))
+    rows = to_silver(validation.accepted(validation.validate_records(from_events)))
+    (
+        live.minute_volumes(rows, "protocol").writeStream.outputMode("update")
+        .foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{root}/minutes"))
+        .option("checkpointLocation", f"{root}/_checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.parquet(f"{root}/minutes")
+
+
 @register
 def stream_protocol_totals(spark, sf_dir):
     """Running totals of a stream in complete mode; the last table is the result."""
