@@ -5,13 +5,13 @@
    their sketches, but for a probability below 1e-9, so of the sketch's values in order of corpus frequency each must
    hold one of the other's among its rarest ``len - floor + 1``. Only those go into inverted lists, so values that
    many texts share stay out of the lists of all texts but those that consist of them.
-3. Lists yield candidate pairs, without all pairs of a list: in each round, a list that still joins two components
-   offers some of its members (from its smallest components) as hubs to all others of other components, and then gives
-   them up. A list is finished when its members are in one component or used up, so no pair that could join two
-   components stays untested. Each round offers eight times as many hubs as the last, so lists whose members are not
-   similar end after a few rounds.
-4. Candidates are verified in blocks: pairs are dealt out by the hash blocks of both classes, and each set goes once to
-   a block that needs it. There the union of two sketches gives an estimate that filters, and the full sets decide.
+3. First, each list offers a few of its members as hubs to all others. Where the members are copies of each other this
+   leaves one component, at a cost linear in the list.
+4. Lists that still join two components are finished by blocks: classes with the same least list value form blocks of
+   bounded size, and each two blocks that meet in a list are compared once, as a whole, but for pairs of one component.
+   Sets go to block pairs, not to pairs, and only links come back, so a large group of texts that are similar, but not
+   similar enough, makes no row per pair. No pair that could join two components stays untested.
+5. The union of two sketches gives an estimate that filters hub pairs; the full sets decide everywhere.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ from .components import components
 
 SKETCH = 64
 HUBS = 8
-BLOCK = 4000
+PAIRS = 4000  # hub pairs that a task compares at once
+BLOCK = 256  # classes of a block
+APART = 64  # a component of this size has blocks of its own
+_COLUMNS = 16_384  # of a comparison at once
 MISS = 1e-9
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -116,8 +119,8 @@ def _similar(x: np.ndarray, y: np.ndarray, size: int, floor: int, num: int, den:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` (a stored table) that are similar, by blocks of about ``BLOCK`` pairs."""
-    blocks = max(1, round(math.sqrt(2 * pairs.count() / BLOCK)))
+    """The pairs ``a, b`` (a stored table) that are similar, about ``PAIRS`` of them at once."""
+    blocks = max(1, round(math.sqrt(2 * pairs.count() / PAIRS)))
     floor = overlap_floor(size, num, den)
     block = lambda name: F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
     dealt = pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
@@ -149,16 +152,14 @@ def _lists(classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return joined.select("fp", "n", F.explode(F.slice("_shared", F.lit(1), rarest)["value"]).alias("value"))
 
 
-def _candidates(members: DataFrame, parts: DataFrame, hubs: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The round's hubs (``value, fp``) and the pairs ``a, b`` they make with members of other components."""
-    sized = members.join(parts, ["value", "comp"])
-    first = F.min(F.struct("m", F.xxhash64("fp"), "fp", "n", "comp")).alias("_hub")
-    chosen = sized.groupBy("value", F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(hubs)).alias("_slot")).agg(first)
-    chosen = chosen.select("value", F.col("_hub.fp").alias("hub"), F.col("_hub.n").alias("hub_n"), F.col("_hub.comp").alias("hub_comp"))
-    fits = (F.col("comp") != F.col("hub_comp")) & (F.col("n") * den >= F.col("hub_n") * num) & (F.col("hub_n") * den >= F.col("n") * num)
-    met = members.join(chosen, "value").where(fits)
-    pairs = met.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
-    return chosen.select("value", F.col("hub").alias("fp")), pairs
+def _candidates(members: DataFrame, hubs: int, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` that the hubs of each list make with its members; one hub for each slot of a hash."""
+    first = F.min(F.struct(F.xxhash64("fp"), "fp", "n")).alias("_hub")
+    chosen = members.groupBy("value", F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(hubs)).alias("_slot")).agg(first)
+    chosen = chosen.select("value", F.col("_hub.fp").alias("hub"), F.col("_hub.n").alias("hub_n"))
+    near = (F.col("n") * den >= F.col("hub_n") * num) & (F.col("hub_n") * den >= F.col("n") * num)
+    met = members.join(chosen, "value").where((F.col("fp") != F.col("hub")) & near)
+    return met.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -169,33 +170,80 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return save(moved.select("fp", F.coalesce("_root", "comp").alias("comp")), "labels")
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    found = np.zeros((len(left), len(right)), np.float32)
+    values, counts = np.unique(np.concatenate([*left, *right]), return_counts=True)
+    values = values[counts > 1]
+    for start in range(0, len(values), _COLUMNS):
+        part = values[start : start + _COLUMNS]
+        sides = []
+        for sets in (left, right):
+            holds = np.zeros((len(sets), len(part)), np.float32)
+            for row, full in enumerate(sets):
+                inside = full[np.searchsorted(full, part[0]) : np.searchsorted(full, part[-1], "right")]
+                at = np.searchsorted(part, inside)
+                holds[row, at[part[at] == inside]] = 1
+            sides.append(holds)
+        found += sides[0] @ sides[1].T
+    return found
+
+
+def _compared(lists: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` between components, of all pairs that meet in one of the lists."""
+    sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("_size"))
+    apart = F.when(F.col("_size") >= APART, F.col("comp"))
+    nodes = lists.groupBy("fp").agg(F.min("value").alias("_key")).join(labels, "fp").join(sizes, "comp")
+    nodes = nodes.select("fp", "comp", apart.alias("apart"), "_key")
+    counts = nodes.groupBy("apart", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    placed = null_safe_join(nodes, counts, ["apart", "_key"])
+    salt = F.pmod(F.xxhash64("fp", F.lit(3)), F.ceil(F.col("_n") / BLOCK))
+    placed = save(placed.select("fp", "comp", "apart", F.xxhash64("apart", "_key", salt).alias("block")), "blocks")
+    met = lists.select("fp", "value").join(placed, "fp").select("value", "block", "apart").distinct()
+    other = met.toDF("value", "block2", "apart2")
+    joins = (F.col("block") <= F.col("block2")) & ~F.coalesce(F.col("apart") == F.col("apart2"), F.lit(False))
+    pairs = save(met.join(other, "value").where(joins).select("block", "block2").distinct(), "block-pairs")
+    held = placed.join(sets, "fp").select("block", "fp", "comp", "full")
+    first = pairs.join(held, "block").select("block", "block2", "fp", "comp", "full")
+    second = pairs.where("block <> block2").join(held.withColumnRenamed("block", "block2"), "block2")
+    second = second.select("block", "block2", "fp", "comp", "full").toDF("p", "q", "fp2", "comp2", "full2")
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = left if right.empty else right.set_axis(left.columns, axis=1)
+        x, y = ([np.frombuffer(raw, np.int64) for raw in side["full"]] for side in (left, right))
+        common = _common(x, y)
+        whole = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None]
+        alike = den * common.astype(np.int64) >= num * (whole - common.astype(np.int64))
+        alike &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None]
+        at, to = np.nonzero(alike)
+        return pd.DataFrame({"a": left["fp"].to_numpy()[at], "b": right["fp"].to_numpy()[to]}, dtype=object)
+
+    both = first.groupBy("block", "block2").cogroup(second.groupBy("p", "q"))
+    return both.applyInPandas(compare, "a binary, b binary")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, keys: list[str], width: int, num: int, den: int,
                  size: int = SKETCH, hubs: int = HUBS) -> DataFrame:
     """``fp, comp`` for every class that shares an inverted list; other classes are linked with nothing."""
     lists = save(_lists(classes, size, num, den), "lists")
-    names = save(lists.select("fp").distinct(), "names")
+    several = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
+    members = save(lists.join(several, "value"), "members")
+    names = save(members.select("fp").distinct(), "names")
     labels = names.select("fp", F.col("fp").alias("comp"))
-    sets = tested = None
-    while True:
-        members = lists.join(labels, "fp")
-        parts = save(members.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")), "parts")
-        live = parts.groupBy("value").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("value")
-        members = save(members.join(live, "value"), "members")
-        if members.isEmpty():
-            return labels
-        used, pairs = _candidates(members, parts, hubs, num, den)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = save(pairs, "pairs")
-        if sets is None:
-            wanted = classes.select(*keys, "fp").join(names, "fp")
-            sets = save(_full_sets(docs, wanted, keys, width), "sets")
-        links = save(_verified(pairs, sets, size, num, den), "verified")
-        if not links.isEmpty():
-            labels = _relabelled(labels, links)
-        tested = pairs if tested is None else tested.union(pairs)
-        lists = members.select("fp", "n", "value").join(used, ["value", "fp"], "left_anti")
-        hubs *= 8
+    if names.isEmpty():
+        return labels
+    sets = save(_full_sets(docs, classes.select(*keys, "fp").join(names, "fp"), keys, width), "sets")
+    pairs = save(_candidates(members, hubs, num, den), "pairs")
+    links = save(_verified(pairs, sets, size, num, den), "verified")
+    if not links.isEmpty():
+        labels = _relabelled(labels, links)
+    marked = members.join(labels, "fp")
+    live = marked.groupBy("value").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high")
+    rest = save(members.select("fp", "value").join(live.select("value"), "value"), "rest")
+    if rest.isEmpty():
+        return labels
+    links = save(_compared(rest, labels, sets, num, den), "verified")
+    return labels if links.isEmpty() else _relabelled(labels, links)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, size: int = SKETCH,

@@ -164,7 +164,7 @@ def test_dual_meets_targets(spark):
     sizes = spark.createDataFrame([("a", s, 1 + s % 3) for s in range(1, 300)] + [("b", s, 2) for s in range(1, 50)],
                                   "source string, size long, n long")
     total = {"a": sum(s * (1 + s % 3) for s in range(1, 300)), "b": sum(2 * s for s in range(1, 50))}
-    for share in (0.05, 0.6, 1.0, 1.7, 1.999):
+    for share in (0.3, 1.999):
         targets = mixing.source_targets(sizes).withColumn("target", F.col("source_size") * share)
         for row in mixing.solve_dual(sizes, targets).collect():
             cells = sizes.where(F.col("source") == row.source).collect()
