@@ -56,15 +56,17 @@ def recurring_lines(docs: DataFrame, doc: list[str], text: str = "text") -> Data
     lines = template_lines(docs, doc, text)
     # A cheap pass first: most leaves are met in one document only.
     met = lines.groupBy("leaf").agg(F.min("_doc").alias("_low"), F.max("_doc").alias("_high"))
-    shared = save(lines.join(met.where("_low <> _high").select("leaf"), "leaf"), "lines")
+    # Stored, so that joins with it have an exchange of their own on both sides, which adaptive execution can split.
+    met = save(met.where("_low <> _high").select("leaf"), "leaves")
+    shared = save(lines.join(met, "leaf"), "lines")
     once = shared.groupBy("_doc", "no").agg(F.max("_n").alias("_n"), F.max("_total").alias("_total"))
     held = once.groupBy("_doc").agg(F.sum("_n").alias("_met"), F.max("_total").alias("_total"))
     original = held.where(F.col("_met") <= F.col("_total") * (1 - OWN)).select("_doc")
     counts = shared.join(original, "_doc").groupBy("leaf").agg(
         F.countDistinct("_doc").alias("docs"), F.max("constant").alias("constant")
     )
-    templates = counts.where((F.col("docs") - 1) * F.col("constant") >= EVIDENCE)
-    found = shared.select(*doc, "no", "leaf").join(templates.select("leaf"), "leaf")
+    templates = save(counts.where((F.col("docs") - 1) * F.col("constant") >= EVIDENCE).select("leaf"), "templates")
+    found = shared.select(*doc, "no", "leaf").join(templates, "leaf")
     return found.groupBy(*doc).agg(F.collect_set("no").alias("__llm_dropped"))
 
 

@@ -139,7 +139,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, size: int, num: int, den: int)
 def _lists(classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Inverted lists: ``value, fp, n`` for the rarest values of each sketch, of those that two classes share."""
     postings = classes.select("fp", F.explode("sketch").alias("value"))
-    counts = postings.groupBy("value").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    # Stored, so that the join below has an exchange of its own on both sides, which adaptive execution can split.
+    counts = save(postings.groupBy("value").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "counts")
     shared = postings.join(counts, "value")
     ordered = shared.groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("classes", "value"))).alias("_shared"))
     kept = F.least(F.col("n"), F.lit(size))
@@ -226,7 +227,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, keys: list[str], width: in
                  size: int = SKETCH, hubs: int = HUBS) -> DataFrame:
     """``fp, comp`` for every class that shares an inverted list; other classes are linked with nothing."""
     lists = save(_lists(classes, size, num, den), "lists")
-    several = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
+    several = save(lists.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value"), "several")
     members = save(lists.join(several, "value"), "members")
     names = save(members.select("fp").distinct(), "names")
     labels = names.select("fp", F.col("fp").alias("comp"))
