@@ -7,7 +7,7 @@
    many texts share stay out of the lists of all texts but those that consist of them.
 3. First, each list offers a few of its members as hubs to all others. Where the members are copies of each other this
    leaves one component, at a cost linear in the list.
-4. Lists that still join two components are finished by blocks: classes with the same least list value form blocks of
+4. Lists that still join two components are finished by blocks: classes with the same longest list form blocks of
    bounded size, and each two blocks that meet in a list are compared once, as a whole, but for pairs of one component.
    Sets go to block pairs, not to pairs, and only links come back, so a large group of texts that are similar, but not
    similar enough, makes no row per pair. No pair that could join two components stays untested.
@@ -194,8 +194,10 @@ def _compared(lists: DataFrame, labels: DataFrame, sets: DataFrame, num: int, de
     """Links ``a, b`` between components, of all pairs that meet in one of the lists."""
     sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("_size"))
     apart = F.when(F.col("_size") >= APART, F.col("comp"))
-    nodes = lists.groupBy("fp").agg(F.min("value").alias("_key")).join(labels, "fp").join(sizes, "comp")
-    nodes = nodes.select("fp", "comp", apart.alias("apart"), "_key")
+    longest = save(lists.groupBy("value").agg(F.count(F.lit(1)).alias("_m")), "lengths")
+    nodes = lists.join(longest, "value").groupBy("fp").agg(F.max(F.struct("_m", "value")).alias("_long"))
+    nodes = nodes.join(labels, "fp").join(sizes, "comp")
+    nodes = nodes.select("fp", "comp", apart.alias("apart"), F.col("_long.value").alias("_key"))
     counts = nodes.groupBy("apart", "_key").agg(F.count(F.lit(1)).alias("_n"))
     placed = null_safe_join(nodes, counts, ["apart", "_key"])
     salt = F.pmod(F.xxhash64("fp", F.lit(3)), F.ceil(F.col("_n") / BLOCK))
