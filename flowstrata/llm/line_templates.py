@@ -34,7 +34,9 @@ def template_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataF
     numbered = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("no"), _masked(x).alias("line")))
     filled = F.filter(numbered, lambda s: s["line"].rlike(WORD))
     tokens = F.size(F.split(F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", ""), _SPACE))
-    lines = docs.select(*doc, F.xxhash64(*doc).alias("_doc"), tokens.alias("_total"), F.inline(filled))
+    # Counted before the lines are taken apart, else it would be counted for each of them.
+    whole = docs.select(*doc, F.xxhash64(*doc).alias("_doc"), tokens.alias("_total"), filled.alias("_lines"))
+    lines = whole.select(*doc, "_doc", "_total", F.inline("_lines"))
     bare = F.regexp_replace("line", f"^{_SPACE}|{_SPACE}$", "")
     lines = lines.select(*doc, "_doc", "_total", "no", F.split(bare, _SPACE).alias("_t")).withColumn("_n", F.size("_t"))
     first = LEADING + F.expr(f"(_n - {LEADING} + 1) div 2").cast("int")
