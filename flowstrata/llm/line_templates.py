@@ -55,7 +55,8 @@ def template_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataF
 
 def recurring_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
     """The ``doc`` columns and ``__llm_dropped``, the array of line numbers whose template recurs."""
-    lines = template_lines(docs, doc, text)
+    # Hashes and counts only, no text: read twice below, so that texts are taken apart once.
+    lines = save(template_lines(docs, doc, text), "template-lines")
     # A cheap pass first: most leaves are met in one document only.
     met = lines.groupBy("leaf").agg(F.min("_doc").alias("_low"), F.max("_doc").alias("_high"))
     # Stored, so that joins with it have an exchange of their own on both sides, which adaptive execution can split.
