@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,35 +62,68 @@ RULES = (
     ("CC-BY-4.0", ("CcByRef",)),
     ("Proprietary", ("AllRights",)),
 )
-# Signs outside these become one space; an end sign before white space, or a line end, ends a sentence.
+# Further wordings of known sentences, as real headers have them; the address stands in a paragraph of its own.
+WORDINGS = (
+    ("ApacheRef", "Licensed under the Apache License, Version 2.0 (the \"License\")"),
+    ("ApacheGet", "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0"),
+    ("ApacheGet", "You may obtain a copy of the License at\n\nhttps://www.apache.org/licenses/LICENSE-2.0"),
+    ("ApacheGet", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
+)
+# Signs outside these become one space; an end sign before white space, or a line end, can end a sentence.
 _OTHER = r"[^a-z0-9.!?:;+\n-]+"
-_END = r"[.!?:;]+ |[.!?:;]* ?\n ?"
+_LEADER = r"[ .!?:;-]*(?:(?:dnl|rem) )?"  # what is left of comment signs at the start of a line
+_BREAK = rf" ?\n{_LEADER}"
+_BEGIN = rf"(?:(?:^|\n){_LEADER}|[.!?:;]+ [ .!?:;]*)"
+_CLOSE = r"(?=[ .!?:;-]*(?:\n|\z)|[ .!?:;]*[.!?:;] )"
 
 
 def _plain(sentence: str) -> str:
     """A dictionary sentence in the normal form that texts get."""
-    import re
-
     text = re.sub(_OTHER, " ", sentence.lower())
     return text.strip(" .!?:;")
 
 
 def normal_form(text: Column) -> Column:
-    """Sentences of a text, normalised: A-Z lower-cased, other signs as one space, bare of end signs."""
-    plain = F.regexp_replace(lower_ascii(text), _OTHER, " ")
-    return F.transform(F.split(plain, _END), lambda s: F.btrim(s, F.lit(" .!?:;")))
+    """A text with A-Z lower-cased and other signs as one space; end signs and line ends stay."""
+    return F.regexp_replace(lower_ascii(text), _OTHER, " ")
+
+
+def _words(sentence: str) -> list[list[str]]:
+    """The words of each paragraph of a dictionary sentence; end signs after a word stay with it."""
+    return [_plain(part).split() for part in sentence.split("\n\n")]
+
+
+def _key(sentence: str) -> str:
+    return " ".join(word.rstrip(".!?:;") for part in _words(sentence) for word in part)
+
+
+def _pattern(sentence: str, wrapped: bool) -> str:
+    """A regular expression for a dictionary sentence in the normal form of texts."""
+    gap = f"(?: |{_BREAK})" if wrapped else " "
+    parts = []
+    for part in _words(sentence):
+        bare = [word.rstrip(".!?:;") for word in part]
+        parts.append(gap.join(re.escape(b) + ("[.!?:;]+" if b != w else "") for b, w in zip(bare, part)))
+    return f"{_BREAK}{_BREAK}".join(parts)
 
 
-def recognise(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
+def recognise(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES,
+              wrapped: bool = False, wordings=WORDINGS) -> DataFrame:
     """Adds ``sentence_ids`` (in text order) and ``licenses`` (rule order, each once) to every row.
 
+    A known sentence begins and ends at an end sign or a line end. With ``wrapped`` it may also run over single line
+    breaks, with or without comment signs at the line starts; blank lines end it. Without, every line end does.
     Sentences that the dictionary lacks are passed over, so known ones may be apart in the text. Rules apply in
     order: each takes all its occurrences in the sequence away, and what is left is offered to the next. Null and
     empty texts have neither. Columns of these names are replaced; nothing is shuffled.
     """
-    known = {_plain(sentence): name for name, sentence in sentences.items()}
-    book = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    ids = F.filter(F.transform(normal_form(F.col(text)), lambda s: F.try_element_at(book, s)), lambda i: i.isNotNull())
+    known = [*sentences.items(), *((name, s) for name, s in wordings if name in sentences and (wrapped or "\n" not in s))]
+    book = F.create_map(*(F.lit(x) for pair in {_key(s): name for name, s in known}.items() for x in pair))
+    # Longer wordings first: where two begin alike, the longer one is meant.
+    listed = sorted((s for _, s in known), key=lambda s: -len(_key(s)))
+    pattern = _BEGIN + "(" + "|".join(_pattern(s, wrapped) for s in listed) + ")" + _CLOSE
+    hits = F.regexp_extract_all(normal_form(F.col(text)), F.lit(pattern), F.lit(1))
+    ids = F.transform(hits, lambda s: F.try_element_at(book, F.regexp_replace(s, rf"[.!?:;]*(?:{_BREAK}| )+", " ")))
     found = docs.withColumn("sentence_ids", F.coalesce(ids, F.array().cast("array<string>")))
     left = F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" "))
     left = F.when(F.size("sentence_ids") > 0, left).otherwise(F.lit(""))
@@ -104,8 +139,8 @@ def recognise(docs: DataFrame, text: str = "text", sentences: dict[str, str] = S
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """Licences of every document, as comma-joined text."""
-    found = recognise(docs.select("doc_id", "text"))
+    """Licences of every document, as comma-joined text; sentences may be wrapped over lines."""
+    found = recognise(docs.select("doc_id", "text"), wrapped=True)
     return found.select(
         "doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"),
         F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"),

@@ -89,6 +89,73 @@ def test_license_rules(documents):
     assert got[8] == (["AllRights", "AllRights", "ApacheRef"], ["Apache-2.0", "Proprietary"])
 
 
+APACHE = """Copyright 2020 A. Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file"""
+
+
+def led(text, sign):
+    return "\n".join(f"{sign} {line}".rstrip() for line in text.split("\n"))
+
+
+def test_license_wrapped_headers(documents):
+    texts = {"Apache-2.0": APACHE, "GPL-3.0-or-later": GPL, "MIT": MIT, "BSD-2-Clause": BSD, "MPL-2.0": MPL}
+    rows, wanted = [], []
+    for name, text in texts.items():
+        shapes = [text, text.replace("\n", "\r\n"), *(led(text, sign) for sign in ("#", "//", " *", ";;", "--", "dnl", "REM"))]
+        for shape in [*shapes, f"/*\n{led(text, ' *')}\n */", f"<!--\n{text}\n-->\nx"]:
+            rows.append((len(rows), shape))
+            wanted.append(name)
+    n = len(rows)
+    rows += [
+        (n, "Licensed under the Apache License,\nVersion 2.0. Bye."), (n + 1, "Licensed under the Apache License,\n\nVersion 2.0."),
+        (n + 2, "x\nLicensed under CC BY 4.0\nAll rights reserved\ny"), (n + 3, "All rights\nreserved by us. Not all rights reserved."),
+    ]
+    wanted += ["Apache-2.0", "", "CC-BY-4.0,Proprietary", ""]
+    found = {r.doc_id: r for r in license_scan.scan_documents(documents(rows)).collect()}
+    assert [found[i].licenses for i in range(len(rows))] == wanted
+    assert found[0].sentence_ids == "ApacheRef,ApacheYou,ApacheGet,ApacheAsIs,ApacheSee"
+
+
 def test_license_odd_rows(documents, odd_rows):
     docs = documents(odd_rows)
     assert license_scan.scan_documents(docs).count() == len(odd_rows)
