@@ -20,17 +20,18 @@ LEADING = 2  # tokens that are levels of the tree
 GENERAL_FROM = 8  # tokens of a line whose leaf has a variable half
 EVIDENCE = 20  # constant tokens seen again beyond the first document
 OWN = 0.5  # least share of a document's words in lines of its own, for it to count
+FIELD = "<*>"  # a token with a digit
 _SPACE = r"[\x20\x09-\x0D]+"
 _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
 def _masked(line: Column) -> Column:
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, FIELD)).otherwise(line)
 
 
 def template_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
-    """One row per line with a word and leaf: the ``doc`` columns, ``_doc`` (their hash), ``no`` (0-based line), ``leaf``,
-    ``constant`` (fixed tokens of the leaf), ``_n`` and ``_total`` (tokens of line and document)."""
+    """One row per line with a word and leaf that has a fixed token: the ``doc`` columns, ``_doc`` (their hash), ``no`` (0-based line), ``leaf``,
+    ``constant`` (fixed tokens of the leaf, without fields), ``_n`` and ``_total`` (tokens of line and document)."""
     numbered = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("no"), _masked(x).alias("line")))
     filled = F.filter(numbered, lambda s: s["line"].rlike(WORD))
     tokens = F.size(F.split(F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", ""), _SPACE))
@@ -41,16 +42,20 @@ def template_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataF
     lines = lines.select(*doc, "_doc", "_total", "no", F.split(bare, _SPACE).alias("_t")).withColumn("_n", F.size("_t"))
     first = LEADING + F.expr(f"(_n - {LEADING} + 1) div 2").cast("int")
     leaf = "struct<leaf:bigint,constant:int>"
-    whole = F.array(F.struct(F.xxhash64(F.lit(0), "_n", "_t").alias("leaf"), F.col("_n").alias("constant")).cast(leaf))
+
+    def fixed(*parts: Column) -> Column:
+        """Tokens of the leaf that are no fields."""
+        return sum(F.size(F.array_remove(part, FIELD)) for part in parts).alias("constant")
+
+    whole = F.array(F.struct(F.xxhash64(F.lit(0), "_n", "_t").alias("leaf"), fixed(F.col("_t"))).cast(leaf))
+    lead, front, back = F.slice("_t", 1, LEADING), F.slice("_t", F.lit(1), first), F.slice("_t", first + 1, F.col("_n"))
     halves = F.array(
-        F.struct(F.xxhash64(F.lit(1), "_n", F.slice("_t", F.lit(1), first)).alias("leaf"), first.alias("constant")).cast(leaf),
-        F.struct(
-            F.xxhash64(F.lit(2), "_n", F.slice("_t", 1, LEADING), F.slice("_t", first + 1, F.col("_n"))).alias("leaf"),
-            (LEADING + F.col("_n") - first).alias("constant"),
-        ).cast(leaf),
+        F.struct(F.xxhash64(F.lit(1), "_n", front).alias("leaf"), fixed(front)).cast(leaf),
+        F.struct(F.xxhash64(F.lit(2), "_n", lead, back).alias("leaf"), fixed(lead, back)).cast(leaf),
     )
     leaves = F.when(F.col("_n") < GENERAL_FROM, whole).otherwise(halves)
-    return lines.select(*doc, "_doc", "_total", "no", "_n", F.inline(leaves))
+    # Fields alone don't make lines alike: such leaves are none.
+    return lines.select(*doc, "_doc", "_total", "no", "_n", F.inline(leaves)).where("constant > 0")
 
 
 def recurring_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataFrame:

@@ -107,6 +107,21 @@ def test_lines_dropped(documents, prose):
         assert (found[i].text, found[i].n_dropped) == (text, 0)
 
 
+def test_lines_of_fields_are_kept(documents):
+    words = ["".join(random.Random(i).choices("abcdefghij", k=8)) for i in range(2000)]
+
+    def prose_of(i):
+        return " ".join(words[40 * i : 40 * i + 40])
+
+    table = [(i, f"{prose_of(i)}\n{i}1 {i}2 {i}3 {i}4 {i}5\n" + " ".join(f"{i}{j}" for j in range(10))) for i in range(8)]
+    mixed = [(100 + i, f"{prose_of(10 + i)}\nPage {i} of the annual report") for i in range(8)]
+    found = {r.doc_id: r for r in line_templates.drop_lines(documents(table + mixed)).collect()}
+    for i, text, *_ in table:
+        assert (found[i].text, found[i].n_dropped) == (text, 0)
+    for i, text, *_ in mixed:
+        assert (found[i].text, found[i].n_dropped) == (text.split("\n")[0], 1)
+
+
 def test_lines_odd_rows(documents, odd_rows):
     found = line_templates.clean_documents(documents(odd_rows)).collect()
     assert Counter((r.doc_id, r.text) for r in found) == Counter((r[0], r[1]) for r in odd_rows)
