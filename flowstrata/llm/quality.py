@@ -24,9 +24,10 @@ _CONTINUATION = bytes(range(0x80, 0xC0))  # of UTF-8; other bytes begin a code p
 _SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 
-# Transformed statistics and the least spread taken as real for each.
+# Transformed statistics and the least spread taken as real for each: about half the step of one repeated line, a repeated
+# window in a text of some hundred words.
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
-FLOORS = (0.25, 0.25, 0.03, 1.0, 0.12)
+FLOORS = (0.25, 0.25, 0.03, 0.35, 0.03)
 SHARE = 0.6  # rows of a group that the estimate rests on
 TAIL = 1e-9  # of the chi-squared distribution beyond the cutoff
 STEPS = 5
@@ -185,8 +186,9 @@ def _solve(moments: DataFrame, factor: float, floors: tuple[float, ...]) -> Data
             second[np.triu_indices(k)] = np.asarray(p, float) / m
             second = second + np.triu(second, 1).T
             scatter = (second - np.outer(centre, centre)) * factor
-            values, vectors = np.linalg.eigh((scatter + scatter.T) / 2)
-            scatter = (vectors * np.maximum(values, 0)) @ vectors.T + np.diag(np.square(floors))
+            # In units of the floors, no direction has a spread below 1.
+            values, vectors = np.linalg.eigh((scatter + scatter.T) / 2 / np.outer(floors, floors))
+            scatter = (vectors * np.maximum(values, 1)) @ vectors.T * np.outer(floors, floors)
             rows.append((centre.tolist(), np.linalg.inv(scatter).ravel().tolist()))
         return pd.DataFrame(rows, columns=["centre", "inverse"])
 
@@ -213,7 +215,7 @@ def judge(stats: DataFrame, keys: list[str], share: float = SHARE, tail: float =
     first = sound.groupBy(*group).agg(F.count(F.lit(1)).alias("_m"), *parts).where(F.col("_m") >= least)
     k = len(FEATURES)
     spreads = [
-        F.lit(1.0) / (F.pow((F.col(f)[2] - F.col(f)[0]) / 1.349, F.lit(2)) + floors[i] ** 2) for i, f in enumerate(FEATURES)
+        F.lit(1.0) / F.pow(F.greatest((F.col(f)[2] - F.col(f)[0]) / 1.349, F.lit(floors[i])), F.lit(2)) for i, f in enumerate(FEATURES)
     ]
     state = first.select(
         *group, F.array(*(F.col(f)[1] for f in FEATURES)).alias("_centre"),

@@ -86,6 +86,18 @@ def test_quality_documents(documents, odd_rows, prose):
     assert quality.judge_documents(docs.limit(0)).collect() == []
 
 
+def test_each_statistic_can_reject(spark):
+    rng = random.Random(6)
+    rows = [(i, "en", "a", n, 5 * n + rng.randrange(20), rng.randrange(3), 0, 0)
+            for i, n in enumerate(rng.randrange(150, 500) for _ in range(600))]
+    odd = [(1000, "en", "a", 1_000_000, 5_000_000, 0, 0, 0), (1001, "en", "a", 300, 3600, 1, 0, 0),
+           (1002, "en", "a", 300, 1500, 300, 0, 0), (1003, "en", "a", 300, 1500, 1, 100, 0), (1004, "en", "a", 300, 1500, 1, 0, 85)]
+    stats = spark.createDataFrame(rows + odd, "doc_id long, lang string, source string, " + quality.STATS)
+    kept = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(stats, ["lang", "source"]).collect()}
+    assert [kept[r[0]] for r in odd] == [(False, False)] * 5
+    assert all(kept[r[0]] == (False, True) for r in rows)
+
+
 def test_chi_squared():
     assert quality._chi2_quantile(0.05, 5) == pytest.approx(11.0705, abs=1e-3)
     assert quality._chi2_cdf(6.6257, 5) == pytest.approx(0.75, abs=1e-4)
