@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_templates, url_filter
+from . import collocations, license_scan, line_templates, url_filter
 
 
 def _url_filter() -> str:
@@ -105,6 +105,40 @@ def _line_templates() -> str:
     """
 
 
+def _collocations() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {size} AS size, array_to_string(w[i:i + {size - 1}], ' ') AS phrase"
+        f" FROM words, unnest(range(1, len(w) - {size} + 2)) AS g(i)" for size in (1, 2, 3)
+    )
+    return f"""
+      WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents),
+      words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+      counts AS (SELECT lang, size, phrase, count(*) AS f FROM ({grams}) GROUP BY lang, size, phrase),
+      totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang),
+      many AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= {collocations.LEAST}),
+      cuts AS (
+        SELECT c.lang, c.size, c.phrase, c.f AS a, k, h.f AS l, t.f AS r,
+               CAST({collocations.SCALE}::HUGEINT * c.f * c.f // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+        FROM many c, unnest(range(1, c.size)) AS g(k), counts h, counts t
+        WHERE h.lang = c.lang AND h.phrase = array_to_string(c.w[1:k], ' ')
+          AND t.lang = c.lang AND t.phrase = array_to_string(c.w[k + 1:c.size], ' ')),
+      scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+      inner_phrases AS (
+        SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, f FROM many, unnest([1, 2]) AS g(i) WHERE size = 3),
+      covers AS (SELECT lang, phrase, max(f) AS longer FROM inner_phrases GROUP BY lang, phrase),
+      ranked AS (
+        SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+        FROM scored s LEFT JOIN covers c ON c.lang = s.lang AND c.phrase = s.phrase AND s.size = 2
+        WHERE c.longer IS NULL OR 100 * c.longer < {collocations.COVERED} * s.a)
+      SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """
+
+
 ORACLES = {
     "op1_url_filter": _url_filter(), "op2_license_scan": _license_scan(), "op9_line_templates": _line_templates(),
+    "op12_collocations": _collocations(),
 }
