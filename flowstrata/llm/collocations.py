@@ -89,9 +89,11 @@ class HatTrie:
 
     def add(self, lang: bytes, keys: np.ndarray, counts: np.ndarray) -> None:
         """Distinct packed keys in ascending order, with their counts."""
+        if not len(keys):
+            return
         below = max(self.order - 1, 1) * ID_BITS  # single words share one container
         firsts = keys >> below
-        starts = np.flatnonzero(np.r_[True, firsts[1:] != firsts[:-1]]) if len(keys) else []
+        starts = np.flatnonzero(np.r_[True, firsts[1:] != firsts[:-1]]).tolist()
         rests, counts = (keys & ((1 << below) - 1)).tolist(), counts.tolist()
         for low, high in zip(starts, [*starts[1:], len(rests)], strict=True):
             node = self.root.setdefault((lang, int(firsts[low])), _Node())

@@ -5,7 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, collocations, license_scan, line_templates, mixing, near_dup, neighbours, quality, secret_scan, sharding, url_filter
+from . import (
+    bpe,
+    collocations,
+    license_scan,
+    line_templates,
+    mixing,
+    near_dup,
+    neighbours,
+    periodic_runs,
+    quality,
+    secret_scan,
+    sharding,
+    url_filter,
+)
 from .oracles import ORACLES  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -74,3 +87,8 @@ def op10_sharding(spark, sf_dir):
 @register
 def op12_collocations(spark, sf_dir):
     return collocations.top_phrases(_table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.digest_documents(_table(spark, sf_dir, "documents"))
