@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     bpe,
     collocations,
+    html_extract,
     license_scan,
     line_templates,
     mixing,
@@ -84,6 +85,11 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+@register
+def op11_html_extract(spark, sf_dir):
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 @register
 def op12_collocations(spark, sf_dir):
     return collocations.top_phrases(_table(spark, sf_dir, "documents"))
