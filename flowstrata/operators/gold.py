@@ -54,10 +54,11 @@ def partials(silver: DataFrame) -> DataFrame:
     fields = [F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"))]
     fields += [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in _DISTINCT]
     expanded = combined.select("*", F.inline(F.array(*fields))).where("field IS NULL OR value IS NOT NULL")
-    return _folded(expanded)
+    return fold_partials(expanded)
 
 
-def _folded(rows: DataFrame) -> DataFrame:
+def fold_partials(rows: DataFrame) -> DataFrame:
+    """Partial rows of several batches as one row per key and one per distinct value."""
     measured = F.col("field").isNull()
     return rows.groupBy(*schemas.GOLD_KEYS, "field", "value").agg(
         F.sum(F.when(measured, F.col("packet_count"))).alias("packet_count"),
@@ -71,7 +72,7 @@ def merge_partials(state: DataFrame, as_of=None) -> DataFrame:
     """Gold rows from the partial rows of any number of batches; exact."""
     packets, total = F.sum("packet_count"), F.sum("total_bytes")
     return (
-        _folded(state).groupBy(*schemas.GOLD_KEYS)
+        fold_partials(state).groupBy(*schemas.GOLD_KEYS)
         .agg(
             packets.alias("packet_count"),
             total.alias("total_bytes"),
@@ -85,8 +86,6 @@ def merge_partials(state: DataFrame, as_of=None) -> DataFrame:
     )
 
 
-
-
 def hourly_sketch(silver: DataFrame) -> DataFrame:
     """Mergeable partial rows: sums, bounds and one distinct sketch per column."""
     return silver.groupBy(*schemas.GOLD_KEYS).agg(

@@ -17,10 +17,10 @@ def _entries(breakdown: str, fields: dict[str, Column]) -> Column:
     return F.transform(rows, lambda r: r["entry"]).alias(breakdown)
 
 
-def _breakdown_row(silver: DataFrame) -> DataFrame:
+def _breakdown_row(ranked: DataFrame) -> DataFrame:
     name, port = F.col("name"), F.col("name").cast("int")
     packets, size = F.col("packets"), F.col("bytes")
-    return traffic.breakdowns(silver).agg(
+    return ranked.agg(
         _entries("protocols", {"name": name, "packets": packets, "bytes": size}),
         _entries("top_src_ips", {"ip": name, "packets": packets}),
         _entries("top_dst_ips", {"ip": name, "packets": packets}),
@@ -31,8 +31,7 @@ def _breakdown_row(silver: DataFrame) -> DataFrame:
     )
 
 
-def _recent_row(silver: DataFrame, arrival: str, anonymize: bool) -> Column:
-    rows = search.recent_packets(silver, arrival)
+def _recent_row(rows: DataFrame, arrival: str, anonymize: bool) -> Column:
     # Ports are text in the document so that a masked port fits the same field.
     rows = search.anonymize_packets(rows) if anonymize else rows.withColumns({
         "src_port": F.col("src_port").cast("string"), "dst_port": F.col("dst_port").cast("string"),
@@ -45,9 +44,8 @@ def _recent_row(silver: DataFrame, arrival: str, anonymize: bool) -> Column:
     return rows.agg(F.transform(listed, lambda r: r["packet"])).scalar()
 
 
-def _windows_row(silver: DataFrame, as_of) -> DataFrame:
+def _windows_row(ranked: DataFrame) -> DataFrame:
     """One map per dimension: window label -> entries, largest first."""
-    ranked = windows.trailing_windows(silver, as_of)
     listed = ranked.groupBy("dimension", "window").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("rank", "name", "bytes"))),
@@ -63,7 +61,7 @@ def _windows_row(silver: DataFrame, as_of) -> DataFrame:
 
 
 def _gold_row(gold: DataFrame) -> Column:
-    """Protocol -> summary. One entry per protocol name (at most 256 on the wire)."""
+    """Protocol -> summary, one entry per protocol name."""
     pair = F.struct("protocol", F.struct("packets", "bytes", "src", "dst", "ports"))
     return gold_ops.by_protocol(gold).agg(F.map_from_entries(F.collect_list(pair))).scalar()
 
@@ -95,16 +93,35 @@ def live_snapshot(
     """The snapshot as one typed row.
 
     Silver is scanned once for the breakdowns, once for the (pruned) windows,
-    once for the recent packets and once for the totals.
+    once for the recent packets and once for the totals. ``live_state.snapshot`` makes the
+    same row from stored partial rows.
     """
-    spark = silver.sparkSession
-    total = traffic.totals(silver).agg(
+    return assemble(
+        traffic.totals(silver), traffic.breakdowns(silver), windows.trailing_windows(silver, as_of),
+        search.recent_packets(silver, arrival), gold, counters, as_of, arrival, anonymize,
+    )
+
+
+def assemble(
+    totals: DataFrame,
+    ranked: DataFrame,
+    trailing: DataFrame,
+    recent: DataFrame,
+    gold: DataFrame | None,
+    counters: DataFrame | None,
+    as_of,
+    arrival: str,
+    anonymize: bool,
+) -> DataFrame:
+    """The snapshot row from its reduced parts: totals, ranked breakdowns, trailing windows and recent packets."""
+    spark = totals.sparkSession
+    total = totals.agg(
         F.struct(F.sum("packets").alias("n"), F.sum("bytes").alias("b"), F.min("started_at").alias("s"))
     ).scalar()
     # Each part is a one-row frame of at most some hundred small entries.
-    breakdown = _breakdown_row(silver)
+    breakdown = _breakdown_row(ranked)
     breakdown = breakdown.select(F.struct(*breakdown.columns)).scalar()
-    trailing = _windows_row(silver, as_of)
+    trailing = _windows_row(trailing)
     trailing = trailing.select(F.struct(*trailing.columns)).scalar()
 
     parts = spark.range(1).select(total.alias("t"), breakdown.alias("b"), trailing.alias("w"))
@@ -119,7 +136,7 @@ def live_snapshot(
     }
     if anonymize:
         columns = _mask(columns)
-    columns["recent_packets"] = _recent_row(silver, arrival, anonymize)
+    columns["recent_packets"] = _recent_row(recent, arrival, anonymize)
     if gold is not None:
         columns["gold"] = _gold_row(gold)
     if counters is not None:
@@ -148,5 +165,3 @@ def health_document(snapshot: DataFrame, stage_counts: DataFrame | None = None)
     if stage_counts is not None:
         out = out.withColumn("counters", stage_counts.agg(F.first(F.struct(*stage_counts.columns))).scalar())
     return out
-
-

@@ -104,11 +104,10 @@ BREAKDOWNS = {
 }
 
 
-def breakdowns(silver: DataFrame) -> DataFrame:
-    """All breakdowns from one scan: ``breakdown, rank, name, protocol, packets, bytes``.
+def breakdown_counts(silver: DataFrame) -> DataFrame:
+    """All groups of all breakdowns from one scan: ``breakdown, name, protocol, packets, bytes``, in no order.
 
-    Grouping sets combine on the map side; the rank filter is pushed below the
-    window shuffle, so at most the kept rows of each breakdown leave a task.
+    Grouping sets combine on the map side. Counts of several tables add up.
     """
     columns = ["protocol", "src_ip", "dst_ip", "src_network", "dst_port", "service_info"]
     sets = [[F.col(k) for k in keys] for keys, _ in BREAKDOWNS.values()]
@@ -123,26 +122,41 @@ def breakdowns(silver: DataFrame) -> DataFrame:
         here = F.col("_gid") == grouping_id(keys)
         label = F.when(here, F.lit(breakdown)).otherwise(label)
         name = F.when(here, F.col(keys[0]).cast("string")).otherwise(name)
-    port_like = F.col("breakdown").isin("top_dst_ports", "port_stats")
-    grouped = (
+    return (
         silver.groupingSets(sets, *columns)
         .agg(F.grouping_id().alias("_gid"), packets(), volume())
         .select(
             label.alias("breakdown"),
             name.alias("name"),
-            "dst_port",
             F.when(F.col("_gid") == grouping_id(["dst_port", "protocol"]), F.col("protocol")).alias("protocol"),
             "packets",
             "bytes",
         )
-        .where(~(port_like & F.col("dst_port").isNull()))
+        .where(~(F.col("breakdown").isin(*_BY_PORT) & F.col("name").isNull()))
         .where(~((F.col("breakdown") == "services") & (F.coalesce("name", F.lit("")) == "")))
     )
-    order = Window.partitionBy("breakdown").orderBy(F.desc("packets"), F.asc("dst_port"), F.asc("name"), F.asc("protocol"))
+
+
+_BY_PORT = ("top_dst_ports", "port_stats")
+
+
+def rank_breakdowns(counts: DataFrame) -> DataFrame:
+    """The first groups of each breakdown: ``breakdown, rank, name, protocol, packets, bytes``.
+
+    The rank filter is pushed below the window shuffle, so at most the kept rows of each breakdown leave a task.
+    """
+    port = F.when(F.col("breakdown").isin(*_BY_PORT), F.col("name").cast("int"))
+    order = Window.partitionBy("breakdown").orderBy(F.desc("packets"), F.asc("_port"), F.asc("name"), F.asc("protocol"))
     keep = F.when(F.col("breakdown") == "port_stats", C.PORT_TOP_N).otherwise(C.TOP_N)
     return (
-        grouped.withColumn("rank", F.row_number().over(order))
+        counts.withColumn("_port", port)
+        .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= C.PORT_TOP_N)
         .where(F.col("rank") <= keep)
         .select("breakdown", "rank", "name", "protocol", "packets", "bytes")
     )
+
+
+def breakdowns(silver: DataFrame) -> DataFrame:
+    """All breakdowns from one scan: ``breakdown, rank, name, protocol, packets, bytes``."""
+    return rank_breakdowns(breakdown_counts(silver))

@@ -70,9 +70,13 @@ def trailing_windows(
     bucket is read once and added to every window it belongs to; ``bar_pct`` is
     the size relative to the largest entry of its window.
     """
-    moment = as_instant(as_of)
     span = max(C.WINDOW_MINUTES.values())
-    buckets = minute_buckets(prune_to(silver, as_of, span), dimensions)
+    return rank_windows(minute_buckets(prune_to(silver, as_of, span), dimensions), as_of, limit)
+
+
+def rank_windows(buckets: DataFrame, as_of, limit: int = C.TOP_N) -> DataFrame:
+    """The same from minute buckets, which may come in several rows per minute, dimension and name."""
+    moment = as_instant(as_of)
     age = F.unix_micros(moment) - F.unix_micros("minute")
 
     measures = []

@@ -206,6 +206,7 @@ _OVERALL = _COUNTERS.replace("SELECT agent_id, coalesce", "SELECT coalesce").for
 
 # ---- manifest -----------------------------------------------------------
 
+_ISO_TEXT = "%Y-%m-%dT%H:%M:%S.%f+00:00"
 _SHOWN = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"
 _STEP = "least(event_id % 4, (event_id // 4) % 4)"
 _MANIFEST = f"""WITH log AS (SELECT event_id AS seq,
@@ -234,6 +235,14 @@ _WINDOW_60 = f"""(SELECT string_agg(protocol || ':' || b, ',' ORDER BY b DESC, p
   SELECT protocol, CAST(sum(length) AS BIGINT) AS b FROM silver
   WHERE {_AS_OF} - date_trunc('minute', event_ts) <= to_minutes(60) GROUP BY protocol))"""
 
+_TRAIL = f"trail AS ({_windows(SILVER, _AS_OF, 'dimension, rank')})"
+_TRAILING = ", ".join(
+    f"""(SELECT coalesce(string_agg(name || ':' || bytes, ',' ORDER BY rank), NULL) FROM trail
+      WHERE dimension = '{d}' AND "window" = '{w}') AS {d}_{w}"""
+    for d in _DIMENSIONS for w in ("5m", "10m", "30m", "60m")
+)
+_LAYER = "SELECT '{name}' AS layer, CAST({rows} AS BIGINT) AS rows, CAST({size} AS BIGINT) AS bytes FROM {source}"
+
 # ---- frames -------------------------------------------------------------
 
 _OCTETS = " || '.' || ".join(f"CAST(CAST(split_part({{ip}}, '.', {i}) AS INT) % 256 AS VARCHAR)" for i in (1, 2, 3, 4))
@@ -386,6 +395,52 @@ ORACLES: dict[str, str] = {
         {_entries('port_stats', "name || ':' || protocol || ':' || packets || ':' || bytes")}, {_entries('services', _SIZED)},
         (SELECT least(60, count(*)) FROM silver) AS recent, (SELECT count(DISTINCT protocol) FROM silver) AS gold_protocols,
         drop_rate_pct, {_WINDOW_60} AS protocol_60m FROM health""",
+    "live_snapshot_from_state": f"""{_SNAPSHOT}, {_RECENT}, {_TRAIL}, {_BY_PROTOCOL} SELECT
+        strftime({_AS_OF}, '{_ISO_TEXT}') AS snapshot_at, strftime({_AS_OF}, '{_ISO_TEXT}') AS started_at,
+        (SELECT count(*) FROM silver) AS total_packets, (SELECT CAST(sum(length) AS BIGINT) FROM silver) AS total_bytes,
+        {_entries('protocols', _SIZED)}, {_entries('top_src_ips', _COUNTED)}, {_entries('top_dst_ips', _COUNTED)},
+        {_entries('top_subnets', _COUNTED)}, {_entries('top_dst_ports', _COUNTED)},
+        {_entries('port_stats', "name || ':' || protocol || ':' || packets || ':' || bytes")}, {_entries('services', _SIZED)},
+        (SELECT string_agg(concat_ws(':', strftime(event_ts, '{_ISO_TEXT}'), src_ip, dst_ip, src_port, dst_port, protocol, length,
+          flags, ttl, service_info, port_category, src_network), ',' ORDER BY seq) FROM recent) AS recent_packets,
+        {_TRAILING},
+        (SELECT string_agg(concat_ws(':', protocol, packets, bytes, src, dst, ports), ',' ORDER BY protocol) FROM by_protocol) AS gold,
+        os_recv, os_drop, os_ifdrop, app_queued, app_dropped, drop_rate_pct FROM health""",
+    "metrics_document": f"""{DENSE}, {_OVERALL[5:]}, moment AS (SELECT max(event_ts) AS m FROM silver),
+        sparse AS ({SILVER} SELECT (SELECT count(*) FROM packets) AS captured, (SELECT count(*) FROM valid) AS processed,
+          (SELECT count(*) FROM packets WHERE length < 0) AS validation_errors, count(*) AS silver_records FROM silver),
+        samples AS (SELECT ['capture_to_queue','queue_to_bronze','bronze_to_silver','silver_to_gold','other'][event_id % 5 + 1]
+          AS stage, value AS us, ts, event_id AS seq FROM events),
+        kept AS (SELECT * FROM samples WHERE stage <> 'other'
+          QUALIFY row_number() OVER (PARTITION BY stage ORDER BY ts DESC, seq DESC) <= 1000),
+        listed AS (SELECT stage, list(us ORDER BY us) AS l, count(*) AS n FROM kept GROUP BY stage),
+        stages AS (SELECT stage, [format('{{:.1f}}', round(l[least(n * p // 100, n - 1) + 1], 1)) FOR p IN [50, 95, 99]] AS picks FROM listed),
+        errors AS (SELECT ts, event_id AS seq, concat_ws('|', strftime(ts, '{_ISO_TEXT}'), 'component_' || CAST(user_id % 4 AS VARCHAR),
+          'failed: ' || props) AS entry FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 10)
+        SELECT round((epoch_us(m) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / CAST(1000000 AS DOUBLE), 1) AS uptime_sec,
+        captured, CAST(0 AS BIGINT) AS parsed, app_queued AS queued, app_dropped AS dropped, processed, validation_errors,
+        silver_records, (SELECT count(*) FROM events WHERE event_type = 'click') AS silver_flushes,
+        (SELECT count(*) FROM events WHERE event_type = 'view') AS gold_flushes, CAST(0 AS BIGINT) AS snapshot_flushes,
+        (SELECT round(count(*) / CAST(10 AS DOUBLE), 1) FROM silver WHERE event_ts BETWEEN m - INTERVAL 10 SECOND AND m)
+          AS packets_per_sec,
+        (SELECT arg_max(event_id * 10, event_id) FROM events WHERE event_id % 4 <> 0 AND user_id % 6 = 0) AS queue_depth,
+        (SELECT string_agg(stage || ':' || array_to_string(picks, ':'), ',' ORDER BY stage) FROM stages) AS latency_us,
+        (SELECT string_agg(entry, chr(10) ORDER BY ts, seq) FROM errors) AS recent_errors
+        FROM sparse, rated, moment""",
+    "gold_state_folded": f"""{_MESSY}, {_silver_from('valid')}, gold AS ({_GOLD}) SELECT count(*) AS gold_rows,
+        CAST(sum(packet_count) AS BIGINT) AS packets, CAST(sum(total_bytes) AS BIGINT) AS bytes,
+        CAST(sum(unique_src_ips) AS BIGINT) AS src, CAST(sum(unique_dst_ips) AS BIGINT) AS dst,
+        CAST(sum(unique_dst_ports) AS BIGINT) AS ports,
+        CAST(count(*) + sum(unique_src_ips) + sum(unique_dst_ips) + sum(unique_dst_ports) AS BIGINT) AS state_rows FROM gold""",
+    "stream_all_layers": f"""{_MESSY}, {_silver_from('valid')}, gold AS ({_GOLD}),
+        bad AS (SELECT * FROM judged WHERE len(errors) > 0) {' UNION ALL '.join(
+            _LAYER.format(name=n, rows=r, size=b, source=t) for n, r, b, t in (
+                ('bronze', 'count(*)', 'sum(length)', 'valid'), ('manifest', 'count(*)', '0', 'valid'),
+                ('quarantine', 'count(*)', '0', 'bad'), ('silver', 'count(*)', 'sum(length)', 'silver'),
+                ('gold', 'count(*)', 'sum(total_bytes)', 'gold'), ('live', 'count(*)', 'sum(length)', 'silver'),
+                ('live_recent', 'least(60, count(*))', '0', 'silver'), ('processed', 'count(*)', '0', 'valid'),
+                ('errors', 'count(*)', '0', 'bad'), ('silver_records', 'count(*)', '0', 'silver'),
+                ('published', '1', '0', '(SELECT 1)')))}""",
     "live_snapshot_masked": f"""{_SNAPSHOT}, {_RECENT} SELECT
         {_entries('top_src_ips', _mask_ip('name') + " || ':' || packets")},
         {_entries('top_subnets', _mask_subnet('name') + " || ':' || packets")},

@@ -9,18 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import constants as C
 from .. import schemas
 from ..files import listing
 from ..functions import network as net
 from ..maintenance.compaction import compact_bronze, compact_parquet
 from ..maintenance.retention import enforce_bronze_retention, enforce_retention
-from ..operators import gold, manifest, metrics, reports, search, snapshot, traffic, validation, windows
+from ..operators import (
+    gold,
+    health_state,
+    live_state,
+    manifest,
+    metrics,
+    reports,
+    search,
+    snapshot,
+    traffic,
+    validation,
+    windows,
+)
 from ..operators.decode import decode_frames
 from ..operators.silver import to_silver
 from ..session import scratch_path
 from ..sinks import writers
 from ..sources import bronze, evolution, tables
-from ..streaming import live, pipeline
+from ..streaming import layers, live, pipeline
+from ..streaming.state import BatchState
 from . import inputs
 from .inputs import AS_OF, GOLD_COLUMNS, SILVER_COLUMNS
 
@@ -340,6 +354,40 @@ def latency_percentiles(spark, sf_dir):
     return metrics.latency_percentiles(inputs.latency_samples(spark, sf_dir), order="seq")
 
 
+@register
+def metrics_document(spark, sf_dir):
+    """Every field of the metrics document, from counters, samples, errors, readings and the dense packets' rate."""
+    checked = validation.validate_records(inputs.packets(spark, sf_dir))
+    dense = inputs.silver(spark, sf_dir, dense=True)
+    capture = metrics.latest_counters(inputs.counter_history(spark, sf_dir), [], order="seq")
+    readings = inputs.gauge_samples(spark, sf_dir).withColumn("gauge", F.regexp_replace("gauge", "gauge_0", "queue_depth"))
+    moment = dense.agg(F.max("event_ts").alias("at")).scalar()
+    rows = [
+        health_state.counter_rows(metrics.stage_counters(checked)),
+        health_state.counter_rows(capture.select(F.col("app_queued").alias("queued"), F.col("app_dropped").alias("dropped"))),
+        health_state.counter_rows(inputs.events(spark, sf_dir).agg(
+            F.count_if(F.col("event_type") == "click").alias("silver_flushes"),
+            F.count_if(F.col("event_type") == "view").alias("gold_flushes"),
+        )),
+        health_state.latency_rows(inputs.latency_samples(spark, sf_dir), seq="seq"),
+        health_state.error_rows(inputs.error_log(spark, sf_dir), seq="seq"),
+        health_state.gauge_rows(readings.withColumn("ts", F.timestamp_micros("seq")), seq="seq"),
+        health_state.rate_rows(dense, ts="event_ts"),
+    ]
+    state = BatchState(scratch_path(spark, "health"), health_state.ROWS, health_state.merge)
+    for batch, part in enumerate(rows):
+        state.write(part, "direct", batch)
+    state.fold(spark, {"direct": len(rows) - 3})
+    document = health_state.document(state.read(spark), moment, "2024-01-01T00:00:00+00:00")
+    latency = F.array_join(F.transform(F.array_sort(F.map_entries("latency_us")), lambda e: F.concat_ws(
+        ":", e["key"], *[F.format_string("%.1f", e["value"][p]) for p in ("p50", "p95", "p99")])), ",")
+    errors = F.array_join(F.transform("recent_errors", lambda e: F.concat_ws("|", e["ts"], e["component"], e["error"])), "\n")
+    return document.select(
+        "uptime_sec", *[f"counters.{c}" for c in health_state.COUNTERS], "rates.packets_per_sec", "queue_depth",
+        latency.alias("latency_us"), errors.alias("recent_errors"),
+    )
+
+
 @register
 def throughput_rate(spark, sf_dir):
     rows = inputs.silver(spark, sf_dir, dense=True)
@@ -451,6 +499,58 @@ def live_snapshot(spark, sf_dir):
     )
 
 
+_PACKET_FIELDS = (
+    "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "flags", "ttl", "service_info", "port_category",
+    "src_network",
+)
+
+
+def _whole_document(document: DataFrame) -> DataFrame:
+    """Every field of the live document as plain columns."""
+    trailing = [
+        F.array_join(F.transform(
+            F.col(f"{dimension}_windows")[label], lambda e: F.concat_ws(":", e["name"], e["bytes"].cast("string"))
+        ), ",").alias(f"{dimension}_{label}")
+        for dimension in windows.DIMENSIONS for label in C.WINDOW_MINUTES
+    ]
+    entries = F.array_sort(F.map_entries("gold"))
+    health = [F.col(f"capture_health.{n}") for n in ("os_recv", "os_drop", "os_ifdrop", "app_queued", "app_dropped", "drop_rate_pct")]
+    return document.select(
+        "snapshot_at", "started_at", "total_packets", "total_bytes",
+        _listed("protocols", "name", "packets", "bytes"), _listed("top_src_ips", "ip", "packets"),
+        _listed("top_dst_ips", "ip", "packets"), _listed("top_subnets", "subnet", "packets"),
+        _listed("top_dst_ports", "port", "packets"), _listed("port_stats", "port", "protocol", "packets", "bytes"),
+        _listed("services", "name", "packets", "bytes"), _listed("recent_packets", *_PACKET_FIELDS), *trailing,
+        F.array_join(F.transform(entries, lambda e: F.concat_ws(
+            ":", e["key"], *[e["value"][f].cast("string") for f in ("packets", "bytes", "src", "dst", "ports")])), ",").alias("gold"),
+        *health,
+    )
+
+
+@register
+def live_snapshot_from_state(spark, sf_dir):
+    """Every field of the live document, from the partial rows of four batches, three of them folded."""
+    root, rows = scratch_path(spark, "live-state"), inputs.silver(spark, sf_dir)
+    recent = lambda df: live_state.merge_recent(df, "seq")
+    states = [
+        (BatchState(f"{root}/live", live_state.PARTIAL, live_state.merge), live_state.partials),
+        (BatchState(f"{root}/recent", f"{live_state.RECENT}, seq bigint", recent), recent),
+        (BatchState(f"{root}/gold", gold.PARTIAL, gold.fold_partials), gold.partials),
+    ]
+    for batch in range(4):
+        part = rows.where(F.col("seq") % 4 == batch)
+        for state, partials in states:
+            state.write(partials(part), "direct", batch)
+    for state, _ in states:
+        state.fold(spark, {"direct": 2})
+    (stored, _), (last, _), (hours, _) = states
+    counters = metrics.latest_counters(inputs.counter_history(spark, sf_dir), [], order="seq")
+    document = live_state.snapshot(
+        stored.read(spark), last.read(spark), gold.merge_partials(hours.read(spark)), counters, AS_OF, arrival="seq"
+    )
+    return _whole_document(document)
+
+
 @register
 def live_snapshot_masked(spark, sf_dir):
     document = _snapshot(spark, sf_dir, anonymize=True)
@@ -673,6 +773,57 @@ def stream_quarantine(spark, sf_dir):
     return table.groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
 
 
+@register
+def gold_state_folded(spark, sf_dir):
+    """Partial Gold rows of three batches after folding, and the Gold rows they still make."""
+    layout = _streamed(spark, sf_dir)
+    state = pipeline.gold_state(layout)
+    (query,) = [r[0] for r in spark.read.parquet(layout.gold_state).select("ingest_query").distinct().limit(2).collect()]
+    pipeline.fold_gold(spark, layout, {query: 10_000})
+    rows = state.read(spark)
+    sums = pipeline.gold_table(spark, layout).agg(
+        F.count(F.lit(1)).alias("gold_rows"), F.sum("packet_count").alias("packets"), F.sum("total_bytes").alias("bytes"),
+        F.sum("unique_src_ips").alias("src"), F.sum("unique_dst_ips").alias("dst"), F.sum("unique_dst_ports").alias("ports"),
+    )
+    return sums.withColumn("state_rows", rows.agg(F.count(F.lit(1))).scalar())
+
+
+@register
+def stream_all_layers(spark, sf_dir):
+    """One stream to every layer: what each of them holds at the end."""
+    root = scratch_path(spark, "layers")
+    _land(spark, sf_dir, f"{root}/landing", range(3))
+    layout = layers.Layers(f"{root}/tables", grain="date", publish_every=2, fold_every=2)
+    batch_files = 2 * spark.sparkContext.defaultParallelism
+    lines = bronze.stream_lines(spark, f"{root}/landing", max_files=batch_files)
+    layers.start(lines, layout).awaitTermination()
+    # The documents as of the end of the stream, whatever batch was published last.
+    document, health = layers.snapshot_row(spark, layout), layers.metrics_row(spark, layout)
+
+    def layer(name: str, rows: DataFrame, count, volume):
+        return rows.agg(F.lit(name).alias("layer"), count.cast("bigint").alias("rows"), volume.cast("bigint").alias("bytes"))
+
+    one, size = F.count(F.lit(1)), F.sum("length")
+    log = manifest.current_state(tables.read_manifest(spark, layout.manifest))
+    parts = [
+        layer("bronze", bronze.read_bronze(spark, layout.bronze), one, size),
+        layer("manifest", log.where("state = 'SEALED'"), F.sum("record_count"), F.lit(0)),
+        layer("quarantine", pipeline.quarantine_table(spark, layout), one, F.lit(0)),
+        layer("silver", pipeline.silver_table(spark, layout), one, size),
+        layer("gold", pipeline.gold_table(spark, layout), one, F.sum("total_bytes")),
+        layer("live", document, F.max("total_packets"), F.max("total_bytes")),
+        layer("live_recent", document, F.max(F.size("recent_packets")), F.lit(0)),
+        layer("processed", health, F.max("counters.processed"), F.lit(0)),
+        layer("errors", health, F.max("counters.validation_errors"), F.lit(0)),
+        layer("silver_records", health, F.max("counters.silver_records"), F.lit(0)),
+        layer("published", tables.read_document(spark, layout.metrics, health_state.DOCUMENT), one, F.lit(0)),
+    ]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return both
+
+
 @register
 def stream_minutes(spark, sf_dir):
     """Minute volumes per protocol of a stream with a watermark, in update mode."""

@@ -6,9 +6,11 @@ partitions, so a date that holds most rows is still written by many tasks.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,27 +76,14 @@ def stream_bronze(
 ):
     """The same as a streaming append; the trigger sets the cadence.
 
-    The files of a batch carry the query's id and the batch's number in their names, so a batch that is tried again
-    replaces them, and the table is an ordinary folder that compaction and retention may change. With
-    ``manifest_path`` the files enter the manifest as sealed in the same batch.
+    The table is an ordinary folder that compaction and retention may change. With ``manifest_path`` the files enter
+    the manifest as sealed in the same batch (``write_bronze_batch``).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
-        name = f"stream-{query}-{batch_id}-"
-        staging = f"{root}/_streaming/{query}-{batch_id}"
-        write_mode = bronze_lines(batch).write.mode("overwrite").option("maxRecordsPerFile", max_records)
-        write_mode.partitionBy("dt", "hr").text(staging)
-        for row in files.listing(spark, root, f"{name}*").select("path").collect():  # of an earlier try
-            files.delete(spark, row["path"])
-        for row in files.listing(spark, staging, "*.txt").select("path").collect():  # a batch's files only
-            folder, file = row["path"].rsplit("/", 1)
-            place = "/".join(folder.rsplit("/", 2)[-2:])
-            files.move(spark, row["path"], f"{root}/{place}/{name}{file}")
-        files.delete(spark, staging)
-        if manifest_path:
-            _register(spark, root, name, manifest_path, agent_id)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        write_bronze_batch(batch, root, query, batch_id, batch_clock(batch.sparkSession, checkpoint, batch_id), max_records,
+                           manifest_path, agent_id)
 
     return (
         records.writeStream.foreachBatch(write)
@@ -104,25 +93,62 @@ def stream_bronze(
     )
 
 
-def _register(spark: SparkSession, root: str, name: str, manifest_path: str, agent_id: str) -> None:
-    """Appends the files of this name to the manifest, as sealed."""
-    if files.listing(spark, root, f"{name}*").isEmpty():
-        return
-    lines = spark.read.option("pathGlobFilter", f"{name}*").text(root)
-    held = lines.groupBy(F.col("_metadata.file_path").alias("file_path"), "dt", "hr").agg(
+def batch_clock(spark: SparkSession, folder: str, batch: int) -> dt.datetime:
+    """The time at which a batch was first tried, kept in a note below ``folder``, the same in every later try."""
+    note = f"{folder}/_clocks/{batch}.txt"
+    if not files.exists(spark, note):
+        files.make_dirs(spark, f"{folder}/_clocks")
+        files.write_note(spark, note, dt.datetime.now(dt.timezone.utc).isoformat())
+        files.delete(spark, f"{folder}/_clocks/{batch - 2}.txt")  # of a batch that is done for good
+    return dt.datetime.fromisoformat(files.read_note(spark, note))
+
+
+_PART = re.compile(r"part-(\d+)-.*?(?:-c(\d+))?\.txt")
+
+
+def write_bronze_batch(records: DataFrame, root: str, query: str, batch: int, as_of: dt.datetime,
+                       max_records: int = _MAX_RECORDS, manifest_path: str | None = None, agent_id: str = "") -> None:
+    """One batch as NDJSON files of a plain ``dt=/hr=`` folder, sealed in the manifest; a later try replaces an earlier one.
+
+    Names hold query, batch, task and chunk. The batch's clock fixes its folder, so only that folder is listed, and the
+    batch has a manifest file of its own, so no other entries are read: the cost doesn't grow with the table.
+    """
+    spark = records.sparkSession
+    moment = as_of.astimezone(dt.timezone.utc)
+    place, name = f"dt={moment:%Y-%m-%d}/hr={moment:%H}", f"stream-{query}-{batch}-"
+    staging, target = f"{root}/_streaming/{query}-{batch}", f"{root}/{place}"
+    lines = bronze_lines(records, as_of).select("value")
+    lines.write.mode("overwrite").option("maxRecordsPerFile", max_records).text(staging)
+    for file, _ in list(files.children(spark, target)):
+        if file.startswith(name):  # of an earlier try
+            files.delete(spark, f"{target}/{file}")
+    moved = []
+    for file, _ in list(files.children(spark, staging)):
+        part = _PART.fullmatch(file)
+        if part:
+            fresh = f"{target}/{name}{part[1]}-{part[2] or '000'}.txt"
+            files.move(spark, f"{staging}/{file}", fresh)
+            moved.append(fresh)
+    files.delete(spark, staging)
+    if manifest_path:
+        entries = f"{manifest_path}/{name[:-1]}"
+        _sealed(spark, moved, batch, place, iso_text(as_instant(as_of)), agent_id).write.mode("overwrite").option(
+            "ignoreNullFields", "false").json(entries)
+
+
+def _sealed(spark: SparkSession, paths: list[str], batch: int, place: str, moment: Column, agent_id: str) -> DataFrame:
+    """Manifest rows of a batch's files. They are the files' first, so the batch's number will do as ``seq``."""
+    if not paths:
+        return spark.createDataFrame([], schemas.MANIFEST)
+    day, hour = (part.split("=")[1] for part in place.split("/"))
+    held = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("file_path")).agg(
         F.count(F.lit(1)).alias("record_count"), F.max("_metadata.file_size").alias("size_bytes")
     )
-    last = F.lit(0)
-    if files.exists(spark, manifest_path):
-        log = spark.read.schema(schemas.MANIFEST).json(manifest_path)
-        last = F.coalesce(log.agg(F.max("seq")).scalar(), F.lit(0))
-    moment = iso_text(as_instant(None))
-    append_manifest(held.select(
-        (last + 1).cast("bigint").alias("seq"), "file_path", F.lit("SEALED").alias("state"),
-        F.date_format(F.col("dt").cast("date"), "yyyy-MM-dd").alias("partition_dt"),
-        F.col("hr").cast("int").alias("partition_hr"), moment.alias("created_at"), moment.alias("sealed_at"),
+    return held.select(
+        F.lit(batch).cast("bigint").alias("seq"), "file_path", F.lit("SEALED").alias("state"), F.lit(day).alias("partition_dt"),
+        F.lit(int(hour)).alias("partition_hr"), moment.alias("created_at"), moment.alias("sealed_at"),
         F.lit(None).cast("string").alias("transferred_at"), "size_bytes", "record_count", F.lit(agent_id).alias("agent_id"),
-    ), manifest_path)
+    )
 
 
 def write_quarantine(rows: DataFrame, root: str) -> None:

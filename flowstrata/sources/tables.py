@@ -45,7 +45,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The manifest log; blank and corrupt lines are skipped."""
     if not files.exists(spark, path):
         return spark.createDataFrame([], schemas.MANIFEST)
-    log = spark.read.schema(schemas.MANIFEST).option("mode", "DROPMALFORMED").json(path)
+    # Stream batches have folders of their own below the log.
+    reader = spark.read.schema(schemas.MANIFEST).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true")
+    log = reader.json(path)
     return log.where(F.col("file_path").isNotNull() & F.col("state").isNotNull())
 
 

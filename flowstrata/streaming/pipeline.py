@@ -24,8 +24,9 @@ from ..operators.silver import to_silver
 from ..operators.validation import accepted, quarantine_rows, validate_json
 from ..sinks.writers import overwrite_partitions
 from ..sources.tables import read_silver
+from .state import BATCH, QUERY, BatchState
 
-_BATCH = ["ingest_query", "ingest_batch"]
+_BATCH = [QUERY, BATCH]
 
 
 @dataclass(frozen=True)
@@ -73,6 +74,19 @@ def with_partitions(df: DataFrame, layout: Layout) -> DataFrame:
     return df.withColumn("event_hr", F.hour("event_hour")) if "event_hr" in layout.keys else df
 
 
+def gold_state(layout: Layout) -> BatchState:
+    """Partial Gold rows of all batches."""
+    return BatchState(layout.gold_state, gold_ops.PARTIAL, gold_ops.fold_partials, ("event_date",))
+
+
+def fold_gold(spark: SparkSession, layout: Layout, through: dict[str, int]) -> None:
+    """Folds the partial Gold rows of all batches up to the given one of each query (the id its checkpoint keeps).
+
+    Afterwards there is one row per Gold key and one per distinct value, however many batches there were.
+    """
+    gold_state(layout).fold(spark, through)
+
+
 def _query_id(spark: SparkSession) -> str:
     """The id of the running streaming query, which its checkpoint keeps; ``direct`` outside of one."""
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
@@ -82,7 +96,8 @@ def process_batch(
     lines: DataFrame, batch_id: int, layout: Layout, raw: str = "value", query_id: str | None = None
 ) -> None:
     """One micro-batch through all layers."""
-    named = {"ingest_query": F.lit(query_id or _query_id(lines.sparkSession)), "ingest_batch": F.lit(batch_id)}
+    query = query_id or _query_id(lines.sparkSession)
+    named = {QUERY: F.lit(query), BATCH: F.lit(batch_id)}
     checked = validate_json(lines, raw).drop("_rescued_data").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         silver = to_silver(accepted(checked))
@@ -96,8 +111,7 @@ def process_batch(
             .partitionBy(*_BATCH)
             .json(layout.quarantine)
         )
-        state = gold_ops.partials(silver).withColumns(named)
-        overwrite_partitions(state, layout.gold_state, ["event_date", *_BATCH])
+        gold_state(layout).write(gold_ops.partials(silver), query, batch_id)
     finally:
         checked.unpersist()
 
@@ -137,9 +151,7 @@ def silver_table(spark: SparkSession, layout: Layout) -> DataFrame:
 
 def gold_table(spark: SparkSession, layout: Layout) -> DataFrame:
     """Gold as of all batches so far."""
-    if not files.exists(spark, layout.gold_state):
-        return spark.createDataFrame([], schemas.GOLD)
-    return gold_ops.merge_partials(spark.read.schema(gold_ops.PARTIAL).parquet(layout.gold_state))
+    return gold_ops.merge_partials(gold_state(layout).read(spark))
 
 
 def publish_gold(spark: SparkSession, layout: Layout, since=None) -> None:
