@@ -1,28 +1,35 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 The tree has a fixed depth: token count, then the leading tokens, then the constant part. Tokens with digits are
-variable fields (``<*>``). At a leaf of eight tokens or more, one half of the remaining tokens may vary as a whole, so
-each line reaches two leaves: one that fixes the first half and one that fixes the second. A template is dropped where
-it recurs in documents that have mostly text of their own; documents that consist mostly of lines met elsewhere are
-copies, and don't make a line boilerplate.
+variable fields (``<*>``). Every line reaches the leaf of its whole masked text. A line of eight tokens or more reaches
+two further leaves, one for each half, in which the other half may vary as far as the leaf shows it: the free half is
+compared in segments, and only where at most one of them differs among the leaf's lines is the leaf a template. So most
+tokens of a template are constant, and a common opening alone makes none.
+
+A template is dropped where it recurs in several documents. Copies don't count as several: lines of one document that
+meet the same first or last document elsewhere are a bundle, and a document that is mostly bundles of two lines or more
+is a copy. One line that recurs counts however much of its documents it fills.
 
 Leaves are aggregates: what a common line brings together is counted before the shuffle, and no leaf is gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, null_safe_join, save
 
 LEADING = 2  # tokens that are levels of the tree
-GENERAL_FROM = 8  # tokens of a line whose leaf has a variable half
+GENERAL_FROM = 8  # tokens of a line that has leaves for its halves, too
+SEGMENTS = 4  # parts of a free half, of which at most one may vary
 EVIDENCE = 20  # constant tokens seen again beyond the first document
-OWN = 0.5  # least share of a document's words in lines of its own, for it to count
+HALF_EVIDENCE = 40  # the same for a template with a varying segment, in its fixed half alone
+COPIED = 0.5  # share of a document's words in bundles beyond which it is a copy
 FIELD = "<*>"  # a token with a digit
 _SPACE = r"[\x20\x09-\x0D]+"
 _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+_PARTS = [f"_s{i}" for i in range(SEGMENTS)]
 
 
 def _masked(line: Column) -> Column:
@@ -30,8 +37,9 @@ def _masked(line: Column) -> Column:
 
 
 def template_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
-    """One row per line with a word and leaf that has a fixed token: the ``doc`` columns, ``_doc`` (their hash), ``no`` (0-based line), ``leaf``,
-    ``constant`` (fixed tokens of the leaf, without fields), ``_n`` and ``_total`` (tokens of line and document)."""
+    """One row per line with a word and leaf that has a fixed token: the ``doc`` columns, ``_doc`` (their hash), ``no``
+    (0-based line), ``leaf``, ``half`` (a leaf of a half), ``constant`` (fixed tokens of the leaf, without fields), hashes of
+    the free half's segments, ``_n`` and ``_total`` (tokens of line and document)."""
     numbered = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("no"), _masked(x).alias("line")))
     filled = F.filter(numbered, lambda s: s["line"].rlike(WORD))
     tokens = F.size(F.split(F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", ""), _SPACE))
@@ -41,19 +49,20 @@ def template_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataF
     bare = F.regexp_replace("line", f"^{_SPACE}|{_SPACE}$", "")
     lines = lines.select(*doc, "_doc", "_total", "no", F.split(bare, _SPACE).alias("_t")).withColumn("_n", F.size("_t"))
     first = LEADING + F.expr(f"(_n - {LEADING} + 1) div 2").cast("int")
-    leaf = "struct<leaf:bigint,constant:int>"
+    leaf = f"struct<leaf:bigint,half:boolean,constant:int,{','.join(f'{p}:int' for p in _PARTS)}>"
 
-    def fixed(*parts: Column) -> Column:
-        """Tokens of the leaf that are no fields."""
-        return sum(F.size(F.array_remove(part, FIELD)) for part in parts).alias("constant")
+    def of(kind: int, fixed: list[Column], free: Column | None = None) -> Column:
+        constant = sum(F.size(F.array_remove(part, FIELD)) for part in fixed)
+        size = F.lit(0) if free is None else F.ceil(F.size(free) / SEGMENTS).cast("int")
+        parts = [F.lit(0) if free is None else F.hash(F.slice(free, size * i + 1, size)) for i in range(SEGMENTS)]
+        key = F.xxhash64(F.lit(kind), "_n", *fixed)
+        return F.struct(key, F.lit(free is not None), constant, *parts).cast(leaf)
 
-    whole = F.array(F.struct(F.xxhash64(F.lit(0), "_n", "_t").alias("leaf"), fixed(F.col("_t"))).cast(leaf))
     lead, front, back = F.slice("_t", 1, LEADING), F.slice("_t", F.lit(1), first), F.slice("_t", first + 1, F.col("_n"))
-    halves = F.array(
-        F.struct(F.xxhash64(F.lit(1), "_n", front).alias("leaf"), fixed(front)).cast(leaf),
-        F.struct(F.xxhash64(F.lit(2), "_n", lead, back).alias("leaf"), fixed(lead, back)).cast(leaf),
-    )
-    leaves = F.when(F.col("_n") < GENERAL_FROM, whole).otherwise(halves)
+    middle = F.slice("_t", F.lit(LEADING + 1), first - LEADING)
+    alone = F.array(of(0, [F.col("_t")]))
+    halves = F.array(of(0, [F.col("_t")]), of(1, [front], back), of(2, [lead, back], middle))
+    leaves = F.when(F.col("_n") < GENERAL_FROM, alone).otherwise(halves)
     # Fields alone don't make lines alike: such leaves are none.
     return lines.select(*doc, "_doc", "_total", "no", "_n", F.inline(leaves)).where("constant > 0")
 
@@ -63,21 +72,42 @@ def recurring_lines(docs: DataFrame, doc: list[str], text: str = "text") -> Data
     # Hashes and counts only, no text: read twice below, so that texts are taken apart once.
     lines = save(template_lines(docs, doc, text), "template-lines")
     # A cheap pass first: most leaves are met in one document only.
-    met = lines.groupBy("leaf").agg(F.min("_doc").alias("_low"), F.max("_doc").alias("_high"))
+    met = lines.groupBy("leaf").agg(
+        F.min("_doc").alias("_low"), F.max("_doc").alias("_high"), F.min(doc[0]).alias("_from"), F.max(doc[0]).alias("_to")
+    )
     # Stored, so that joins with it have an exchange of their own on both sides, which adaptive execution can split.
-    met = save(met.where("_low <> _high").select("leaf"), "leaves")
+    met = save(met.where("_low <> _high").select("leaf", "_from", "_to"), "leaves")
     shared = save(lines.join(met, "leaf"), "lines")
-    once = shared.groupBy("_doc", "no").agg(F.max("_n").alias("_n"), F.max("_total").alias("_total"))
-    held = once.groupBy("_doc").agg(F.sum("_n").alias("_met"), F.max("_total").alias("_total"))
-    original = held.where(F.col("_met") <= F.col("_total") * (1 - OWN)).select("_doc")
-    counts = shared.join(original, "_doc").groupBy("leaf").agg(
-        F.countDistinct("_doc").alias("docs"), F.max("constant").alias("constant")
+    originals = _originals(shared)
+    varying = sum(F.when(F.min(p) != F.max(p), 1).otherwise(0) for p in _PARTS)
+    counts = shared.join(originals, "_doc").groupBy("leaf").agg(
+        F.countDistinct("_doc").alias("docs"), F.max("constant").alias("constant"), F.max("half").alias("half"),
+        varying.alias("varying"),
     )
-    templates = save(counts.where((F.col("docs") - 1) * F.col("constant") >= EVIDENCE).select("leaf"), "templates")
+    again = (F.col("docs") - 1) * F.col("constant")
+    recurs = F.when(~F.col("half"), again >= EVIDENCE).otherwise((again >= HALF_EVIDENCE) & (F.col("varying") <= 1))
+    templates = save(counts.where(recurs).select("leaf"), "templates")
     found = shared.select(*doc, "no", "leaf").join(templates, "leaf")
     return found.groupBy(*doc).agg(F.collect_set("no").alias("__llm_dropped"))
 
 
+def _originals(shared: DataFrame) -> DataFrame:
+    """``_doc`` of the documents that are no copies.
+
+    The first (last) document that a line meets is a min-wise sample of the documents that hold it: lines that came by
+    the same copying mostly agree in one of the two, lines that recur each for itself seldom do.
+    """
+    once = shared.groupBy("_doc", "no").agg(
+        F.max("_n").alias("_n"), F.max("_total").alias("_total"), F.min("_from").alias("_from"), F.max("_to").alias("_to")
+    )
+    with_from, with_to = Window.partitionBy("_doc", "_from"), Window.partitionBy("_doc", "_to")
+    alike = F.greatest(F.count(F.lit(1)).over(with_from), F.count(F.lit(1)).over(with_to))
+    held = once.withColumn("_alike", alike).groupBy("_doc").agg(
+        F.sum(F.when(F.col("_alike") > 1, F.col("_n")).otherwise(0)).alias("_copied"), F.max("_total").alias("_total")
+    )
+    return held.where(F.col("_copied") <= F.col("_total") * COPIED).select("_doc")
+
+
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without their lines of recurring templates; adds ``n_lines`` and ``n_dropped`` (longs).
 

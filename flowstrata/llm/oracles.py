@@ -72,27 +72,41 @@ def _license_scan() -> str:
 
 def _line_templates() -> str:
     space, word = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
-    lead, general = line_templates.LEADING, line_templates.GENERAL_FROM
+    lead, general, parts = line_templates.LEADING, line_templates.GENERAL_FROM, line_templates.SEGMENTS
+    free = {"1": "t[first + 1:n]", "2": f"t[{lead + 1}:first]"}
+    fixed = {"1": "t[1:first]", "2": f"list_concat(t[1:{lead}], t[first + 1:n])"}
+
+    def half(kind: str) -> str:
+        size = f"CAST(ceil(len({free[kind]}) / CAST({parts} AS DOUBLE)) AS BIGINT)"
+        cut = ", ".join(f"array_to_string(({free[kind]})[{size} * {i} + 1:{size} * {i + 1}], ' ')" for i in range(parts))
+        return (f"SELECT k, doc_id, no, n, '{kind} ' || n || ' ' || array_to_string({fixed[kind]}, ' ') AS leaf, TRUE AS half,"
+                f" len(list_filter({fixed[kind]}, lambda x: x <> '<*>')) AS constant, [{cut}] AS seg FROM sized WHERE n >= {general}")
+
+    varying = " + ".join(f"CAST(min(seg[{i + 1}]) <> max(seg[{i + 1}]) AS INT)" for i in range(parts))
     return f"""
       WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS k, doc_id, text
                     FROM (SELECT DISTINCT doc_id, text FROM documents)),
-      raw AS (SELECT k, unnest(string_split(text, chr(10))) AS x,
+      raw AS (SELECT k, doc_id, unnest(string_split(text, chr(10))) AS x,
                      generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM docs WHERE text IS NOT NULL),
-      filled AS (SELECT k, no, regexp_replace(x, '{word}*[0-9]{word}*', '<*>', 'g') AS line FROM raw
+      filled AS (SELECT k, doc_id, no, regexp_replace(x, '{word}*[0-9]{word}*', '<*>', 'g') AS line FROM raw
                  WHERE regexp_matches(x, '{word}')),
-      cut AS (SELECT k, no, regexp_split_to_array(regexp_replace(line, '^{space}|{space}$', '', 'g'), '{space}') AS t FROM filled),
+      cut AS (SELECT k, doc_id, no, regexp_split_to_array(regexp_replace(line, '^{space}|{space}$', '', 'g'), '{space}') AS t
+              FROM filled),
       sized AS (SELECT *, len(t) AS n, {lead} + (len(t) - {lead} + 1) // 2 AS first FROM cut),
-      leaves AS (
-        SELECT k, no, n, '0 ' || n || ' ' || array_to_string(t, ' ') AS leaf, n AS constant FROM sized WHERE n < {general}
-        UNION ALL SELECT k, no, n, '1 ' || n || ' ' || array_to_string(t[1:first], ' '), first FROM sized WHERE n >= {general}
-        UNION ALL SELECT k, no, n, '2 ' || n || ' ' || array_to_string(t[1:{lead}], ' ') || chr(10)
-          || array_to_string(t[first + 1:n], ' '), {lead} + n - first FROM sized WHERE n >= {general}),
-      shared AS (SELECT * FROM leaves SEMI JOIN (SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT k) > 1) USING (leaf)),
+      leaves AS (SELECT * FROM (
+        SELECT k, doc_id, no, n, '0 ' || n || ' ' || array_to_string(t, ' ') AS leaf, FALSE AS half,
+               len(list_filter(t, lambda x: x <> '<*>')) AS constant, ['', '', '', ''] AS seg FROM sized
+        UNION ALL {half('1')} UNION ALL {half('2')}) WHERE constant > 0),
+      met AS (SELECT leaf, min(doc_id) AS a, max(doc_id) AS b FROM leaves GROUP BY leaf HAVING count(DISTINCT k) > 1),
+      shared AS (SELECT l.*, a, b FROM leaves l JOIN met USING (leaf)),
       totals AS (SELECT k, sum(n) AS total FROM sized GROUP BY k),
-      original AS (SELECT k FROM (SELECT k, sum(n) AS met FROM (SELECT DISTINCT k, no, n FROM shared) GROUP BY k)
-                   JOIN totals USING (k) WHERE met <= total * (1 - {line_templates.OWN})),
-      templates AS (SELECT leaf, count(DISTINCT k) AS docs, max(constant) AS constant FROM shared SEMI JOIN original USING (k)
-                    GROUP BY leaf HAVING (docs - 1) * constant >= {line_templates.EVIDENCE}),
+      once AS (SELECT k, no, max(n) AS n, min(a) AS a, max(b) AS b FROM shared GROUP BY k, no),
+      alike AS (SELECT k, n, greatest(count(*) OVER (PARTITION BY k, a), count(*) OVER (PARTITION BY k, b)) AS lines FROM once),
+      original AS (SELECT k FROM (SELECT k, sum(CASE WHEN lines > 1 THEN n ELSE 0 END) AS copied FROM alike GROUP BY k)
+                   JOIN totals USING (k) WHERE copied <= total * {line_templates.COPIED}),
+      templates AS (SELECT leaf FROM shared SEMI JOIN original USING (k) GROUP BY leaf HAVING CASE WHEN max(half)
+          THEN (count(DISTINCT k) - 1) * max(constant) >= {line_templates.HALF_EVIDENCE} AND {varying} <= 1
+          ELSE (count(DISTINCT k) - 1) * max(constant) >= {line_templates.EVIDENCE} END),
       dropped AS (SELECT DISTINCT k, no FROM leaves SEMI JOIN templates USING (leaf)),
       rest AS (SELECT raw.k, count(*) AS n_lines, count(dropped.no) AS gone,
                       coalesce(string_agg(x, chr(10) ORDER BY raw.no) FILTER (dropped.no IS NULL), '') AS kept

@@ -134,6 +134,43 @@ def test_lines_of_fields_are_kept(documents):
         assert (found[i].text, found[i].n_dropped) == (text.split("\n")[0], 1)
 
 
+def own_words(seed, count):
+    return " ".join("".join(random.Random(seed * 1000 + i).choices("abcdefghij", k=9)) for i in range(count))
+
+
+def test_a_common_opening_is_no_template(documents):
+    rows = [(i, f"{own_words(i, 60)}\nit is well known that {own_words(100 + i, 3)}\n{own_words(200 + i, 60)}") for i in range(5)]
+    # Long lines with the same first or second half only.
+    front, back = own_words(900, 20), own_words(901, 20)
+    rows += [(50 + i, f"{own_words(300 + i, 60)}\n{front} {own_words(400 + i, 18)}\n{own_words(500 + i, 18)} {back}") for i in range(30)]
+    found = {r.doc_id: r for r in line_templates.drop_lines(documents(rows)).collect()}
+    for i, text, *_ in rows:
+        assert (found[i].text, found[i].n_dropped) == (text, 0)
+
+
+def test_heavy_boilerplate_goes_and_copies_stay(documents):
+    same = own_words(7000, 60)
+    heavy = [(i, f"{own_words(i, 40)}\n{same}") for i in range(200)]
+    twice = [(300, f"{own_words(300, 80)}\n{own_words(7001, 55)}"), (301, f"{own_words(301, 5)}\n{own_words(7001, 55)}")]
+    # A group of near copies: each has changed one line of eight.
+    lines = [own_words(8000 + j, 25) for j in range(8)]
+    near = [(400 + i, "\n".join(own_words(600 + i, 25) if j == i % 8 else x for j, x in enumerate(lines))) for i in range(40)]
+    found = {r.doc_id: r for r in line_templates.drop_lines(documents(heavy + twice + near)).collect()}
+    for i, text, *_ in heavy + twice:
+        assert (found[i].text, found[i].n_dropped) == (text.split("\n")[0], 1)
+    for i, text, *_ in near:
+        assert (found[i].text, found[i].n_dropped) == (text, 0)
+
+
+def test_one_varying_part_is_a_field(documents):
+    names = own_words(9000, 30).split()
+    rows = [(i, f"{own_words(i, 40)}\nThis article was written by {names[i]} for the weekly paper of the old town and its people")
+            for i in range(30)]
+    found = {r.doc_id: r for r in line_templates.drop_lines(documents(rows)).collect()}
+    for i, text, *_ in rows:
+        assert (found[i].text, found[i].n_dropped) == (text.split("\n")[0], 1)
+
+
 def test_lines_odd_rows(documents, odd_rows):
     found = line_templates.clean_documents(documents(odd_rows)).collect()
     assert Counter((r.doc_id, r.text) for r in found) == Counter((r[0], r[1]) for r in odd_rows)
