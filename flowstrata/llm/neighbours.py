@@ -24,14 +24,15 @@ from .common import bound_batches, save
 @dataclass(frozen=True)
 class Settings:
     """degree: neighbours kept per node; block: vectors compared with each other at the start, trees: how often;
-    rounds: of NN-descent, with ``local`` own and as many reverse neighbours joined and ``offers`` results each;
+    settled: NN-descent ends with the round that changes at most this share of all neighbours, ``local`` own and as many
+    reverse neighbours of a node are joined in a round, with ``offers`` results each;
     beam: nodes a query keeps; opened: of these, in one hop; pivots: entry points, a bounded sample by hash;
     bucket: vectors held by one task of a search."""
 
     degree: int = 32
     block: int = 1024
     trees: int = 6
-    rounds: int = 2
+    settled: float = 0.1
     local: int = 16
     offers: int = 6
     beam: int = 384
@@ -172,6 +173,14 @@ def _descended(graph: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     return joined.select("node", F.col("_all.near").alias("near"), F.col("_all.dist").alias("dist"))
 
 
+def _changed(before: DataFrame, after: DataFrame) -> float:
+    """Share of all neighbours that a round has brought in."""
+    old = before.select("node", F.col("near").alias("_old"))
+    new = F.size(F.array_except("near", F.coalesce("_old", F.array().cast("array<long>"))))
+    counted = after.join(old, "node", "left").agg(F.sum(new).alias("new"), F.sum(F.size("near")).alias("all")).first()
+    return counted["new"] / counted["all"] if counted["all"] else 0.0
+
+
 @dataclass(frozen=True)
 class Index:
     """nodes: ``node, vec, bucket``; graph: ``node, links`` (both ways, bounded); pivots: at most a fixed number."""
@@ -194,8 +203,10 @@ def build_index(vectors: DataFrame, s: Settings = Settings()) -> Index:
     points = np.array([row[1] for row in chosen], np.float64).reshape(len(chosen), len(chosen[0][1]) if chosen else 0)
     mean = points.mean(0) if len(points) else np.zeros(0)
     graph = save(_merged(_first_neighbours(nodes, count, points.shape[1], mean, s), s.degree), "graph")
-    for _ in range(s.rounds):
-        graph = save(_descended(graph, nodes, s), "graph")
+    changed = 1.0
+    while changed > s.settled:  # ends: lists only get nearer
+        before, graph = graph, save(_descended(graph, nodes, s), "graph")
+        changed = _changed(before, graph)
     edges = _edges(graph, s.degree, s.degree)
     links = save(edges.groupBy("node").agg(F.collect_list("other").alias("links")), "links")
     return Index(nodes, links, ids, points, buckets)
@@ -311,14 +322,17 @@ def nearest(table: DataFrame, key: str, vector: str, is_query, k: int = 10, s: S
     """``query_id, rank, vec_id, score``: for each row chosen by ``is_query``, the k nearest other rows found.
 
     ``score`` is the Euclidean distance of the original vectors in double precision. Rows with equal vectors share a
-    node, and of each node only its k + 1 smallest ids can be among a query's k nearest, so only those are kept.
+    node, and of each node only its k + 1 smallest ids can be among a query's k nearest, so only those are kept. Ties go
+    to the smaller id, within the beam too.
     A repeated id counts once per distinct vector. No valid vector, or no query: no rows.
     """
     rows = valid_vectors(table, key, vector).select("id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec"))
     rows = save(rows.distinct(), "vectors")
     nodes = rows.groupBy("vec").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    # A node's name must differ between vectors even where ids repeat.
-    nodes = save(nodes.select("vec", "least", "copies", F.xxhash64("vec", "least").alias("node")), "distinct")
+    # A node is named by its least id, so that ties by name are ties by id; further vectors of a repeated id by a hash.
+    again = F.row_number().over(Window.partitionBy("least").orderBy(F.xxhash64("vec"))) > 1
+    name = F.when(again, F.xxhash64("vec", "least")).otherwise(F.col("least"))
+    nodes = save(nodes.select("vec", "least", "copies", name.alias("node")), "distinct")
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
     extra = rows.join(nodes.where("copies > 1").select("vec", "node"), "vec")
     extra = extra.withColumn("_rank", rank).where(F.col("_rank") <= k + 1).select("node", "id")

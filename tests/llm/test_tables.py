@@ -330,7 +330,7 @@ def test_nearest_by_brute_force(spark):
     rows += [(2000 + i, points[100].tolist(), 0) for i in range(30)]
     rows += [(5000, None, 0), (5100, [0.0] * 12, 0), (5200, [float("nan")] * 12, 0), (None, points[3].tolist(), 0),
              (5300, [1.0, None] + [0.0] * 10, 0), (5400, [1.0], 0), (5500, [float("inf")] * 12, 0), (5600, [], 0)]
-    small = neighbours.Settings(block=128, trees=3, rounds=1, beam=96, opened=32, bucket=256)
+    small = neighbours.Settings(block=128, trees=3, settled=0.5, beam=96, opened=32, bucket=256)
     found = neighbours.nearest(vectors(spark, rows), "vec_id", "embedding", lambda i: i % 100 == 0, s=small).collect()
     names = np.array([r[0] for r in rows[:1530]])
     x = np.array([r[1] for r in rows[:1530]], np.float64)
@@ -351,6 +351,14 @@ def test_nearest_by_brute_force(spark):
     assert [c[1] for c in copies] == list(range(2000, 2010))
 
 
+def test_nearest_ties_go_to_smaller_ids(spark):
+    """Unit vectors along both ways of 64 axes: all but the opposite one are at the same distance."""
+    sides = [[float(sign) if j == axis else 0.0 for j in range(64)] for axis in range(64) for sign in (1, -1)]
+    found = neighbours.search_embeddings(vectors(spark, [(i, side, 0) for i, side in enumerate(sides)])).collect()
+    for query, wanted in ((0, list(range(2, 12))), (100, list(range(10)))):
+        assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == query] == wanted
+
+
 def test_nearest_small_tables(spark):
     few = vectors(spark, [(0, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (100, [1.0, 1.0], 0)])
     found = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.search_embeddings(few).collect())
