@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +28,10 @@ SCALE = 1_000_000
 BLOOM_BITS = 1 << 26  # 8 MB at any corpus size
 PROBES = 4
 ENTRIES = 400_000  # counts held by a task's trie
-WORDS = 400_000  # words of a task's dictionary; below 2 ** ID_BITS
-BURST = 2_048  # entries of a container
-CHUNK_BYTES = 4 << 20
+WORDS = 300_000  # words of a task's dictionary; below 2 ** ID_BITS
+BURST = 8_192  # entries of a container
+RANGE_BITS = 8  # first ids that share a container until it bursts: 2 ** RANGE_BITS
+CHUNK_BYTES = 2 << 20
 SLICES = 16
 ID_BITS = 21  # three ids fit one 64-bit key
 
@@ -81,78 +83,88 @@ def _among(bloom: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 class HatTrie:
-    """Counts phrases of ``order`` word ids. A root entry is a language and first id, whose node is a hash container
-    of the remaining ids, packed, or, once burst, a table of nodes by the next id. Single words have no first id (0)."""
+    """Counts phrases of ``order`` word ids, packed into one key. A root entry is a language and a range of first ids; its
+    node is a hash container until it bursts, into nodes by first id, and those by the next id."""
 
     def __init__(self, order: int):
         self.order, self.size, self.root = order, 0, {}
+        self.bits = (order - 1) * ID_BITS + RANGE_BITS
 
     def add(self, lang: bytes, keys: np.ndarray, counts: np.ndarray) -> None:
         """Distinct packed keys in ascending order, with their counts."""
         if not len(keys):
             return
-        below = max(self.order - 1, 1) * ID_BITS  # single words share one container
-        firsts = keys >> below
-        starts = np.flatnonzero(np.r_[True, firsts[1:] != firsts[:-1]]).tolist()
-        rests, counts = (keys & ((1 << below) - 1)).tolist(), counts.tolist()
+        heads = keys >> self.bits
+        starts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]]).tolist()
+        rests, counts = (keys & ((1 << self.bits) - 1)).tolist(), counts.tolist()
         for low, high in zip(starts, [*starts[1:], len(rests)], strict=True):
-            node = self.root.setdefault((lang, int(firsts[low])), _Node())
+            node = self.root.setdefault((lang, int(heads[low])), _Node(self.bits))
             before = node.size
-            node.add(rests[low:high], counts[low:high], below)
+            node.add(rests[low:high], counts[low:high])
             self.size += node.size - before
 
-    def spill(self, keep: int, names: list[bytes]) -> Iterator[tuple[bytes, list[tuple[bytes, int]]]]:
-        """Takes the largest subtrees out until ``keep`` counts stay: language and sorted run of each."""
+    def spill(self, keep: int, names: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Takes the largest subtrees out until ``keep`` counts stay; a sorted run for each language."""
+        taken = defaultdict(list)
         for path in sorted(self.root, key=lambda p: self.root[p].size, reverse=True):
             if self.size <= keep:
-                return
+                break
             node = self.root.pop(path)
             self.size -= node.size
-            yield path[0], sorted(self._phrases(path[1], node, names))
-
-    def _phrases(self, first: int, node: _Node, names: list[bytes]) -> Iterator[tuple[bytes, int]]:
-        ids = max(self.order - 1, 1)
-        mask, shifts = (1 << ID_BITS) - 1, [ID_BITS * i for i in range(ids - 1, -1, -1)]
-        head = [names[first]] if first else []
-        for rest, count in node.items(0, (ids - 1) * ID_BITS):
-            yield b" ".join([*head, *(names[rest >> s & mask] for s in shifts)]), count
+            taken[path[0]] += node.entries(path[1] << self.bits)
+        for lang, parts in taken.items():
+            yield self._run(lang, *(np.concatenate(c) for c in zip(*parts, strict=True)), names)
+
+    def _run(self, lang: bytes, keys: np.ndarray, counts: np.ndarray, names: list[bytes]) -> pa.RecordBatch:
+        ids = [keys >> i * ID_BITS & (1 << ID_BITS) - 1 for i in range(self.order - 1, -1, -1)]
+        used = np.unique(np.concatenate(ids))
+        words = pa.array([names[i] for i in used.tolist()], pa.binary())
+        rank = np.empty(len(used), np.int64)
+        rank[pc.sort_indices(words).to_numpy()] = np.arange(len(used))
+        places = [np.searchsorted(used, i) for i in ids]
+        order = np.lexsort([rank[place] for place in reversed(places)])
+        phrases = [words.take(pa.array(place[order])) for place in places]
+        joined = pc.binary_join_element_wise(*phrases, pa.scalar(b" ", pa.binary())) if self.order > 1 else phrases[0]
+        return _as_batch(lang, joined, counts[order])
 
 
 class _Node:
-    __slots__ = ("size", "table", "burst")
+    __slots__ = ("bits", "size", "table", "below")
 
-    def __init__(self):
-        self.size, self.table, self.burst = 0, {}, False
+    def __init__(self, bits: int):
+        self.bits, self.size, self.table, self.below = bits, 0, {}, 0
 
-    def add(self, rests: list[int], counts: list[int], bits: int) -> None:
+    def add(self, rests: list[int], counts: list[int]) -> None:
+        """Packed remainders of keys; a burst node (``below`` set) hands them on by their head."""
         table = self.table
-        if not self.burst:
+        if not self.below:
+            get = table.get
             for rest, count in zip(rests, counts, strict=True):
-                table[rest] = table.get(rest, 0) + count
+                table[rest] = get(rest, 0) + count
             self.size = len(table)
-            if self.size <= BURST or bits <= ID_BITS:
+            below = (self.bits - 1) // ID_BITS * ID_BITS
+            if self.size <= BURST or not below:
                 return
             rests, counts = list(table), list(table.values())
-            self.table, self.burst, self.size = table, True, 0
+            self.table, self.below, self.size = table, below, 0
             table.clear()
-        below, parts = bits - ID_BITS, {}
+        parts, mask = {}, (1 << self.below) - 1
         for rest, count in zip(rests, counts, strict=True):
-            part = parts.setdefault(rest >> below, ([], []))
-            part[0].append(rest & ((1 << below) - 1))
+            part = parts.setdefault(rest >> self.below, ([], []))
+            part[0].append(rest & mask)
             part[1].append(count)
         for head, part in parts.items():
-            node = table.setdefault(head, _Node())
+            node = table.setdefault(head, _Node(self.below))
             self.size -= node.size
-            node.add(*part, below)
+            node.add(*part)
             self.size += node.size
 
-    def items(self, prefix: int, below: int) -> Iterator[tuple[int, int]]:
-        if not self.burst:
-            for rest, count in self.table.items():
-                yield prefix | rest, count
-            return
-        for head, node in self.table.items():
-            yield from node.items(prefix | head << below, below - ID_BITS)
+    def entries(self, prefix: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Keys and counts of the containers below."""
+        if not self.below:
+            n = len(self.table)
+            return [(np.fromiter(self.table, np.int64, n) | prefix, np.fromiter(self.table.values(), np.int64, n))]
+        return [part for head, node in self.table.items() for part in node.entries(prefix | head << self.below)]
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes]]]:
@@ -167,9 +179,10 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes]]]:
     yield from held.items()
 
 
-def _as_batch(lang: bytes, run: list[tuple[bytes, int]]) -> pa.RecordBatch:
-    texts = [pa.array(c, pa.binary()).cast(pa.string(), safe=False) for c in ([lang] * len(run), [p for p, _ in run])]
-    return pa.RecordBatch.from_arrays([*texts, pa.array([n for _, n in run], pa.int64())], ["lang", "phrase", "n"])
+def _as_batch(lang: bytes, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    langs = pa.array([lang], pa.binary()).take(pa.array(np.zeros(len(phrases), np.int64)))
+    texts = [c.cast(pa.string(), safe=False) for c in (langs, phrases)]
+    return pa.RecordBatch.from_arrays([*texts, pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
 
 
 def _count_runs(docs: DataFrame, order: int, bloom) -> DataFrame:
@@ -202,32 +215,13 @@ def _count_runs(docs: DataFrame, order: int, bloom) -> DataFrame:
                 trie.add(lang, *np.unique(keys, return_counts=True))
                 full = len(words) > limits[1]
                 if full or trie.size > limits[0]:
-                    for name, part in trie.spill(0 if full else limits[0] // 2, words.names):
-                        yield _as_batch(name, part)
+                    yield from trie.spill(0 if full else limits[0] // 2, words.names)
                     words = _Words() if full else words
-        for name, part in trie.spill(0, words.names):
-            yield _as_batch(name, part)
+        yield from trie.spill(0, words.names)
         for lang, total in totals.items():
-            yield _as_batch(lang, [(b"", total)])
-
-    return docs.mapInArrow(_joined(run), _RUNS)
-
-
-def _joined(run):
-    """Small runs leave a task in batches of some size."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 20_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=50_000)
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=50_000)
+            yield _as_batch(lang, pa.array([b""], pa.binary()), np.array([total]))
 
-    return wrapped
+    return docs.mapInArrow(run, _RUNS)
 
 
 def _merged(runs: DataFrame) -> DataFrame:

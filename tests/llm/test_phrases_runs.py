@@ -63,7 +63,7 @@ def phrase_rows(seed, documents=120):
 @pytest.mark.parametrize("small", [False, True])
 def test_phrases_by_brute_force(documents, monkeypatch, small):
     if small:  # spills, bursts, dictionary changes, a filter that is mostly full
-        for name, value in {"ENTRIES": 40, "WORDS": 25, "BURST": 4, "CHUNK_BYTES": 300, "BLOOM_BITS": 128}.items():
+        for name, value in {"ENTRIES": 40, "WORDS": 25, "BURST": 4, "RANGE_BITS": 2, "CHUNK_BYTES": 300, "BLOOM_BITS": 128}.items():
             monkeypatch.setattr(collocations, name, value)
         monkeypatch.setattr(collocations.count_phrases, "__defaults__", (3, 10, "lang", "text", 128))
     rows = phrase_rows(3) + [(None, None, "en", None), (1, "", "de", "a"), (1, "", "de", "a"), (2, "nur .", "eo", "a")]
