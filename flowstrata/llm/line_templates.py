@@ -47,21 +47,40 @@ def template_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataF
     whole = docs.select(*doc, F.xxhash64(*doc).alias("_doc"), tokens.alias("_total"), filled.alias("_lines"))
     lines = whole.select(*doc, "_doc", "_total", F.inline("_lines"))
     bare = F.regexp_replace("line", f"^{_SPACE}|{_SPACE}$", "")
-    lines = lines.select(*doc, "_doc", "_total", "no", F.split(bare, _SPACE).alias("_t")).withColumn("_n", F.size("_t"))
+    lines = lines.select(*doc, "_doc", "_total", "no", F.contains("line", F.lit(FIELD)).alias("_masked"),
+                         F.split(bare, _SPACE).alias("_t")).withColumn("_n", F.size("_t"))
     first = LEADING + F.expr(f"(_n - {LEADING} + 1) div 2").cast("int")
+
+    def parts(start: Column, size: Column) -> list[Column]:
+        """Hashes of a half's segments."""
+        step = F.ceil(size / SEGMENTS).cast("int")
+        return [F.xxhash64(F.slice("_t", start + step * i, F.greatest(F.least(step, size - step * i), F.lit(0)))) for i in range(SEGMENTS)]
+
+    def constant(tokens: Column, size: Column) -> Column:
+        return F.when(F.col("_masked"), F.size(F.array_remove(tokens, FIELD))).otherwise(size)
+
+    lead = F.slice("_t", 1, LEADING)
+    # Every token is hashed once here; the leaves' keys are made from these hashes.
+    lines = lines.select(
+        *doc, "_doc", "_total", "no", "_n", F.xxhash64(lead).alias("_lead"),
+        *[c.alias(f"_m{i}") for i, c in enumerate(parts(F.lit(LEADING + 1), first - LEADING))],
+        *[c.alias(f"_b{i}") for i, c in enumerate(parts(first + 1, F.col("_n") - first))],
+        F.when(F.col("_n") < GENERAL_FROM, F.xxhash64("_t")).alias("_short"),
+        constant(F.col("_t"), F.col("_n")).alias("_all"),
+        constant(F.slice("_t", F.lit(1), first), first).alias("_front"),
+        constant(F.concat(lead, F.slice("_t", first + 1, F.col("_n"))), F.col("_n") - first + LEADING).alias("_back"),
+    )
     leaf = f"struct<leaf:bigint,half:boolean,constant:int,{','.join(f'{p}:int' for p in _PARTS)}>"
+    middle, back = ([f"_{half}{i}" for i in range(SEGMENTS)] for half in "mb")
 
-    def of(kind: int, fixed: list[Column], free: Column | None = None) -> Column:
-        constant = sum(F.size(F.array_remove(part, FIELD)) for part in fixed)
-        size = F.lit(0) if free is None else F.ceil(F.size(free) / SEGMENTS).cast("int")
-        parts = [F.lit(0) if free is None else F.hash(F.slice(free, size * i + 1, size)) for i in range(SEGMENTS)]
+    def of(kind: int, fixed: list[str], tokens: str, free: list[str] | None = None) -> Column:
         key = F.xxhash64(F.lit(kind), "_n", *fixed)
-        return F.struct(key, F.lit(free is not None), constant, *parts).cast(leaf)
+        varying = [F.lit(0)] * SEGMENTS if free is None else [F.expr(f"CAST({c} & 2147483647 AS INT)") for c in free]
+        return F.struct(key, F.lit(free is not None), F.col(tokens), *varying).cast(leaf)
 
-    lead, front, back = F.slice("_t", 1, LEADING), F.slice("_t", F.lit(1), first), F.slice("_t", first + 1, F.col("_n"))
-    middle = F.slice("_t", F.lit(LEADING + 1), first - LEADING)
-    alone = F.array(of(0, [F.col("_t")]))
-    halves = F.array(of(0, [F.col("_t")]), of(1, [front], back), of(2, [lead, back], middle))
+    alone = F.array(of(0, ["_short"], "_all"))
+    halves = F.array(of(0, ["_lead", *middle, *back], "_all"), of(1, ["_lead", *middle], "_front", back),
+                     of(2, ["_lead", *back], "_back", middle))
     leaves = F.when(F.col("_n") < GENERAL_FROM, alone).otherwise(halves)
     # Fields alone don't make lines alike: such leaves are none.
     return lines.select(*doc, "_doc", "_total", "no", "_n", F.inline(leaves)).where("constant > 0")
