@@ -28,6 +28,7 @@ HALF_EVIDENCE = 40  # the same for a template with a varying segment, in its fix
 COPIED = 0.5  # share of a document's words in bundles beyond which it is a copy
 FIELD = "<*>"  # a token with a digit
 _SPACE = r"[\x20\x09-\x0D]+"
+_BLANKS = " \t\n\x0b\x0c\r"
 _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 _PARTS = [f"_s{i}" for i in range(SEGMENTS)]
 
@@ -41,12 +42,12 @@ def template_lines(docs: DataFrame, doc: list[str], text: str = "text") -> DataF
     (0-based line), ``leaf``, ``half`` (a leaf of a half), ``constant`` (fixed tokens of the leaf, without fields), hashes of
     the free half's segments, ``_n`` and ``_total`` (tokens of line and document)."""
     numbered = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("no"), _masked(x).alias("line")))
-    filled = F.filter(numbered, lambda s: s["line"].rlike(WORD))
-    tokens = F.size(F.split(F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", ""), _SPACE))
+    filled = F.filter(numbered, lambda s: F.btrim(s["line"], F.lit(_BLANKS)) != "")
+    tokens = F.size(F.split(F.btrim(text, F.lit(_BLANKS)), _SPACE))
     # Counted before the lines are taken apart, else it would be counted for each of them.
     whole = docs.select(*doc, F.xxhash64(*doc).alias("_doc"), tokens.alias("_total"), filled.alias("_lines"))
     lines = whole.select(*doc, "_doc", "_total", F.inline("_lines"))
-    bare = F.regexp_replace("line", f"^{_SPACE}|{_SPACE}$", "")
+    bare = F.btrim("line", F.lit(_BLANKS))
     lines = lines.select(*doc, "_doc", "_total", "no", F.contains("line", F.lit(FIELD)).alias("_masked"),
                          F.split(bare, _SPACE).alias("_t")).withColumn("_n", F.size("_t"))
     first = LEADING + F.expr(f"(_n - {LEADING} + 1) div 2").cast("int")
