@@ -45,14 +45,26 @@ RULES = (
     ), 2, 8, ("password", "passwd", "secret", "token", "apikey", "api_key"), fold=True),
     Rule("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16, ("AKIA",)),
     Rule("hex", re.compile(r"[0-9a-f]+"), 0, 32, ()),
-    Rule("pem", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[^-]*-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
-         0, 1, ("PRIVATE KEY-----",)),
+    # Up to the closing line, with or without headers of an encrypted key; of a key cut off, the lines that are there.
+    Rule("pem", re.compile(
+        r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+        r"(?:(?:[^-]|-(?!----))*+-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{40,76}(?![A-Za-z0-9+/=]))*+)"
+    ), 0, 1, ("PRIVATE KEY-----",)),
     Rule("jwt", re.compile(r"(?<![\w-])eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}", re.A), 0, 1, ("eyJ",)),
     Rule("forge", re.compile(r"(?<!\w)gh[pousr]_[A-Za-z0-9]{36,}", re.A), 0, 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
 )
-RULE_VERSION = "2"
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """A digest of all that a rule says, so that changed rules scan every blob anew."""
+    said = [(r.kind, r.pattern.pattern, r.pattern.flags, r.group, r.least, r.hints, r.fold) for r in rules]
+    return hashlib.sha256(repr(said).encode()).hexdigest()[:16]
+
+
+RULE_VERSION = version_of(RULES)
+SALTS = 32  # parts that the versions of one blob are dealt into
 _BASE = ("assign", "access", "hex")
-# Runs of the hex alphabet long enough; the same spans as the rule's pattern with its least length.
+# Runs of the hex alphabet long enough; the same spans as the pattern of ``hex`` with its least length.
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 LEDGER = (
@@ -66,7 +78,7 @@ def find_spans(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, in
     lowered = text.lower() if text.isascii() else text.encode().lower().decode()  # A-Z only
     found = []
     for number, rule in enumerate(rules):
-        if rule.kind == "hex":
+        if (rule.pattern.pattern, rule.least) == ("[0-9a-f]+", 32):
             found += [(m.start(), number, m.end()) for m in _LONG_HEX.finditer(text)]
             continue
         within = lowered if rule.fold else text
@@ -82,7 +94,7 @@ def _listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def _scan_blobs(blobs: DataFrame, rule_version: str) -> DataFrame:
+def _scan_blobs(blobs: DataFrame, rule_version: str, rules: tuple[Rule, ...]) -> DataFrame:
     """Findings of distinct blobs, in ledger form. ``blobs``: blob, text."""
     bound_batches(blobs.sparkSession)
 
@@ -90,7 +102,7 @@ def _scan_blobs(blobs: DataFrame, rule_version: str) -> DataFrame:
         for batch in batches:
             columns = [[] for _ in range(6)]
             for text in batch.column(1).to_pylist():
-                spans = find_spans(text or "")
+                spans = find_spans(text or "", rules)
                 base = [s for s in spans if s[2] in _BASE]
                 counts = [sum(s[2] == kind for s in base) for kind in _BASE]
                 digest = hashlib.sha256(_listed(base).encode()).hexdigest()
@@ -119,31 +131,48 @@ def read_ledger(spark, ledger_path: str, rule_version: str = RULE_VERSION) -> Da
     return ledger.dropDuplicates(["blob"])
 
 
-def update_ledger(versions: DataFrame, ledger_path: str, text: str = "text", rule_version: str = RULE_VERSION) -> None:
-    """Scans the blobs that the ledger lacks and appends them.
+def update_ledger(versions: DataFrame, ledger_path: str, text: str = "text", rule_version: str | None = None,
+                  rules: tuple[Rule, ...] = RULES) -> None:
+    """Scans the blobs that the ledger lacks for these rules, and appends them.
 
     Copies are dropped before the shuffle (one row for each blob and task crosses it), so a text that a third of all
     versions share is no hot key. ``ledger_path`` is a folder that exists, empty at first.
     """
     spark = versions.sparkSession
+    rule_version = rule_version or version_of(rules)
     contents = address(versions.select(F.col(text).alias("text")))
     blobs = contents.groupBy("blob").agg(F.first("text").alias("text"))
     known = spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("rule_version") == rule_version).select("blob")
     unseen = blobs.join(known, "blob", "left_anti")
-    _scan_blobs(unseen.select("blob", "text"), rule_version).write.mode("append").parquet(ledger_path)
+    _scan_blobs(unseen.select("blob", "text"), rule_version, rules).write.mode("append").parquet(ledger_path)
 
 
 def scan(versions: DataFrame, paths: list[str], ledger_path: str, text: str = "text",
-         rule_version: str = RULE_VERSION) -> DataFrame:
+         rule_version: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Findings of every version of every path: the path columns, ``blob`` and the ledger's columns.
 
     Null and empty texts have no findings; repeated rows come back as often as they occur; an empty table gives no
-    rows. Columns beside the named ones are not read.
+    rows. Columns beside the named ones are not read; a path column may not be named like one of the results. The rule
+    version is the rules' digest unless one is given. Only blobs with findings are joined back, and the versions of a
+    blob are dealt into ``SALTS`` parts, so a text that a third of all versions share is no hot key.
     """
-    update_ledger(versions, ledger_path, text, rule_version)
+    if clash := sorted({"blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "findings"} & {*paths}):
+        raise ValueError(f"path columns named like results: {', '.join(clash)}")
+    rule_version = rule_version or version_of(rules)
+    update_ledger(versions, ledger_path, text, rule_version, rules)
     ledger = read_ledger(versions.sparkSession, ledger_path, rule_version).drop("rule_version")
-    carried = address(versions.select(*paths, F.col(text).alias("_text")), "_text").drop("_text")
-    return carried.join(ledger, "blob", "left")
+    found = ledger.where(F.size("findings") > 0)
+    salted = found.withColumn("__llm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    carried = address(versions.select(*paths, F.col(text).alias("__llm_text")), "__llm_text").drop("__llm_text")
+    carried = carried.withColumn("__llm_salt", F.pmod(F.xxhash64(*paths), F.lit(SALTS)).cast("int"))
+    joined = carried.join(salted, ["blob", "__llm_salt"], "left")
+    # Every blob is in the ledger by now; one without a row here has no findings.
+    nothing = {
+        "n_assign": F.lit(0).cast("bigint"), "n_access": F.lit(0).cast("bigint"), "n_hex": F.lit(0).cast("bigint"),
+        "base_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "spans": F.lit(""),
+        "findings": F.array().cast(ledger.schema["findings"].dataType),
+    }
+    return joined.select("blob", *paths, *(F.coalesce(F.col(c), other).alias(c) for c, other in nothing.items()))
 
 
 def scan_documents(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -156,6 +157,56 @@ def test_license_wrapped_headers(documents):
     assert found[0].sentence_ids == "ApacheRef,ApacheYou,ApacheGet,ApacheAsIs,ApacheSee"
 
 
+def plain_sentences(text, wrapped):
+    """Known sentences of a text by one regular expression of all wordings."""
+    leader = r"[ .!?:;-]*(?:(?:dnl|rem) )?"
+    line_end = rf" ?[.!?:; -]*\n{leader}" if wrapped else r"\A\b\Z"
+    known = [*license_scan.SENTENCES.items(), *(w for w in license_scan.WORDINGS if wrapped or "\n" not in w[1])]
+    patterns, names = [], {}
+    for number, (name, sentence) in enumerate(sorted(known, key=lambda k: -len(k[1]))):
+        paragraphs = []
+        for part in sentence.split("\n\n"):
+            words = re.sub(r"[^a-z0-9.!?:;+-]+", " ", part.lower()).strip(" .!?:;").split()
+            gaps = [rf"(?: ?[.!?:;]+(?: |{line_end}))" if w[-1] in ".!?:;" else rf"(?: | ?\n{leader})" if wrapped else " "
+                    for w in words[:-1]]
+            bare = [re.escape(w.rstrip(".!?:;")) for w in words]
+            paragraphs.append("".join(a + b for a, b in zip(bare, [*gaps, ""], strict=True)))
+        patterns.append(f"(?P<s{number}>" + rf" ?\n{leader}\n{leader}".join(paragraphs) + ")")
+        names[f"s{number}"] = name
+    begin, close = rf"(?:(?:^|\n){leader}|[.!?:;]+ [ .!?:;]*)", r"(?=[ .!?:;-]*(?:\n|\Z)|[ .!?:;]*[.!?:;] )"
+    low = re.sub(r"[^a-z0-9.!?:;+\n-]+", " ", text.lower())
+    return [names[m.lastgroup] for m in re.finditer(begin + "(?:" + "|".join(patterns) + ")" + close, low)]
+
+
+def test_license_sentences_by_brute_force():
+    rng = random.Random(21)
+    known = [*license_scan.SENTENCES.values(), *(s for _, s in license_scan.WORDINGS)]
+    for wrapped in (False, True):
+        listed = [*license_scan.SENTENCES.items(), *(w for w in license_scan.WORDINGS if wrapped or "\n" not in w[1])]
+        recogniser = license_scan.Recogniser(listed, license_scan.RULES, wrapped)
+        met = 0
+        for _ in range(400):
+            text = ""
+            for _ in range(rng.randrange(1, 7)):
+                sentence = rng.choice(known) if rng.random() < 0.7 else "Some words of nobody's licence"
+                if rng.random() < 0.3:
+                    at = rng.choice([i for i, c in enumerate(sentence) if c == " "])
+                    sentence = sentence[:at] + rng.choice(["\n", "\n * ", "\n# ", "\n\n", " or ", "  "]) + sentence[at + 1 :]
+                text += sentence + rng.choice([". ", ".\n", "\n", "\n\n", "; ", " and ", "\n// ", ".\n\n", ". . "])
+            wanted = plain_sentences(text, wrapped)
+            met += len(wanted)
+            assert recogniser.sentence_ids(text) == wanted, text
+        assert met > 300
+
+
+def test_license_long_rows_of_signs_take_linear_time():
+    recogniser = license_scan.Recogniser([*license_scan.SENTENCES.items()], license_scan.RULES, True)
+    for part in (". ", ".", "; \n", "\n", "- ."):
+        start = time.monotonic()
+        assert recogniser.sentence_ids(part * 100_000) == []
+        assert time.monotonic() - start < 2
+
+
 def test_license_odd_rows(documents, odd_rows):
     docs = documents(odd_rows)
     assert license_scan.scan_documents(docs).count() == len(odd_rows)
@@ -219,6 +270,25 @@ def test_secret_further_kinds():
         + " eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"
     )]
     assert kinds == ["pem", "forge", "jwt"]
+    encrypted = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\nMIIE\n-----END RSA PRIVATE KEY-----"
+    assert secret_scan.find_spans("x " + encrypted + " y") == [(2, 2 + len(encrypted), "pem")]
+    cut_off = "-----BEGIN PRIVATE KEY-----\n" + "Ab1+" * 16 + "\n" + "Zz/9" * 16
+    assert secret_scan.find_spans(cut_off + "\nand then some prose") == [(0, len(cut_off), "pem")]
+
+
+def test_secret_changed_rules_scan_anew(spark, documents, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    (tmp_path / "ledger").mkdir()
+    docs = documents([(1, "token = abcdefgh12345678"), (2, "token = abcdefgh12345678"), (3, "key K-77")])
+    first = secret_scan.scan(docs, ["doc_id"], ledger).collect()
+    more = (*secret_scan.RULES, secret_scan.Rule("own", re.compile("K-[0-9]+"), 0, 1, ()))
+    assert secret_scan.version_of(more) != secret_scan.RULE_VERSION
+    second = secret_scan.scan(docs, ["doc_id"], ledger, rules=more).collect()
+    assert {r.doc_id: r.spans for r in first} == {1: "assign:0:24", 2: "assign:0:24", 3: ""}
+    assert {r.doc_id: r.spans for r in second} == {1: "assign:0:24", 2: "assign:0:24", 3: "own:4:8"}
+    assert spark.read.parquet(ledger).count() == 4
+    with pytest.raises(ValueError, match="spans"):
+        secret_scan.scan(docs.withColumn("spans", F.lit(1)), ["doc_id", "spans"], ledger)
 
 
 # --- byte BPE
