@@ -28,6 +28,8 @@ WINDOW = 8
 # window in a text of some hundred words.
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
 FLOORS = (0.25, 0.25, 0.03, 0.35, 0.03)
+# Added to the words that repeated ones are a share of: one line that comes twice is no sign of a bad text, however short.
+SHORT_WORDS = 75
 SHARE = 0.6  # rows of a group that the estimate rests on
 TAIL = 1e-9  # of the chi-squared distribution beyond the cutoff
 STEPS = 5
@@ -103,7 +105,7 @@ def _features() -> dict[str, Column]:
         "f_length": F.col("word_chars") / words,
         "f_symbols": F.sqrt(F.col("n_symbols") / chars),
         "f_lines": F.log1p(F.col("n_dup_lines")),
-        "f_repeats": F.col("n_repeat_words") / words,
+        "f_repeats": F.col("n_repeat_words") / (words + SHORT_WORDS),
     }
 
 

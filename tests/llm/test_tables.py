@@ -98,6 +98,57 @@ def test_each_statistic_can_reject(spark):
     assert all(kept[r[0]] == (False, True) for r in rows)
 
 
+def test_line_repeated_in_short_text_is_kept(spark):
+    rng = random.Random(7)
+    rows = [(i, "en", "a", n, 5 * n + rng.randrange(20), 0, 0, 0) for i, n in enumerate(20 + int(rng.lognormvariate(5.5, 0.9)) for _ in range(600))]
+    short = [(1000 + n, "en", "a", n, 5 * n, 0, 1, 18) for n in range(64, 91)]
+    stats = spark.createDataFrame(rows + short, "doc_id long, lang string, source string, " + quality.STATS)
+    kept = {r.doc_id: r.kept for r in quality.judge(stats, ["lang", "source"]).collect()}
+    assert all(kept[r[0]] for r in rows + short)
+
+
+def plain_mcd(rows):
+    """Centre and scatter by concentration steps over rows held in memory, from medians and quartiles on."""
+    k, floors = len(quality.FEATURES), np.array(quality.FLOORS)
+    low, centre, high = np.quantile(rows, [0.25, 0.5, 0.75], axis=0)
+    inverse = np.diag(1 / np.maximum((high - low) / 1.349, floors) ** 2)
+    for _ in range(quality.STEPS):
+        off = rows - centre
+        distance = np.einsum("ni,ij,nj->n", off, inverse, off)
+        near = rows[np.argsort(distance)[: round(quality.SHARE * len(rows))]]
+        centre = near.mean(axis=0)
+        scatter = np.cov(near.T, bias=True) * quality._consistency(quality.SHARE, k)
+        values, vectors = np.linalg.eigh(scatter / np.outer(floors, floors))
+        inverse = np.linalg.inv((vectors * np.maximum(values, 1)) @ vectors.T * np.outer(floors, floors))
+    off = rows - centre
+    return np.einsum("ni,ij,nj->n", off, inverse, off)
+
+
+def test_verdict_by_plain_mcd(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for source, level in (("a", 5.0), ("b", 6.5)):
+        words = np.exp(rng.normal(level, 0.8, 700)).astype(int) + 20
+        for i, n in enumerate(words.tolist()):
+            odd = i % 20 == 0
+            length = rng.normal(8 if odd else 5, 0.4)
+            rows.append((len(rows), "en", source, n, int(length * n), int(n * rng.uniform(0, 2 if odd else 0.1)),
+                         int(rng.integers(0, 3)), int(min(0.29, rng.exponential(0.01)) * n)))
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + quality.STATS)
+    found = {r.doc_id: r for r in quality.judge(stats, ["lang", "source"]).collect()}
+    cutoff = quality._chi2_quantile(quality.TAIL, len(quality.FEATURES))
+    for source in "ab":
+        group = [r for r in rows if r[2] == source]
+        n, chars, symbols, lines, repeats = (np.array([r[i] for r in group], float) for i in range(3, 8))
+        wanted = plain_mcd(np.column_stack([
+            np.log1p(n), chars / n, np.sqrt(symbols / chars), np.log1p(lines), repeats / (n + quality.SHORT_WORDS)]))
+        got = np.array([found[r[0]].distance for r in group])
+        assert np.allclose(got, wanted, rtol=0.1)
+        clear = np.abs(wanted / cutoff - 1) > 0.1
+        assert ((got <= cutoff) == (wanted <= cutoff))[clear].all() and clear.mean() > 0.95
+        assert {found[r[0]].kept for r in group} == {True, False}
+
+
 def test_chi_squared():
     assert quality._chi2_quantile(0.05, 5) == pytest.approx(11.0705, abs=1e-3)
     assert quality._chi2_cdf(6.6257, 5) == pytest.approx(0.75, abs=1e-4)
