@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-LEAF_CHARS = 16_384
+LEAF_CHARS = 256  # longer texts are halved
 FIRST_WINDOW = 32
 # White space for every reading of the pattern's ``\s``; ``str.isspace`` knows a few characters more.
 _SPACE = frozenset(" \t\n\r\x0b\x0c")
@@ -111,8 +111,8 @@ class Codec:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
     """Adds ``n_tokens``, digests of ids and decoded bytes, and ``ids`` (little-endian 32-bit numbers) to every row.
 
-    Columns of these names are replaced. Null and empty text: no tokens. Texts of any length are encoded whole. The vocabulary (of a fixed, known size)
-    is read by the driver and broadcast; executors need no file. Nothing is shuffled.
+    Columns of these names are replaced. Null and empty text: no tokens. Texts of any length are encoded whole. The
+    vocabulary (of a fixed, known size) is read by the driver and broadcast; executors need no file. Nothing is shuffled.
     """
     bound_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern))
