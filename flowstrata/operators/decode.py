@@ -23,7 +23,7 @@ def _service(payload: Column) -> Column:
     is_dns = udp & (port == 53)
     return (
         F.when(is_hello, payloads.tls_label(F.when(is_hello, payload)))
-        .when(tcp & port.isin(C.HTTP_PORTS), payloads.http_summary(payload))
+        .when(tcp & port.isin(C.HTTP_PORTS), F.col("_http"))
         .when(is_dns, payloads.dns_label(F.when(is_dns, payload)))
         .when(tcp & (port == 22), payloads.banner(payload, "SSH-", "SSH"))
         .when(tcp & port.isin(C.SMTP_PORTS), payloads.banner(payload, "220", "SMTP"))
@@ -102,5 +102,7 @@ def decode_frames(frames: DataFrame, agent_id: str = "", detect_services: bool =
         F.col("_kind") == "UDP", fr.cut(segment, 8)
     ))
     decoded = layered.select("frame_id", *known, port.alias("_port"), "_kind", payload.alias("_payload"))
+    is_http = (F.col("_kind") == "TCP") & F.col("_port").isin(C.HTTP_PORTS)
+    decoded = payloads.with_http_label(decoded, F.when(is_http, F.col("_payload")), "_http")
     service = F.when(F.length("_payload") > 0, _service(F.col("_payload")))
     return decoded.withColumn("service_info", service).select("frame_id", *schemas.BRONZE.fieldNames())

@@ -190,15 +190,23 @@ def _text_hex(text: str) -> str:
 
 
 def built_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Ethernet frame per event with an IPv4 source, put together field by field.
-
-    By ``seq % 16``: 5 is ARP, 7 is cut to 20 bytes, 9 has a VLAN tag, 11 is a
-    later fragment, 13 has IP options, 15 carries protocol 47; the rest are
-    plain. The payload follows the destination port; ``seq % 50`` names the
-    host (always 15 characters, so that all length fields are known).
+    """One Ethernet frame per event, put together field by field.
+
+    Events with an IPv6 source become IPv6 frames. By ``seq % 16``: 5 is ARP,
+    7 is cut to 20 bytes, 9 has a VLAN tag, 11 is a later fragment, 13 has IP
+    options, 15 carries protocol 47; the rest are plain. A third of the packets
+    to port 9000 go to 25 instead, a third of those to 1900 to 8080. The
+    payload follows the destination port; ``seq % 50`` names the host (always
+    15 characters, so that all length fields are known).
     """
-    source = packets(spark, sf_dir, extra=("ts AS at", "event_type")).where(~F.col("src_ip").startswith("fe80"))
+    moved = F.when(F.col("seq") % 3 != 0, F.col("dst_port")).when(F.col("dst_port") == 9000, 25).when(
+        F.col("dst_port") == 1900, 8080
+    ).otherwise(F.col("dst_port"))
+    source = packets(spark, sf_dir, extra=("ts AS at", "event_type")).withColumn("dst_port", moved)
+    # One file of events would give one file of frames, and decoding one task.
+    source = source.repartition(spark.sparkContext.defaultParallelism)
     case = F.col("seq") % 16
+    ipv6 = F.col("src_ip").startswith("fe80")
 
     def be(value: Column | int, size: int) -> Column:
         number = F.lit(value) if isinstance(value, int) else value
@@ -207,7 +215,7 @@ def built_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     def quad(name: str) -> Column:
         # Octets above 255 (large user ids) are wrapped to one byte.
         return F.concat(*[
-            be(F.split_part(F.col(name), F.lit("."), F.lit(i)).cast("int") % 256, 1) for i in (1, 2, 3, 4)
+            be(F.split_part(F.col(name), F.lit("."), F.lit(i)).try_cast("int") % 256, 1) for i in (1, 2, 3, 4)
         ])
 
     label = F.concat(F.lit("68"), F.hex(F.encode(F.lpad((F.col("seq") % 50).cast("string"), 2, "0"), "US-ASCII")))
@@ -231,11 +239,15 @@ def built_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     payload = (
         F.when(F.col("dst_port") == 443, tls).when(F.col("dst_port") == 80, http).when(F.col("dst_port") == 53, dns)
-        .when(F.col("dst_port") == 22, F.lit(_text_hex("SSH-2.0-Demo_1.0\r\n"))).otherwise(F.lit("00FF10"))
+        .when(F.col("dst_port") == 22, F.lit(_text_hex("SSH-2.0-Demo_1.0\r\n")))
+        .when(F.col("dst_port") == 25, F.lit(_text_hex("220 mail.example.com ready\r\n")))
+        .when(F.col("dst_port") == 8080, F.lit(_text_hex("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n")))
+        .otherwise(F.lit("00FF10"))
     )
     size = (
         F.when(F.col("dst_port") == 443, 76).when(F.col("dst_port") == 80, 44).when(F.col("dst_port") == 53, 33)
-        .when(F.col("dst_port") == 22, 18).otherwise(3)
+        .when(F.col("dst_port") == 22, 18).when(F.col("dst_port") == 25, 28).when(F.col("dst_port") == 8080, 44)
+        .otherwise(3)
     )
     kind = F.upper("protocol")
     ports = F.concat(be(F.col("src_port"), 2), be(F.col("dst_port"), 2))
@@ -255,9 +267,13 @@ def built_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     link = F.concat(
         F.lit("FF" * 6 + "00" * 6), F.when(case == 9, F.lit("81000005")).otherwise(""),
-        F.when(case == 5, "0806").otherwise("0800"),
+        F.when(case == 5, "0806").when(ipv6, "86DD").otherwise("0800"),
+    )
+    ip6 = F.concat(
+        F.lit("60000000"), be(segment_size, 2), be(number, 1), F.lit("40" + "FE80" + "00" * 14 + "FE80" + "00" * 14), segment
     )
-    whole = F.concat(link, F.when(case == 5, F.lit("00" * 28)).otherwise(ip), F.lit("00" * 6))
+    body = F.when(case == 5, F.lit("00" * 28)).when(ipv6, ip6).otherwise(ip)
+    whole = F.concat(link, body, F.lit("00" * 6))
     return source.select(
         F.col("seq").alias("frame_id"),
         F.col("at").cast("timestamp").alias("captured_at"),
@@ -265,11 +281,17 @@ def built_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_FRAME_TABLES: dict[tuple[str, str], str] = {}
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frames as a stored table, scanned."""
-    path = scratch_path(spark, "frames")
-    built_frames(spark, sf_dir).write.parquet(path)
-    return read_frames(spark, path)
+    """The frames as a stored table, scanned. It is written once per application and data folder."""
+    table = spark.sparkContext.applicationId, sf_dir
+    if table not in _FRAME_TABLES:
+        path = scratch_path(spark, "frames")
+        built_frames(spark, sf_dir).write.parquet(path)
+        _FRAME_TABLES[table] = path
+    return read_frames(spark, _FRAME_TABLES[table])
 
 
 GOLD_COLUMNS = [n for n in schemas.GOLD.fieldNames() if n != "computed_at"]

@@ -249,9 +249,11 @@ _OCTETS = " || '.' || ".join(f"CAST(CAST(split_part({{ip}}, '.', {i}) AS INT) %
 # Lengths follow from the way the frames are put together: link header, optional tag,
 # IP header with optional options, transport header, payload, six bytes of padding.
 _HOST = "'h' || lpad(CAST(seq % 50 AS VARCHAR), 2, '0')"
-_FRAMES = f"""WITH {_packets()}, framed AS (SELECT p.seq, e.ts AS captured, seq % 16 AS c, upper(protocol) AS kind, p.* EXCLUDE (seq)
-  FROM packets p JOIN events e ON e.event_id = p.seq WHERE src_ip NOT LIKE 'fe80%'),
-sized AS (SELECT *, CASE dst_port WHEN 443 THEN 76 WHEN 80 THEN 44 WHEN 53 THEN 33 WHEN 22 THEN 18 ELSE 3 END AS pay
+_FRAMES = f"""WITH {_packets()}, framed AS (SELECT p.seq, e.ts AS captured, seq % 16 AS c, upper(protocol) AS kind,
+  p.* EXCLUDE (seq, dst_port), CASE WHEN seq % 3 <> 0 THEN dst_port WHEN dst_port = 9000 THEN 25 WHEN dst_port = 1900 THEN 8080
+    ELSE dst_port END AS dst_port FROM packets p JOIN events e ON e.event_id = p.seq WHERE src_ip NOT LIKE 'fe80%'),
+sized AS (SELECT *, CASE dst_port WHEN 443 THEN 76 WHEN 80 THEN 44 WHEN 53 THEN 33 WHEN 22 THEN 18 WHEN 25 THEN 28
+    WHEN 8080 THEN 44 ELSE 3 END AS pay
   FROM framed WHERE c NOT IN (5, 7)),
 known AS (SELECT *, (c <> 11 AND c <> 15 AND kind IN ('TCP', 'UDP')) AS ported FROM sized),
 decoded AS (SELECT seq AS frame_id, strftime(captured, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS timestamp, captured,
@@ -267,6 +269,8 @@ decoded AS (SELECT seq AS frame_id, strftime(captured, '%Y-%m-%dT%H:%M:%S.%f') |
     WHEN kind = 'TCP' AND dst_port = 80 THEN 'HTTP GET ' || {_HOST} || '.example.com/p/' || CAST(seq % 7 AS VARCHAR)
     WHEN kind = 'UDP' AND dst_port = 53 THEN CASE WHEN seq % 4 = 2 THEN 'DNS A ' ELSE 'DNS AAAA ' END
       || {_HOST} || '.example.com'
+    WHEN kind = 'TCP' AND dst_port = 25 THEN '220 mail.example.com ready'
+    WHEN kind = 'TCP' AND dst_port = 8080 THEN 'HTTP 200 text/html'
     WHEN kind = 'TCP' AND dst_port = 22 THEN 'SSH-2.0-Demo_1.0' END AS service_info FROM known)"""
 
 _SLOT = "CAST(dayofweek(event_ts) + 1 AS INT) AS weekday, CAST(hour(event_ts) AS INT) AS hour"

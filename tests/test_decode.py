@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import socket
 import struct
 
+import pyarrow as pa
 import pytest
 
 from flowstrata import schemas
+from flowstrata.functions import payloads
 from flowstrata.operators.decode import decode_frames
 from flowstrata.operators.silver import to_silver
 from flowstrata.operators.validation import accepted, validate_records
@@ -116,6 +119,35 @@ def test_services(spark):
         assert got[i]["service_info"] == label, i
 
 
+def _spoilt(payload, rng):
+    """The payload with some bytes changed, or cut off."""
+    data = bytearray(payload)
+    for _ in range(rng.randint(0, 3)):
+        data[rng.randrange(len(data))] = rng.choice([0, 1, 3, 5, 16, 63, 64, 0xC0, 0xC3, 0xFF, rng.randrange(256)])
+    return bytes(data[: rng.randint(0, len(data))] if rng.random() < 0.3 else data)
+
+
+@pytest.mark.parametrize("whole_batch, alone, samples", [
+    (payloads._dns_labels, payloads._dns_question, [
+        query(), query(kind=28), query(kind=9999), query(name=b"\x00"), query(name=b"\xc0\x0c"), query(name=b"\x03a\xffb\x00"),
+        query(name=b"\x01a\xc0\x0c"), query(name=b"\x02\xc3\xbc\x03com\x00"), query(name=b"\x3f" + b"x" * 63 + b"\x00"), query(count=0),
+    ]),
+    (payloads._tls_labels, payloads._server_name, [
+        hello(), hello(extra=b"\x00\x0b\x00\x02\x01\x00" * 3), hello(b""), hello(b"xn--bcher-kva.example"), hello(b"XN--a"),
+        hello(b"a\xffb.com"), hello(b"a..b"), hello(extra=b"\x00\x00\x00\x01\x00"), hello()[:43], hello()[:44],
+    ]),
+])
+def test_batch_walk_reads_as_one_by_one(whole_batch, alone, samples):
+    rng = random.Random(7)
+    rows = [*samples, None, b"", *(_spoilt(rng.choice(samples), rng) for _ in range(4000))]
+    wanted = [None if r is None else alone(r) for r in rows]
+    assert whole_batch(pa.array(rows, pa.binary())).to_pylist() == wanted
+    # A slice has an offset of its own; empty and all-null batches have no data.
+    assert whole_batch(pa.array(rows, pa.binary())[5:60]).to_pylist() == wanted[5:60]
+    assert whole_batch(pa.array([], pa.binary())).to_pylist() == []
+    assert whole_batch(pa.array([None, None], pa.binary())).to_pylist() == [None, None]
+
+
 def test_frames_reach_silver(spark):
     df = spark.createDataFrame([(0, AT, bytearray(ether(ipv4(b"ping", 1))))], schemas.FRAMES)
     row = to_silver(accepted(validate_records(decode_frames(df)))).first()
