@@ -34,20 +34,31 @@ def observe_stages(checked: DataFrame, observation) -> DataFrame:
     return checked.observe(observation, *_stage_measures())
 
 
+_PARTS = 64
+
+
+def newest_samples(samples: DataFrame, keep: int, order: list[str]) -> DataFrame:
+    """The last ``keep`` rows of each stage.
+
+    Spark cuts ranks before the shuffle only for small ``keep``. Each stage is therefore cut in parts first, dealt by
+    hash of the ordering columns, so that no task sorts a whole stage and the last one gets ``64 * keep`` rows at most.
+    """
+    descending = [F.desc(c) for c in order]
+    parted = samples.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(_PARTS)))
+    for by in (["stage", "_part"], ["stage"]):
+        ranked = parted.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*descending)))
+        parted = ranked.where(F.col("_n") <= keep).drop("_n")
+    return parted.drop("_part")
+
+
 def latency_percentiles(samples: DataFrame, keep: int = C.LATENCY_SAMPLES, order: str = "ts") -> DataFrame:
     """p50/p95/p99 per stage over the last ``keep`` samples.
 
     The value at index ``min(floor(n * p / 100), n - 1)`` of the sorted
-    samples. Only known stages count; a stage without samples has no row. The
-    rank filter keeps at most ``keep`` samples per stage and task before the
-    shuffle, and one list never exceeds ``keep`` values.
+    samples. Only known stages count; a stage without samples has no row. One
+    list never exceeds ``keep`` values.
     """
-    newest = Window.partitionBy("stage").orderBy(F.desc(order))
-    kept = (
-        samples.where(F.col("stage").isin(C.LATENCY_STAGES))
-        .withColumn("_n", F.row_number().over(newest))
-        .where(F.col("_n") <= keep)
-    )
+    kept = newest_samples(samples.where(F.col("stage").isin(C.LATENCY_STAGES)), keep, [order])
     ordered = kept.groupBy("stage").agg(F.sort_array(F.collect_list("us")).alias("_us"))
     size = F.size("_us")
 

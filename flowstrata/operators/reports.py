@@ -158,14 +158,13 @@ def main_service(silver: DataFrame) -> DataFrame:
 
 
 def subnet_report(silver: DataFrame, limit: int = 3) -> DataFrame:
-    """Top destination ports per source network with the volume of the network."""
-    per_port = (
-        silver.where(F.col("dst_port").isNotNull()).groupBy("src_network", "dst_port").agg(packets(), volume())
+    """Top destination ports per source network with the volume of the network; both from one grouped aggregate."""
+    per_port = silver.groupBy("src_network", "dst_port").agg(packets(), volume())
+    whole = per_port.groupBy("src_network").agg(
+        F.sum("packets").alias("subnet_packets"), F.sum("bytes").alias("subnet_bytes")
     )
-    whole = silver.groupBy("src_network").agg(
-        F.count(F.lit(1)).alias("subnet_packets"), F.sum("length").alias("subnet_bytes")
-    )
-    return whole.join(_top_names(per_port, ["src_network"], "dst_port", limit), "src_network", "left")
+    best = _top_names(per_port.where(F.col("dst_port").isNotNull()), ["src_network"], "dst_port", limit)
+    return whole.join(best.withColumnRenamed("src_network", "_network"), F.col("src_network").eqNullSafe(F.col("_network")), "left").drop("_network")
 
 
 def last_hours(silver: DataFrame, hours: int, as_of=None) -> DataFrame:
@@ -183,6 +182,40 @@ def periodic(silver: DataFrame, unit: str = "week") -> DataFrame:
     )
 
 
+PERIODS = ("day", "week")
+PERIODIC = {"protocol": "protocol", "src_ip": "src_ip", "dst_ip": "dst_ip", "subnet": "src_network", "dst_port": "dst_port"}
+
+
+def periodic_report(silver: DataFrame, units: tuple[str, ...] = PERIODS, limit: int = C.TOP_N) -> DataFrame:
+    """Top names of each breakdown per period, with the exact number of names and the period's volume.
+
+    ``unit, period, breakdown, rank, name, packets, bytes, names, period_packets, period_bytes``. Names that are null are
+    in the period's volume only. One scan counts per day and name by grouping sets; longer periods add up days. A name has
+    one row per period then, so distinct names are a plain count, and ranks are cut before the shuffle.
+    """
+    columns = list(dict.fromkeys(PERIODIC.values()))
+    daily = silver.select("event_date", *[F.col(c).cast("string").alias(c) for c in columns], "length").groupingSets(
+        [[F.col("event_date"), F.col(c)] for c in columns], "event_date", *columns
+    ).agg(F.grouping_id().alias("_gid"), packets(), volume())
+    everything = (1 << len(columns)) - 1
+    breakdown, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for label, column in PERIODIC.items():
+        here = F.col("_gid") == everything - (1 << (len(columns) - 1 - columns.index(column)))
+        breakdown, name = F.when(here, label).otherwise(breakdown), F.when(here, F.col(column)).otherwise(name)
+    starts = [
+        F.struct(F.lit(u).alias("unit"), F.date_trunc(u, F.col("event_date").cast("timestamp")).cast("date").alias("period"))
+        for u in units
+    ]
+    named = daily.select(F.inline(F.array(*starts)), breakdown.alias("breakdown"), name.alias("name"), "packets", "bytes")
+    by = ["unit", "period", "breakdown"]
+    counted = named.groupBy(*by, "name").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+    whole = counted.groupBy(*by).agg(
+        F.count("name").alias("names"), F.sum("packets").alias("period_packets"), F.sum("bytes").alias("period_bytes")
+    )
+    best = _top_names(counted.where(F.col("name").isNotNull()), by, "name", limit)
+    return best.join(whole, by)
+
+
 def between(silver: DataFrame, start, end) -> DataFrame:
     """Rows of an arbitrary window; feed it to any breakdown. Dates are bounded too, a day wider for other offsets."""
     first, last = as_instant(start), as_instant(end)

@@ -11,21 +11,22 @@ from ..functions.timestamps import as_instant, minute_of
 DIMENSIONS = {"protocol": "protocol", "subnet": "src_network", "service": "service_info"}
 
 
-def minute_buckets(silver: DataFrame, dimensions=tuple(DIMENSIONS)) -> DataFrame:
-    """``minute, dimension, name, packets, bytes``, one scan for all dimensions.
+def minute_buckets(silver: DataFrame, dimensions=tuple(DIMENSIONS), newest: bool = False) -> DataFrame:
+    """``minute, dimension, name, packets, bytes``, one scan for all dimensions; with ``newest`` also the last event time.
 
     Null and empty services form no bucket.
     """
+    last = [F.max("event_ts").alias("newest")] if newest else []
     columns = [DIMENSIONS[d] for d in dimensions]
-    keyed = silver.select(minute_of(F.col("event_ts")).alias("minute"), *columns, "length")
+    keyed = silver.select(minute_of(F.col("event_ts")).alias("minute"), *columns, "length", "event_ts")
     if len(columns) == 1:
         grouped = keyed.groupBy("minute", *columns).agg(
-            F.lit(0).alias("_gid"), F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes")
+            F.lit(0).alias("_gid"), F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), *last
         )
     else:
         sets = [[F.col("minute"), F.col(c)] for c in columns]
         grouped = keyed.groupingSets(sets, "minute", *columns).agg(
-            F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes")
+            F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), *last
         )
     everything = (1 << len(columns)) - 1
     dimension: Column = F.lit(None).cast("string")
@@ -35,7 +36,7 @@ def minute_buckets(silver: DataFrame, dimensions=tuple(DIMENSIONS)) -> DataFrame
         dimension = F.when(here, F.lit(label)).otherwise(dimension)
         name = F.when(here, F.col(column)).otherwise(name)
     return (
-        grouped.select("minute", dimension.alias("dimension"), name.alias("name"), "packets", "bytes")
+        grouped.select("minute", dimension.alias("dimension"), name.alias("name"), "packets", "bytes", *(["newest"] if newest else []))
         .where(~((F.col("dimension") == "service") & (F.coalesce("name", F.lit("")) == "")))
     )
 

@@ -293,6 +293,13 @@ def _new_top(key: str) -> str:
 
 _HOURLY_VOLUME = f"volume AS (SELECT date_trunc('hour', event_ts) AS window_start, {_SUMS} FROM silver GROUP BY ALL)"
 
+_PERIODIC = " UNION ALL ".join(
+    f"SELECT event_date, length, '{label}' AS breakdown, CAST({column} AS VARCHAR) AS name FROM silver"
+    for label, column in (
+        ("protocol", "protocol"), ("src_ip", "src_ip"), ("dst_ip", "dst_ip"), ("subnet", "src_network"), ("dst_port", "dst_port")
+    )
+)
+
 ORACLES: dict[str, str] = {
     "silver_packets": f"{SILVER} SELECT seq, {_SILVER_COLUMNS} FROM silver",
     "silver_utc_buckets": f"""WITH {_packets()}, {_VALID}, {_silver_from(
@@ -462,6 +469,10 @@ ORACLES: dict[str, str] = {
         CASE WHEN seq % 3 = 1 THEN NULL ELSE service_info END AS service_info FROM silver)
         SELECT event_date, count(*) AS packets, count(length) AS lengths, CAST(sum(length) AS BIGINT) AS bytes,
         count(service_info) AS services FROM kept GROUP BY event_date""",
+    "schema_evolution_strict": f"""{SILVER}, marked AS (SELECT *, day(event_date) % 2 = 1 AND seq % 2 = 0 AS bad FROM silver)
+        SELECT event_date, count(*) AS packets,
+        CASE WHEN bool_or(bad) THEN 0 ELSE count(length) END AS lengths,
+        CASE WHEN NOT bool_or(bad) THEN CAST(sum(length) AS BIGINT) END AS bytes FROM marked GROUP BY event_date""",
     "compacted_silver": f"{SILVER} SELECT event_date, {_SUMS}, CAST(1 AS BIGINT) AS most_files FROM silver GROUP BY event_date",
     "retained_silver": f"""{SILVER} SELECT event_date, count(*) AS packets FROM silver
         WHERE event_date >= DATE '2024-01-23' GROUP BY event_date""",
@@ -482,6 +493,7 @@ ORACLES: dict[str, str] = {
     "stored_gold_preview": f"""{SILVER} {_GOLD}
         ORDER BY event_hour, event_date, protocol NULLS FIRST, src_network NULLS FIRST, agent_id NULLS FIRST LIMIT 20""",
     "stream_protocol_totals": f"{SILVER} SELECT protocol, {_SUMS} FROM silver GROUP BY protocol",
+    "stream_windows": _windows(DENSE, "(SELECT max(event_ts) FROM silver)", "dimension, rank"),
     "frame_decode": f"{_FRAMES} SELECT * EXCLUDE (captured) FROM decoded",
     "frame_to_gold": f"""{_FRAMES}, silver AS (SELECT *, captured AS event_ts, date_trunc('hour', captured) AS event_hour,
         CAST(captured AS DATE) AS event_date, 'tap' AS agent_id,
@@ -522,6 +534,31 @@ ORACLES: dict[str, str] = {
     "last_hours": f"""{SILVER} SELECT src_ip, dst_port, service_info, {_SUMS} FROM silver
         WHERE event_ts BETWEEN {_AS_OF} - INTERVAL 24 HOUR AND {_AS_OF} GROUP BY ALL""",
     "weekly_report": f"{SILVER} SELECT CAST(date_trunc('week', event_date) AS DATE) AS period, {_SUMS} FROM silver GROUP BY 1",
+    "periodic_export": f"""{SILVER}, named AS ({_PERIODIC}),
+        counted AS (SELECT unit, CAST(date_trunc(unit, event_date) AS DATE) AS period, breakdown, name, {_SUMS}
+          FROM named, (VALUES ('day'), ('week')) u(unit) GROUP BY ALL),
+        whole AS (SELECT unit, period, breakdown, count(DISTINCT name) AS names, CAST(sum(packets) AS BIGINT) AS period_packets,
+          CAST(sum(bytes) AS BIGINT) AS period_bytes FROM counted GROUP BY ALL)
+        SELECT c.*, row_number() OVER (PARTITION BY unit, period, breakdown ORDER BY c.packets DESC, name) AS rank, names,
+          period_packets, period_bytes FROM counted c JOIN whole USING (unit, period, breakdown) WHERE name IS NOT NULL
+        QUALIFY rank <= 10""",
+    "hours_export": f"""{SILVER} SELECT src_ip, dst_port, service_info, {_SUMS} FROM silver
+        WHERE event_ts BETWEEN {_AS_OF} - INTERVAL 24 HOUR AND {_AS_OF} GROUP BY ALL""",
+    "flow_sessions_by_tuple": f"""{DENSE}, marked AS (SELECT *,
+        CASE WHEN epoch_us(event_ts) - epoch_us(lag(event_ts) OVER w) < 120000000 THEN 0 ELSE 1 END AS starts
+        FROM silver WINDOW w AS (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol ORDER BY event_ts)),
+        numbered AS (SELECT *, sum(starts) OVER (PARTITION BY src_ip, dst_ip, src_port, dst_port, protocol ORDER BY event_ts
+        ROWS UNBOUNDED PRECEDING) AS session FROM marked)
+        SELECT src_ip, dst_ip, src_port, dst_port, protocol, {_SUMS}, min(event_ts) AS first_seen, max(event_ts) AS last_seen,
+        (epoch_us(max(event_ts)) - epoch_us(min(event_ts))) / CAST(1000000 AS DOUBLE) AS duration_sec
+        FROM numbered GROUP BY src_ip, dst_ip, src_port, dst_port, protocol, session""",
+    "volume_spikes_by_source": f"""{DENSE}, per AS (SELECT src_ip, dst_port, time_bucket(INTERVAL 360 MINUTE, event_ts)
+        AS window_start, CAST(sum(length) AS BIGINT) AS bytes FROM silver WHERE dst_port IS NOT NULL GROUP BY ALL),
+        scored AS (SELECT *, avg(bytes) OVER w AS m, stddev_samp(bytes) OVER w AS s FROM per
+        WINDOW w AS (PARTITION BY src_ip, dst_port ORDER BY window_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+        SELECT src_ip, dst_port, window_start, bytes FROM scored WHERE bytes > m + s""",
+    "silver_ingested": f"""{SILVER} SELECT event_date, {_AS_OF} AS ingested_at, count(*) AS packets FROM silver
+        GROUP BY event_date""",
     "window_breakdown": f"""{SILVER} SELECT protocol, {_SUMS} FROM silver WHERE event_ts >= TIMESTAMP '2024-01-10'
         AND event_ts < TIMESTAMP '2024-01-12' GROUP BY protocol""",
     "volume_spikes": f"""{DENSE}, per AS (SELECT src_network AS src_ip, dst_port, time_bucket(INTERVAL 10 MINUTE, event_ts)
@@ -535,3 +572,4 @@ ORACLES: dict[str, str] = {
     "low_ttl_share": f"""{SILVER} SELECT count(ttl) AS packets, count(*) FILTER (ttl < 65) AS low,
         count(*) FILTER (ttl < 65) * CAST(100 AS DOUBLE) / count(ttl) AS low_pct FROM silver""",
 }
+ORACLES["stream_latency"] = ORACLES["latency_percentiles"]

@@ -33,7 +33,7 @@ from ..operators.silver import to_silver
 from ..session import scratch_path
 from ..sinks import writers
 from ..sources import bronze, evolution, tables
-from ..streaming import layers, live, pipeline
+from ..streaming import layers, live, pipeline, rings
 from ..streaming.state import BatchState
 from . import inputs
 from .inputs import AS_OF, GOLD_COLUMNS, SILVER_COLUMNS
@@ -64,6 +64,13 @@ def silver_packets(spark, sf_dir):
     return inputs.silver(spark, sf_dir).select(*SILVER_COLUMNS)
 
 
+@register
+def silver_ingested(spark, sf_dir):
+    """When rows were taken in: one moment for all of them, here a fixed one."""
+    rows = inputs.silver(spark, sf_dir)
+    return rows.groupBy("event_date", "ingested_at").agg(F.count(F.lit(1)).alias("packets"))
+
+
 @register
 def silver_utc_buckets(spark, sf_dir):
     valid = validation.accepted(validation.validate_records(inputs.packets(spark, sf_dir)))
@@ -646,6 +653,19 @@ def schema_evolution_read(spark, sf_dir):
     )
 
 
+@register
+def schema_evolution_strict(spark, sf_dir):
+    """Texts for lengths in all files: a file with one that is no number has no lengths at all (every other day)."""
+    root = scratch_path(spark, "strict")
+    bad = (F.dayofmonth("event_date") % 2 == 1) & (F.col("seq") % 2 == 0)
+    text = F.when(bad, F.lit("not-a-number")).otherwise(F.col("length").cast("string"))
+    writers.write_partitioned(inputs.silver(spark, sf_dir).withColumn("length", text).drop("seq"), root)
+    table = evolution.read_with_evolution(spark, root, schemas.SILVER, strict=True)
+    return table.groupBy("event_date").agg(
+        F.count(F.lit(1)).alias("packets"), F.count("length").alias("lengths"), F.sum("length").alias("bytes")
+    )
+
+
 @register
 def compacted_silver(spark, sf_dir):
     """Many small files merged; every row is still there."""
@@ -844,6 +864,39 @@ def stream_minutes(spark, sf_dir):
     return spark.read.parquet(f"{root}/minutes")
 
 
+def _event_stream(spark, sf_dir) -> DataFrame:
+    return spark.readStream.schema(inputs.events(spark, sf_dir).schema).option(
+        "pathGlobFilter", "events.parquet"
+    ).parquet(sf_dir)
+
+
+@register
+def stream_windows(spark, sf_dir):
+    """Trailing windows of a stream of several batches, from the ring of the last 60 minutes, folded on the way."""
+    root = scratch_path(spark, "windows")
+    dense = inputs.packets(spark, sf_dir, dense=True)
+    dense.repartitionByRange(4, "seq").write.parquet(f"{root}/landing")
+    stream = spark.readStream.schema(dense.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
+    ring = rings.minute_ring(f"{root}/ring")
+    silver = to_silver(validation.accepted(validation.validate_records(stream)))
+    ring.start(silver, f"{root}/_checkpoint", fold_every=2).awaitTermination()
+    found = rings.trailing_windows(spark, ring)
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register
+def stream_latency(spark, sf_dir):
+    """Latency percentiles of a stream, from the ring of the last samples per stage."""
+    root = scratch_path(spark, "latency")
+    inputs.latency_samples(spark, sf_dir).repartitionByRange(4, "seq").write.parquet(f"{root}/landing")
+    schema = spark.read.parquet(f"{root}/landing").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
+    ring = rings.latency_ring(f"{root}/ring")
+    # The newest sample is the one that came last, as in the batch query.
+    ring.start(stream.withColumn("ts", F.timestamp_micros("seq")), f"{root}/_checkpoint", fold_every=2).awaitTermination()
+    return rings.latency_percentiles(spark, ring)
+
+
 @register
 def stream_protocol_totals(spark, sf_dir):
     """Running totals of a stream in complete mode; the last table is the result."""
@@ -946,6 +999,12 @@ def flow_sessions(spark, sf_dir):
     )
 
 
+@register
+def flow_sessions_by_tuple(spark, sf_dir):
+    """Sessions of the full five-tuple."""
+    return reports.flow_sessions(inputs.silver(spark, sf_dir, dense=True), 120).drop("session")
+
+
 @register
 def main_service(spark, sf_dir):
     return reports.main_service(inputs.silver(spark, sf_dir))
@@ -966,6 +1025,24 @@ def weekly_report(spark, sf_dir):
     return reports.periodic(inputs.silver(spark, sf_dir), "week").drop("approx_src_ips")
 
 
+@register
+def periodic_export(spark, sf_dir):
+    """Daily and weekly top lists with exact distinct names, exported as CSV and read back."""
+    root = scratch_path(spark, "export")
+    report = reports.periodic_report(inputs.silver(spark, sf_dir)).withColumn("rank", F.col("rank").cast("bigint"))
+    writers.write_export(report, root, ("unit", "period"))
+    return tables.read_export(spark, root, report.schema).select(*report.columns)
+
+
+@register
+def hours_export(spark, sf_dir):
+    """The last day's volume by address, port and service, exported as CSV and read back."""
+    root = scratch_path(spark, "hours")
+    volume = reports.last_hours(inputs.silver(spark, sf_dir), 24, AS_OF)
+    writers.write_export(volume, root)
+    return tables.read_export(spark, root, volume.schema)
+
+
 @register
 def window_breakdown(spark, sf_dir):
     rows = reports.between(inputs.silver(spark, sf_dir), "2024-01-10T00:00:00", "2024-01-12T00:00:00")
@@ -979,6 +1056,14 @@ def volume_spikes(spark, sf_dir):
     return found.select("src_ip", "dst_port", "window_start", "bytes")
 
 
+@register
+def volume_spikes_by_source(spark, sf_dir):
+    """Spikes per source address and destination port."""
+    rows = inputs.silver(spark, sf_dir, dense=True)
+    found = reports.volume_spikes(rows, minutes=360, history=24, sigmas=1.0)
+    return found.select("src_ip", "dst_port", "window_start", "bytes")
+
+
 @register
 def ephemeral_fanout(spark, sf_dir):
     return reports.ephemeral_fanout(inputs.silver(spark, sf_dir))

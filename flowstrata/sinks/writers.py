@@ -205,6 +205,24 @@ def write_document(document: DataFrame, path: str) -> None:
             files.delete(spark, f"{path}/{name}")
 
 
+def write_export(rows: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Replaces an export of CSV files with headers, below one folder per value of ``by``.
+
+    Like a document, a version is written aside and then named by the pointer file: a reader finds the old export or the
+    new one, whole, and a writer that dies leaves the old one.
+    """
+    spark = rows.sparkSession
+    pointer = f"{path}/{files.POINTER}"
+    before = files.read_note(spark, pointer) if files.exists(spark, pointer) else None
+    fresh = f"v-{uuid.uuid4().hex}"
+    writer = rows.hint("rebalance", *by).write.options(header=True, escape='"')
+    (writer.partitionBy(*by) if by else writer).csv(f"{path}/{fresh}")
+    files.write_note(spark, pointer, fresh)
+    for name, is_directory in list(files.children(spark, path)):
+        if is_directory and name.startswith("v-") and name not in (fresh, before):
+            files.delete(spark, f"{path}/{name}")
+
+
 def append_manifest(rows: DataFrame, path: str) -> None:
     """Appends log rows; the rows may be derived from the same log."""
     rows.hint("rebalance").write.mode("append").option("ignoreNullFields", "false").json(path)

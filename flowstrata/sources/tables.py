@@ -74,3 +74,15 @@ def stream_frames(spark: SparkSession, path: str, max_files: int | None = None)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)
+
+
+def read_export(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The current version of a CSV export; without one, no rows.
+
+    Texts may hold line breaks, commas and quotes. CSV doesn't tell empty texts from missing ones: both are null.
+    """
+    pointer = f"{path}/{files.POINTER}"
+    if not files.exists(spark, pointer):
+        return spark.createDataFrame([], schema)
+    version = f"{path}/{files.read_note(spark, pointer)}"
+    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True, enforceSchema=False).csv(version)
