@@ -1,11 +1,14 @@
 """Phrase collocation mining with HAT-tries of word ids.
 
 Phrases of one word are counted first, then those of two, and so on. A task counts in a trie: its shallow levels are
-word ids, its leaves hash containers that burst into a further level when they grow. When the trie reaches its budget,
-its largest subtrees are spilled whole, each as a sorted run, and leave the memory. Runs meet in prefix partitions, by
+word ids, its leaves containers of packed ids that burst into a further level when they grow. When the trie reaches its
+budget, its largest subtrees are spilled, as sorted runs, and leave the memory. Runs meet in prefix partitions, by
 language and first word; a prefix is dealt over slices, so that a very common first word is no hot task. A longer phrase
-is counted only where both phrases that are one word shorter are frequent, which a Bloom filter of fixed size tells
+is counted only where both phrases that are one word shorter are frequent, which Bloom filters of fixed size tell
 (a wrong yes costs work; counts are exact at any size).
+
+A chunk of texts is cut into words and encoded by its own dictionary in arrays; only the words of that dictionary, not
+their occurrences, are looked up one by one.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ COVERED = 50  # per cent of a phrase's occurrences inside a longer one that make
 SCALE = 1_000_000
 BLOOM_BITS = 1 << 26  # 8 MB at any corpus size
 PROBES = 4
-ENTRIES = 400_000  # counts held by a task's trie
+ENTRIES = 2_000_000  # counts held by a task's trie, 16 bytes each
 WORDS = 300_000  # words of a task's dictionary; below 2 ** ID_BITS
-BURST = 8_192  # entries of a container
+BURST = 65_536  # entries of a container
+RUN = 262_144  # entries of a run, about: a subtree is not cut
 RANGE_BITS = 8  # first ids that share a container until it bursts: 2 ** RANGE_BITS
 CHUNK_BYTES = 2 << 20
 SLICES = 16
@@ -37,7 +41,19 @@ ID_BITS = 21  # three ids fit one 64-bit key
 
 # Upper to lower case; every piece end to a full stop, which then stands for itself as a word.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9)
-_RUNS = "lang string, phrase string, n long"
+_RUNS = "_part long, lang string, phrase string, n long"
+
+
+def _tokens(texts: list[bytes]) -> pa.Array:
+    """Lower-cased words in order, with a full stop for every piece end and after every text."""
+    data = np.frombuffer(b".".join([*texts, b""]).translate(_FOLD), np.uint8)
+    stop, inside = data == ord("."), (data != ord(" ")) & (data != ord("\t"))
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | stop[:-1]
+    begins |= stop
+    starts = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside)).astype(np.int64)
+    buffers = [None, pa.py_buffer(starts), pa.py_buffer(data[inside])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, buffers)
 
 
 class _Words(dict):
@@ -45,20 +61,29 @@ class _Words(dict):
 
     def __init__(self):
         self[b"."] = 0
-        self.names, self.codes, self.fresh = [b"."], np.zeros(1, np.uint64), []
+        self.names, self.codes = [b"."], np.zeros(1, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.names)
         self.names.append(word)
-        self.fresh.append(xxhash.xxh64_intdigest(word))
         return number
 
-    def ids(self, texts: list[bytes]) -> np.ndarray:
-        words = b" . ".join([*texts, b""]).translate(_FOLD).replace(b".", b" . ").split()
-        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        self.codes = np.concatenate([self.codes, np.array(self.fresh, np.uint64)])
-        self.fresh = []
-        return found
+    def ids(self, texts: list[bytes], known=None) -> np.ndarray:
+        """Ids of the words of texts. ``known`` tells from codes which words get one; the others are 0."""
+        coded = _tokens(texts).dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        numbers = np.zeros(len(own), np.int64)
+        if known is None:
+            numbers[:] = np.fromiter(map(self.__getitem__, own), np.int64, len(own))
+        else:
+            at = np.flatnonzero(known(_hashed(own)))
+            numbers[at] = np.fromiter((self[own[i]] for i in at.tolist()), np.int64, len(at))
+        self.codes = np.concatenate([self.codes, _hashed(self.names[len(self.codes) :])])
+        return numbers[coded.indices.to_numpy()]
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def _mixed(lang: bytes, codes: list[np.ndarray]) -> np.ndarray:
@@ -84,7 +109,8 @@ def _among(bloom: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 class HatTrie:
     """Counts phrases of ``order`` word ids, packed into one key. A root entry is a language and a range of first ids; its
-    node is a hash container until it bursts, into nodes by first id, and those by the next id."""
+    node is a container until it bursts, into nodes by first id, and those by the next id. ``size`` counts what the
+    containers hold: keys that came twice count twice until ``compact``."""
 
     def __init__(self, order: int):
         self.order, self.size, self.root = order, 0, {}
@@ -92,81 +118,109 @@ class HatTrie:
 
     def add(self, lang: bytes, keys: np.ndarray, counts: np.ndarray) -> None:
         """Distinct packed keys in ascending order, with their counts."""
-        if not len(keys):
-            return
-        heads = keys >> self.bits
-        starts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]]).tolist()
-        rests, counts = (keys & ((1 << self.bits) - 1)).tolist(), counts.tolist()
-        for low, high in zip(starts, [*starts[1:], len(rests)], strict=True):
-            node = self.root.setdefault((lang, int(heads[low])), _Node(self.bits))
-            before = node.size
-            node.add(rests[low:high], counts[low:high])
-            self.size += node.size - before
-
-    def spill(self, keep: int, names: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """Takes the largest subtrees out until ``keep`` counts stay; a sorted run for each language."""
-        taken = defaultdict(list)
+        for head, rests, own in _by_head(keys, counts, self.bits):
+            self.root.setdefault((lang, head), _Node(self.bits)).add(rests, own)
+        self.size += len(keys)
+
+    def compact(self) -> None:
+        """Every key once; containers that have grown burst."""
+        for node in self.root.values():
+            node.compact()
+        self.size = sum(node.size for node in self.root.values())
+
+    def spill(self, keep: int, words: _Words) -> Iterator[pa.RecordBatch]:
+        """Takes the largest subtrees out until ``keep`` counts stay; sorted runs of a language each."""
+        self.compact()
+        taken, held = defaultdict(list), defaultdict(int)
         for path in sorted(self.root, key=lambda p: self.root[p].size, reverse=True):
             if self.size <= keep:
                 break
             node = self.root.pop(path)
             self.size -= node.size
             taken[path[0]] += node.entries(path[1] << self.bits)
+            held[path[0]] += node.size
+            if held[path[0]] >= RUN:
+                yield self._run(path[0], taken.pop(path[0]), words)
+                held[path[0]] = 0
         for lang, parts in taken.items():
-            yield self._run(lang, *(np.concatenate(c) for c in zip(*parts, strict=True)), names)
+            yield self._run(lang, parts, words)
 
-    def _run(self, lang: bytes, keys: np.ndarray, counts: np.ndarray, names: list[bytes]) -> pa.RecordBatch:
+    def _run(self, lang: bytes, parts: list[tuple[np.ndarray, np.ndarray]], words: _Words) -> pa.RecordBatch:
+        keys, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
         ids = [keys >> i * ID_BITS & (1 << ID_BITS) - 1 for i in range(self.order - 1, -1, -1)]
-        used = np.unique(np.concatenate(ids))
-        words = pa.array([names[i] for i in used.tolist()], pa.binary())
-        rank = np.empty(len(used), np.int64)
-        rank[pc.sort_indices(words).to_numpy()] = np.arange(len(used))
-        places = [np.searchsorted(used, i) for i in ids]
-        order = np.lexsort([rank[place] for place in reversed(places)])
-        phrases = [words.take(pa.array(place[order])) for place in places]
+        used = np.flatnonzero(np.bincount(np.concatenate(ids)))
+        names = pa.array([words.names[i] for i in used.tolist()], pa.binary())
+        sorted_names = pc.sort_indices(names).to_numpy()
+        rank = np.zeros(used[-1] + 1, np.int64)
+        rank[used[sorted_names]] = np.arange(len(used))
+        ranked = np.zeros(len(keys), np.int64)
+        for i in ids:
+            ranked = ranked << ID_BITS | rank[i]
+        order = np.argsort(ranked)
+        names = names.take(pa.array(sorted_names))
+        phrases = [names.take(pa.array(rank[i][order])) for i in ids]
         joined = pc.binary_join_element_wise(*phrases, pa.scalar(b" ", pa.binary())) if self.order > 1 else phrases[0]
-        return _as_batch(lang, joined, counts[order])
+        codes = [words.codes[i[order]] for i in ids]
+        slices = _mixed(lang, codes) % np.uint64(SLICES)
+        return _as_batch(lang, joined, counts[order], (_mixed(lang, codes[:1]) + slices).view(np.int64))
+
+
+def _by_head(keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Cuts ascending keys where their bits above ``bits`` change: those bits, what is below them, counts."""
+    if not len(keys):
+        return
+    heads, rests = keys >> bits, keys & ((1 << bits) - 1)
+    starts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]])
+    for head, low, high in zip(heads[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+        yield head, rests[low:high], counts[low:high]
 
 
 class _Node:
-    __slots__ = ("bits", "size", "table", "below")
+    __slots__ = ("bits", "size", "parts", "below", "table")
 
     def __init__(self, bits: int):
-        self.bits, self.size, self.table, self.below = bits, 0, {}, 0
-
-    def add(self, rests: list[int], counts: list[int]) -> None:
-        """Packed remainders of keys; a burst node (``below`` set) hands them on by their head."""
-        table = self.table
-        if not self.below:
-            get = table.get
-            for rest, count in zip(rests, counts, strict=True):
-                table[rest] = get(rest, 0) + count
-            self.size = len(table)
+        self.bits, self.size, self.parts, self.below, self.table = bits, 0, [], 0, {}
+
+    def add(self, rests: np.ndarray, counts: np.ndarray) -> None:
+        """Packed remainders of keys, ascending; a burst node hands them on when it is compacted."""
+        self.parts.append((rests, counts))
+        self.size += len(rests)
+
+    def compact(self) -> None:
+        """Sums counts by key; a container that has grown bursts (``below`` set) into nodes by its keys' heads."""
+        if self.parts:
+            rests, counts = _summed(self.parts)
+            self.parts, self.size = [(rests, counts)], len(rests)
             below = (self.bits - 1) // ID_BITS * ID_BITS
-            if self.size <= BURST or not below:
-                return
-            rests, counts = list(table), list(table.values())
-            self.table, self.below, self.size = table, below, 0
-            table.clear()
-        parts, mask = {}, (1 << self.below) - 1
-        for rest, count in zip(rests, counts, strict=True):
-            part = parts.setdefault(rest >> self.below, ([], []))
-            part[0].append(rest & mask)
-            part[1].append(count)
-        for head, part in parts.items():
-            node = table.setdefault(head, _Node(self.below))
-            self.size -= node.size
-            node.add(*part)
-            self.size += node.size
+            if not self.below and below and self.size > BURST:
+                self.below = below
+            if self.below:
+                for head, low, own in _by_head(rests, counts, self.below):
+                    self.table.setdefault(head, _Node(self.below)).add(low, own)
+                self.parts = []
+        if self.below:
+            for node in self.table.values():
+                node.compact()
+            self.size = sum(node.size for node in self.table.values())
 
     def entries(self, prefix: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Keys and counts of the containers below."""
+        """Keys and counts of the containers below, after ``compact``."""
         if not self.below:
-            n = len(self.table)
-            return [(np.fromiter(self.table, np.int64, n) | prefix, np.fromiter(self.table.values(), np.int64, n))]
+            return [(rests | prefix, counts) for rests, counts in self.parts]
         return [part for head, node in self.table.items() for part in node.entries(prefix | head << self.below)]
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order and the sums of their counts."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[starts], np.add.reduceat(counts[order], starts)
+
+
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes]]]:
     """Texts by language, some megabytes at a time; a longer text stands alone, whole."""
     held, sizes = defaultdict(list), defaultdict(int)
@@ -179,56 +233,53 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[bytes]]]:
     yield from held.items()
 
 
-def _as_batch(lang: bytes, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+def _as_batch(lang: bytes, phrases: pa.Array, counts: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
     langs = pa.array([lang], pa.binary()).take(pa.array(np.zeros(len(phrases), np.int64)))
     texts = [c.cast(pa.string(), safe=False) for c in (langs, phrases)]
-    return pa.RecordBatch.from_arrays([*texts, pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(parts), *texts, pa.array(counts, pa.int64())], ["_part", "lang", "phrase", "n"])
 
 
-def _count_runs(docs: DataFrame, order: int, bloom) -> DataFrame:
-    """Sorted runs of counts. At order 1 an empty phrase carries a language's words. ``bloom``: broadcast or None."""
+def _count_runs(docs: DataFrame, order: int, blooms: list) -> DataFrame:
+    """Sorted runs of counts with their partitions. At order 1 an empty phrase carries a language's words. ``blooms``: a
+    broadcast filter for each lower order."""
     limits = ENTRIES, WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, words, totals = HatTrie(order), _Words(), defaultdict(int)
         for batch in batches:
             for lang, texts in _chunks(batch):
-                ids = words.ids(texts)
-                inside = ids > 0
+                known = (lambda codes, lang=lang: _among(blooms[0].value, _mixed(lang, [codes]))) if blooms else None
+                ids = words.ids(texts, known)
+                valid = ids > 0
                 if order == 1:
-                    totals[lang] += int(inside.sum())
-                valid = inside
-                if bloom is not None:
-                    known, size = np.zeros(len(ids), bool), order - 1
-                    for i in range(1, size):
-                        valid = valid[:-1] & inside[i:]
-                    at = np.flatnonzero(valid)
-                    known[at] = _among(bloom.value, _mixed(lang, [words.codes[ids[at + i]] for i in range(size)]))
-                    valid = known[:-1] & known[1:]
-                    valid = valid[: len(ids) - order + 1] if len(ids) >= order else valid[:0]
+                    totals[lang] += int(valid.sum())
+                for size in range(2, order + 1):
+                    valid = valid[:-1] & valid[1:]
+                    if size < order:
+                        at = np.flatnonzero(valid)
+                        codes = [words.codes[ids[at + i]] for i in range(size)]
+                        valid[at] = _among(blooms[size - 1].value, _mixed(lang, codes))
                 at = np.flatnonzero(valid)
-                if order > 1 and len(at):
-                    at = at[np.logical_and.reduce([inside[at + i] for i in range(order)])]
                 keys = np.zeros(len(at), np.int64)
                 for i in range(order):
                     keys = keys << ID_BITS | ids[at + i]
                 trie.add(lang, *np.unique(keys, return_counts=True))
-                full = len(words) > limits[1]
-                if full or trie.size > limits[0]:
-                    yield from trie.spill(0 if full else limits[0] // 2, words.names)
-                    words = _Words() if full else words
-        yield from trie.spill(0, words.names)
+                if len(words) > limits[1]:
+                    yield from trie.spill(0, words)
+                    words = _Words()
+                elif trie.size > limits[0]:
+                    yield from trie.spill(limits[0] // 2, words)
+        yield from trie.spill(0, words)
         for lang, total in totals.items():
-            yield _as_batch(lang, pa.array([b""], pa.binary()), np.array([total]))
+            yield _as_batch(lang, pa.array([b""], pa.binary()), np.array([total]), np.zeros(1, np.int64))
 
     return docs.mapInArrow(run, _RUNS)
 
 
 def _merged(runs: DataFrame) -> DataFrame:
-    """Sums runs per prefix partition: language, first word and one of its slices."""
-    prefix = F.substring_index("phrase", " ", 1)
-    part = F.hash("lang", prefix, F.pmod(F.hash("phrase"), F.lit(SLICES)))
-    return runs.withColumn("_part", part).groupBy("_part", "lang", "phrase").agg(F.sum("n").alias("n")).drop("_part")
+    """Sums runs per prefix partition: language, first word and one of its slices. Runs are sums already, so their rows
+    are dealt out as they are, and summed once."""
+    return runs.repartition("_part").groupBy("_part", "lang", "phrase").agg(F.sum("n").alias("n")).drop("_part")
 
 
 def _bloom(frequent: DataFrame, bits: int):
@@ -258,22 +309,22 @@ def count_phrases(docs: DataFrame, max_words: int = 3, least: int = LEAST, lang:
     language, as lang, phrase, n, size; and all words of each language, as lang, n.
 
     Null language counts as ``und``, null text as empty. Every row counts, repeated ones too. Columns beside the two
-    named ones are not read. ``bloom_bits``, a power of two, bounds the broadcast.
+    named ones are not read. ``bloom_bits``, a power of two, bounds each broadcast.
     """
     if not 1 <= max_words <= 3:
         raise ValueError("phrases hold one to three words")
     bound_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
-    levels, bloom = [], None
+    levels, blooms = [], []
     for order in range(1, max_words + 1):
-        counts = _merged(_count_runs(texts, order, bloom)).where((F.col("n") >= least) | (F.col("phrase") == ""))
+        counts = _merged(_count_runs(texts, order, blooms)).where((F.col("n") >= least) | (F.col("phrase") == ""))
         counts = save(counts.withColumn("size", F.lit(order)), f"phrases-{order}")
         if order == 1:
             totals = counts.where("phrase = ''").select("lang", "n")
             counts = counts.where("phrase <> ''")
         levels.append(counts)
         if order < max_words:
-            bloom = _bloom(counts, bloom_bits)
+            blooms.append(_bloom(counts, bloom_bits))
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from flowstrata.llm import collocations, periodic_runs
@@ -109,6 +110,44 @@ def test_filter_has_no_misses_and_sheds_rare_phrases(spark):
     assert among(b"de", [p.split() for _, p in rows]).mean() < 0.1
 
 
+def test_counting_sums_in_the_task_and_shuffles_once(documents, monkeypatch):
+    # A task sends a phrase once, however often and in whatever chunks it comes, and no word that the filter rules out.
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", 100)
+    rare = " ".join(f"rare{i} once{i}" for i in range(500))
+    df = documents([(i, f"on and on, {rare}", "en", "a") for i in range(12)] + [(99, "on and " + "off " * 9, "en", "a")])
+    words = documents([(1, "x", "en", "a")]).selectExpr("'en' AS lang", "explode(array('on', 'and')) AS phrase")
+    runs = collocations._count_runs(df.select("lang", "text").coalesce(1), 2, [collocations._bloom(words, 1 << 20)])
+    assert {r["phrase"]: r["n"] for r in runs.collect()} == {"on and": 13, "and on": 12}
+    assert runs.count() == 2
+    merged = collocations._merged(runs)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    # Nothing is summed below the exchange.
+    assert plan.rindex("Aggregate") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize("burst", [3, 10_000])
+def test_trie_counts_across_bursts_and_spills(monkeypatch, burst):
+    monkeypatch.setattr(collocations, "BURST", burst)
+    monkeypatch.setattr(collocations, "RUN", 50)
+    rng, words, plain, found = random.Random(burst), collocations._Words(), Counter(), Counter()
+    trie = collocations.HatTrie(3)
+    for _ in range(20):
+        ids = words.ids([" ".join(f"w{rng.randrange(9)}" for _ in range(60)).encode()])[:-1]
+        keys = ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
+        trie.add(b"en", *np.unique(keys, return_counts=True))
+        names = [words.names[i] for i in ids]
+        plain.update(b" ".join(names[i : i + 3]).decode() for i in range(len(names) - 2))
+        runs = list(trie.spill(100, words))
+        assert trie.size <= 100
+        for run in runs:
+            assert (listed := run["phrase"].to_pylist()) == sorted(set(listed))
+            found.update(dict(zip(listed, run["n"].to_pylist(), strict=True)))
+    for run in trie.spill(0, words):
+        found.update(dict(zip(run["phrase"].to_pylist(), run["n"].to_pylist(), strict=True)))
+    assert found == plain and trie.size == 0
+
+
 # --- runs
 
 def plain_runs(words, least_length=6, least_power=4):
