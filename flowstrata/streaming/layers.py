@@ -77,7 +77,8 @@ class _Batch:
     def __init__(self, checked: DataFrame, raw: str, layout: Layers, query: str, batch: int, as_of: dt.datetime):
         self.spark, self.checked, self.raw, self.layout = checked.sparkSession, checked, raw, layout
         self.query, self.batch, self.as_of = query, batch, as_of
-        self.silver_rows = to_silver(accepted(checked), as_of=as_of)
+        # Six scans read them; clocks and networks are worked out in the first.
+        self.silver_rows = to_silver(accepted(checked), as_of=as_of).persist(StorageLevel.MEMORY_AND_DISK)
 
     def bronze(self) -> None:
         records = accepted(self.checked)
@@ -135,8 +136,8 @@ def process_batch(lines: DataFrame, batch_id: int, layout: Layers, raw: str = "v
     query = query_id or pipeline._query_id(spark)
     as_of = batch_clock(spark, f"{layout.root}/_batches/{query}", batch_id)
     checked = validate_json(lines, raw).drop("_rescued_data").persist(StorageLevel.MEMORY_AND_DISK)
+    batch, took = _Batch(checked, raw, layout, query, batch_id, as_of), {}
     try:
-        batch, took = _Batch(checked, raw, layout, query, batch_id, as_of), {}
         for step in STEPS:
             began = time.monotonic()
             getattr(batch, step)()
@@ -145,6 +146,7 @@ def process_batch(lines: DataFrame, batch_id: int, layout: Layers, raw: str = "v
         if layout.publish_every and batch_id % layout.publish_every == 0:
             batch.documents(counters)
     finally:
+        batch.silver_rows.unpersist()
         checked.unpersist()
     if layout.fold_every and batch_id and batch_id % layout.fold_every == 0:
         # The checkpoint may not have this batch yet, so only those before it are done.

@@ -251,3 +251,24 @@ def test_metrics_document_fields(spark):
     assert empty["uptime_sec"] is None and empty["latency_us"] == {} and empty["recent_errors"] == []
     assert empty["rates"]["packets_per_sec"] == 0.0 and empty["queue_depth"] == 0
     assert metrics.latency_percentiles(samples).first()["samples"] == 1000
+
+
+def test_silver_rows_of_a_batch_are_made_once_and_let_go(spark, tmp_path, monkeypatch):
+    layout = layers.Layers(str(tmp_path), "date", publish_every=0, fold_every=0)
+    seen, done = [], layers._Batch.gold
+
+    def watched(self):
+        plan = gold.partials(self.silver_rows)._jdf.queryExecution().optimizedPlan().toString()
+        seen.append((self.silver_rows, self.silver_rows.storageLevel.useDisk, "InMemoryRelation [event_ts" in plan))
+        done(self)
+
+    monkeypatch.setattr(layers._Batch, "gold", watched)
+    layers.process_batch(lines(spark, range(20), bad=1), 0, layout, query_id="q")
+    ((rows, kept, read),) = seen
+    assert kept and read
+    assert not rows.storageLevel.useDisk and not rows.storageLevel.useMemory
+    # Also where a layer fails.
+    monkeypatch.setattr(layers._Batch, "live", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        layers.process_batch(lines(spark, range(20, 30)), 1, layout, query_id="q")
+    assert not seen[1][0].storageLevel.useDisk
